@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.embedding_dedup import near_duplicates
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.topk import top_k
+from lodestone.llm.toxicity import score_toxicity, train
 from lodestone.llm.url_filter import filter_urls
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -19,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -38,6 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_topk": op6_exact_topk,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
