@@ -107,7 +107,7 @@ def joined(i: np.ndarray, j: np.ndarray, nodes: int) -> np.ndarray:
             return label
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = 1024, fit_rows: int = 4096, most_cells: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str = "vec_id", vec_col: str = "embedding", tile_rows: int = 4096, fit_rows: int = 4096, most_cells: int = 1024) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id`` (long) ``, kept`` (boolean).
 
     Two vectors link when their cosine, in double precision, is ``threshold`` or more; ``n_links`` counts the vectors
@@ -173,30 +173,25 @@ def tiled(classes: DataFrame, count: int, threshold: float, tile_rows: int, fit_
         keys = [f"{a}.{b}.{x}.{y}" for a, b, x, y, _ in pairs]
         return pa.table({"pair": pa.array(keys), "first": pa.array([p[4] for p in pairs], pa.bool_()), "ids": pa.array([ids.tobytes()] * k, pa.binary()), "sizes": pa.array([sizes.tobytes()] * k, pa.binary()), "vecs": pa.array([vecs.tobytes()] * k, pa.binary())})
 
-    def compare(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ia, ib = (np.frombuffer(r[x], "int64") for x in ("ids", "ids_b"))
-                sa, sb = (np.frombuffer(r[x], "int64") for x in ("sizes", "sizes_b"))
-                va, vb = (np.frombuffer(r[x], "float64").reshape(-1, rotation.shape[0]) for x in ("vecs", "vecs_b"))
-                i, j = close_pairs(va, vb, rotation, threshold)
-                if same := r["same"]:
-                    i, j = i[i < j], j[i < j]
-                na, nb = np.bincount(i, sb[j], len(ia)).astype("int64"), np.bincount(j, sa[i], len(ib)).astype("int64")
-                ids, n = np.concatenate([ia, ib]), np.concatenate([na, nb])
-                root = joined(i, j + (0 if same else len(ia)), len(ids))
-                some, tree_at = np.nonzero(n)[0], np.nonzero(root != np.arange(len(root)))[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[some], ids[tree_at]])), pa.array(np.concatenate([n[some], np.zeros(len(tree_at), "int64")])), pa.array([None] * len(some) + ids[root[tree_at]].tolist(), pa.int64())], names=["id", "n", "root"]
-                )
+    def compare(table: pa.Table) -> pa.Table:
+        """Two tiles, or a tile with itself, in strips of rows."""
+        a, *b = sorted(table.to_pylist(), key=lambda r: not r["first"])
+        same, b = not b, (b or [a])[0]
+        ia, ib = (np.frombuffer(r["ids"], "int64") for r in (a, b))
+        sa, sb = (np.frombuffer(r["sizes"], "int64") for r in (a, b))
+        va, vb = (np.frombuffer(r["vecs"], "float64").reshape(-1, rotation.shape[0]) for r in (a, b))
+        found = []
+        for n in range(0, len(va), 512):
+            i, j = close_pairs(va[n : n + 512], vb, rotation, threshold)
+            found.append(np.stack([i + n, j])[:, i + n < j] if same else np.stack([i + n, j]))
+        i, j = np.concatenate(found, axis=1)
+        na, nb = np.bincount(i, sb[j], len(ia)).astype("int64"), np.bincount(j, sa[i], len(ib)).astype("int64")
+        ids, n = np.concatenate([ia, ib]), np.concatenate([na, nb])
+        root = joined(i, j + (0 if same else len(ia)), len(ids))
+        some, below = np.nonzero(n)[0], np.nonzero(root != np.arange(len(root)))[0]
+        roots = pa.array([None] * len(some) + ids[root[below]].tolist(), pa.int64())
+        return pa.table({"id": pa.array(np.concatenate([ids[some], ids[below]])), "n": pa.array(np.concatenate([n[some], np.zeros(len(below), "int64")])), "root": roots})
 
     subs = F.create_map(*[F.lit(x).cast("long") for kv in tiles_in.items() for x in kv])
     tiles = placed.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(9)), subs[F.col("cell")])).groupBy("cell", "tile").applyInArrow(pack, "pair string, first boolean, ids binary, sizes binary, vecs binary")
-    tiles = written(tiles, "tiles")
-    a = tiles.where("first")
-    b = tiles.select("pair", F.col("first").alias("first_b"), F.col("ids").alias("ids_b"), F.col("sizes").alias("sizes_b"), F.col("vecs").alias("vecs_b"))
-    p = F.split("pair", r"\.")
-    alike = (p[0] == p[2]) & (p[1] == p[3])
-    # A tile meets itself through one row, another tile through one row of each.
-    met = a.withColumn("same", alike).join(b.withColumn("same_b", alike).where(F.col("same_b") | ~F.col("first_b")).drop("first_b", "same_b"), "pair")
-    return met.select("ids", "sizes", "vecs", "ids_b", "sizes_b", "vecs_b", "same").mapInArrow(compare, "id long, n long, root long")
+    return tiles.groupBy("pair").applyInArrow(compare, "id long, n long, root long")
