@@ -6,8 +6,6 @@ query and narrows the interval that holds its k-th score, until that score is kn
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -80,18 +78,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     c_side = c.withColumn("q_block", every(q_blocks))
 
     def against(state: DataFrame | None, f, schema: str) -> DataFrame:
-        """``f`` on every block of queries, with their state, and every block of candidates."""
+        """``f`` on every block of queries, with their state, and every block of candidates; one such pair at a time."""
         mine = q
         if state is not None:
             per_block = state.groupBy("q_block", "dim").agg(F.array_sort(F.collect_list(F.struct("nth", "low"))).alias("state"))
             mine = q.join(per_block, ["q_block", "dim"])
-        return c_side.join(mine.withColumn("block", every(blocks)), ["block", "q_block", "dim"]).mapInArrow(lambda it: (out for b in it for r in b.to_pylist() if (out := f(r)) is not None), schema)
+
+        def met(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.table({x.split()[0]: pa.array([], pa.int64()) for x in schema.split(", ")})
+            return pa.table(f(left.to_pylist()[0] | right.to_pylist()[0]))
+
+        keys = ["block", "q_block", "dim"]
+        return c_side.groupBy(keys).cogroup(mine.withColumn("block", every(blocks)).groupBy(keys)).applyInArrow(met, schema)
 
     width, low, state = 2 * bound + 1, -bound, None
     while width > 1:
         step = -(-width // bins)
 
-        def histogram(row: dict, step: int = step, width: int = width, low: int = low) -> pa.RecordBatch:
+        def histogram(row: dict, step: int = step, width: int = width, low: int = low) -> dict:
             _, _, s = scored(row)
             lows = np.array([x["low"] for x in row["state"]]) if row.get("state") else np.full(len(s), low)
             bin_of = np.clip((s - lows[:, None]) // step, -1, (width - 1) // step + 1)
@@ -101,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
             at = np.nonzero((bin_of >= least[:, None]) & (bin_of >= 0))
             keys, n = np.unique(np.stack([at[0], bin_of[at]]), axis=1, return_counts=True)
             m = len(n)
-            return pa.RecordBatch.from_pydict({"q_block": pa.array([row["q_block"]] * m, pa.int64()), "dim": pa.array([row["dim"]] * m, pa.int64()), "nth": pa.array(keys[0], pa.int64()), "bin": pa.array(keys[1], pa.int64()), "n": pa.array(n, pa.int64())})
+            return {"q_block": pa.array([row["q_block"]] * m, pa.int64()), "dim": pa.array([row["dim"]] * m, pa.int64()), "nth": pa.array(keys[0], pa.int64()), "bin": pa.array(keys[1], pa.int64()), "n": pa.array(n, pa.int64())}
 
         counts = against(state, histogram, "q_block long, dim long, nth long, bin long, n long").groupBy("q_block", "dim", "nth", "bin").agg(F.sum("n").alias("n"))
         own = Window.partitionBy("q_block", "dim", "nth")
@@ -117,7 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
         state = written(found.select("q_block", "dim", "nth", (before + F.col("bin") * step).alias("low")), "kth")
         width = step
 
-    def above(row: dict) -> pa.RecordBatch:
+    def above(row: dict) -> dict:
         qi, ci, s = scored(row)
         nth = np.array([x["nth"] for x in row["state"]])
         kth = np.array([x["low"] for x in row["state"]])
@@ -126,7 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
         ties = (s == kth[:, None]) & (kth[:, None] > np.iinfo("int64").min)
         ties &= np.cumsum(ties, axis=1) <= k  # ids ascend within a block
         a = [np.concatenate(x) for x in zip(at, np.nonzero(ties), strict=True)]
-        return pa.RecordBatch.from_pydict({"query": pa.array(nth[a[0]] + row["q_block"] * 2**32, pa.int64()), "query_id": pa.array(qi[a[0]]), "vec_id": pa.array(ci[a[1]]), "score": pa.array(s[tuple(a)])})
+        return {"query": pa.array(nth[a[0]] + row["q_block"] * 2**32, pa.int64()), "query_id": pa.array(qi[a[0]]), "vec_id": pa.array(ci[a[1]]), "score": pa.array(s[tuple(a)])}
 
     best = against(state, above, "query long, query_id long, vec_id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")))
