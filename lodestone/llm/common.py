@@ -31,6 +31,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def sized(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """A narrow table to join with: broadcast if it has been counted and is small, else left to a shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing needs any more."""
     spark = df.sparkSession

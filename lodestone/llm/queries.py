@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.embedding_dedup import near_duplicates
 from lodestone.llm.mixing import mix_sources
+from lodestone.llm.ngram_join import jaccard_join
 from lodestone.llm.topk import top_k
 from lodestone.llm.toxicity import score_toxicity, train
 from lodestone.llm.url_filter import filter_urls
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=(90, 100))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -46,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_topk": op6_exact_topk,
@@ -57,6 +63,20 @@ HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
 PATH = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        sets AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY ALL),
+        g AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM sets),
+        shared AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rep <> b.rep
+                   AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+        links AS (SELECT a, b FROM shared WHERE 100 * k >= 90 * (na + nb - k)),
+        reach(a, b) AS (SELECT rep, rep FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(count(*) FILTER (len(s.s) > 0) OVER (PARTITION BY list_sort(s.s)), 1) AS n_copies
+        FROM s LEFT JOIN sets ON sets.s = list_sort(s.s) LEFT JOIN comp c ON c.a = sets.rep""",
     "op5_url_filter": f"""
         WITH rules(host, path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
         parsed AS (SELECT page_id, {HOST} AS host, {PATH} AS path FROM pages),
