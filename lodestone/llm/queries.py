@@ -11,6 +11,7 @@ from lodestone.llm.embedding_dedup import near_duplicates
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.ngram_join import jaccard_join
+from lodestone.llm.pii import find_pii, listed
 from lodestone.llm.topk import top_k
 from lodestone.llm.toxicity import score_toxicity, train
 from lodestone.llm.url_filter import filter_urls
@@ -43,6 +44,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_topk": op6_exact_topk,
+    "op7_pii": op7_pii,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
