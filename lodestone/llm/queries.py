@@ -12,10 +12,14 @@ from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.ngram_join import jaccard_join
 from lodestone.llm.pii import find_pii, listed
+from lodestone.llm import sentencepiece_fst as sp
+from lodestone.llm import warc
 from lodestone.llm.topk import top_k
 from lodestone.llm.toxicity import score_toxicity, train
 from lodestone.llm.url_filter import filter_urls
 
+#: Where the model's file is on this machine; a parameter of the query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -27,6 +31,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, threshold=(90, 100))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sp.encode(docs, sp.model_bytes(model)).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
@@ -34,6 +43,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica in which some records are damaged by rule: one changed in 97, one lost in 211."""
+    pages = table(spark, sf_dir, "pages").select("page_id", warc.record_text(F.col("url"), F.col("html"), F.col("page_id")).alias("record"))
+    laid = warc.layout(pages)
+    place = ["file", "ordinal", "offset", "length"]
+    harmed = F.when(F.col("page_id") % 97 == 13, F.translate("record", "e", "3")).otherwise(F.col("record"))
+    ours = laid.select("page_id", *place, F.sha2("record", 256).alias("hash"))
+    theirs = laid.where(~(F.coalesce(F.col("page_id") % 211 == 7, F.lit(False)))).select(*place, F.sha2(harmed, 256).alias("hash"))
+    found = warc.audit(ours, theirs)
+    return found.join(ours.select("page_id", "file", "ordinal"), ["file", "ordinal"]).select("page_id", *place, "problem")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -63,7 +84,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op4_warc_fixity": op4_warc_fixity,
     "op5_url_filter": op5_url_filter,
     "op6_exact_topk": op6_exact_topk,
     "op7_pii": op7_pii,
@@ -90,6 +113,14 @@ ORACLE_SQL: dict[str, str] = {
         comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
         SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.c, s.doc_id) AS component_id, coalesce(count(*) FILTER (len(s.s) > 0) OVER (PARTITION BY list_sort(s.s)), 1) AS n_copies
         FROM s LEFT JOIN sets ON sets.s = list_sort(s.s) LEFT JOIN comp c ON c.a = sets.rep""",
+    "op4_warc_fixity": r"""
+        WITH r AS (SELECT page_id, concat_ws(chr(13) || chr(10), 'WARC/1.0', 'WARC-Type: resource', 'WARC-Record-ID: <urn:page:' || page_id || '>', 'WARC-Target-URI: ' || coalesce(url, ''),
+                   'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || octet_length(encode(coalesce(html, '')))) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+        l AS (SELECT page_id, record, page_id // 256 AS file, octet_length(encode(record)) AS length FROM r),
+        o AS (SELECT *, row_number() OVER w - 1 AS ordinal, (sum(length) OVER w - length)::BIGINT AS "offset" FROM l WINDOW w AS (PARTITION BY file ORDER BY page_id))
+        SELECT page_id, file, ordinal, "offset", length, CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'changed' END AS problem
+        FROM o WHERE page_id % 211 = 7 OR page_id % 97 = 13""",
     "op5_url_filter": f"""
         WITH rules(host, path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
         parsed AS (SELECT page_id, {HOST} AS host, {PATH} AS path FROM pages),
