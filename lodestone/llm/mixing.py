@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 
 
 def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
-    """The weights as whole numbers of slots that add up to ``slots``: at least one each, then largest remainders."""
+    """The weights as whole numbers of slots that add up to ``slots``: at least one each, else by largest remainders."""
     if len(weights) > slots:
         raise ValueError(f"{len(weights)} sources need at least as many slots; there are {slots}")
     if any(not w > 0 for w in weights.values()):
         raise ValueError("a weight must be positive")
     names = sorted(weights, key=lambda x: (x is not None, x))
-    total, free = sum(weights.values()), slots - len(names)
-    exact = {x: free * weights[x] / total for x in names}
-    out = {x: 1 + int(exact[x]) for x in names}
-    for x in sorted(names, key=lambda x: int(exact[x]) - exact[x])[: slots - sum(out.values())]:
-        out[x] += 1
+    total = sum(weights.values())
+    exact = {x: slots * weights[x] / total for x in names}
+    out = {x: max(1, int(exact[x])) for x in names}
+    while (left := slots - sum(out.values())) != 0:
+        step = 1 if left > 0 else -1
+        x = max((x for x in names if out[x] + step >= 1), key=lambda x: step * (exact[x] - out[x]))
+        out[x] += step
     return out
 
 
