@@ -100,3 +100,18 @@ def column_split(lines: DataFrame) -> DataFrame:
 def column_of(x: Column, split_x: Column) -> Column:
     """0 left, 1 right; without a split 0."""
     return F.when(split_x.isNotNull() & (x >= split_x), 1).otherwise(0)
+
+
+def block_column(box: Column, centres: Column, columns: Column, content: Column) -> Column:
+    """The column (a rectangle) that a block belongs to: overlap counts twice, each line centre in it 0.05, distance -0.1.
+
+    Blocks of 70 % of the content's width, and pages of one column, have the whole content. Of equal scores the first.
+    """
+
+    def score(c: Column) -> Column:
+        across = F.greatest(F.least(box["x"] + box["w"], c["x"] + c["w"]) - F.greatest(box["x"], c["x"]), F.lit(0.0))
+        inside = F.size(F.filter(centres, lambda m: (m >= c["x"]) & (m <= c["x"] + c["w"])))
+        return across * 2.0 + inside * 0.05 - F.abs(box["x"] + box["w"] / 2 - c["x"] - c["w"] / 2) * 0.1
+
+    ranked = F.array_sort(F.transform(columns, lambda c, i: F.struct((-score(c)).alias("s"), i.alias("i"), c.alias("c"))))
+    return F.when((F.size(columns) <= 1) | (box["w"] >= content["w"] * 0.70), content).otherwise(F.get(ranked, F.lit(0))["c"])

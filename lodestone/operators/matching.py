@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashes import BAND_BITS, bands, hamming
@@ -119,3 +119,15 @@ def exists_similar(df: DataFrame, keys: list[str], least: float = 0.90) -> DataF
     return a.alias("a").join(b.alias("b"), condition, "left_semi")
 
 
+
+
+def best_previous(frames: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:
+    """Each row with the best row before it in its group (``best_previous`` its order, ``best_score``): ties to the earliest."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max_by(F.struct(order, score), F.struct(F.col(score), -F.col(order))).over(w)
+    return frames.withColumn("_b", best).withColumn("best_previous", F.col(f"_b.{order}")).withColumn("best_score", F.col(f"_b.{score}")).drop("_b")
+
+
+def graded_regions(regions: DataFrame, grades: DataFrame) -> DataFrame:
+    """Grades joined to the regions of their page by reading-order index."""
+    return regions.join(grades, ["page", "index"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashes, labels, scoring, text
 from lodestone.operators import aggregates as agg
 from lodestone.operators import filters, layout, matching, ranking, state
-from lodestone.plans import memory, study
+from lodestone.plans import intent, memory, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -414,3 +414,29 @@ def q8_regions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), F.posexplode(F.slice(F.split("text", r"\.\s*"), 1, 12)).alias("i", "t"))
     lines = docs.select("page", F.lit(0.1).alias("x"), (0.02 + F.col("i") * 0.075).alias("y"), F.lit(0.7).alias("w"), F.lit(0.03).alias("h"), F.when(F.col("i") % 3 == 1, F.concat(F.col("i").cast("string"), F.lit(". "), F.col("t"))).otherwise(F.col("t")).alias("text"), F.lit(0.9).alias("confidence"))
     return layout.regions(lines)
+
+
+@query("""SELECT user_id, CASE WHEN a = 0 AND u = 0 THEN '已更新你的学习档案' ELSE concat_ws(' · ', CASE WHEN a > 0 THEN '新增 ' || a || ' 条' END, CASE WHEN u > 0 THEN '更新 ' || u || ' 条' END) END AS line
+    FROM (SELECT user_id, count(*) FILTER (event_type <> 'click') AS a, count(*) FILTER (event_type = 'click') AS u FROM events GROUP BY user_id)""")
+def f38_delta_line(spark, sf_dir):
+    return a4_deltas(spark, sf_dir).select("user_id", intent.delta_line(F.col("adds"), F.col("updates")).alias("line"))
+
+
+@query("""WITH r AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'preference' ELSE 'context_toggle' END AS category, value, event_id % 5 AS k, event_type FROM events WHERE value >= 30 AND event_id % 3 < 2)
+    SELECT id, category, CASE WHEN category = 'preference' THEN '辅导偏好' WHEN k = 0 THEN '画面' WHEN k = 1 THEN '长期记忆' ELSE '调试' END AS label,
+      CASE WHEN category = 'preference' THEN '（默认）' WHEN k = 1 THEN '开' ELSE '未知' END AS before, CASE WHEN category = 'preference' THEN event_type WHEN value > 50 THEN '开' ELSE '关' END AS after,
+      category = 'preference' OR k = 1 AS reversible FROM r WHERE category = 'preference' OR k < 3""")
+def q11_proposals(spark, sf_dir):
+    """Requests made from events by rule."""
+    e = table(spark, sf_dir, "events")
+    wanted = F.element_at(F.array(F.lit("update_coach_preference"), F.lit("toggle_context"), F.lit("dance")), (F.col("event_id") % 3 + 1).cast("int"))
+    keys = F.element_at(F.array(*map(F.lit, ("visual", "memory", "debug", "other", ""))), (F.col("event_id") % 5 + 1).cast("int"))
+    requests = e.select(F.col("event_id").alias("id"), wanted.alias("intent"), (F.col("value") / 50).alias("confidence"), F.col("event_type").alias("text"), F.lit("append").alias("mode"), keys.alias("key"), (F.col("value") > 50).alias("value"), F.lit("").alias("preference"), F.create_map(F.lit("memory"), F.lit(True)).alias("included"))
+    return intent.proposals(requests).select("id", "category", "change.label", "change.before", "change.after", "reversible")
+
+
+@query("""WITH b AS (SELECT event_id, user_id, value, arg_max({'event_id': event_id, 'value': value}, (value, -event_id)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events)
+    SELECT event_id, p.event_id AS best_previous, p.value AS best_score FROM b""")
+def j12_best_previous(spark, sf_dir):
+    """Each event against the best before it."""
+    return matching.best_previous(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value").select("event_id", "best_previous", "best_score")

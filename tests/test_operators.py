@@ -114,3 +114,28 @@ def test_proposals(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_services(spark):
+    from lodestone.sources.services import embedding_column, reply_column
+
+    df = spark.createDataFrame([("ab",), (None,)], "t string")
+    assert [r["v"] for r in df.select(embedding_column(lambda xs: [[float(len(x))] for x in xs], 1)(F.col("t")).alias("v")).collect()] == [[2.0], [0.0]]
+    assert [r["v"] for r in df.select(reply_column(lambda p: p[0])(F.col("t")).alias("v")).collect()] == ["a", ""]
+
+
+def test_extract_and_store(spark):
+    facts = spark.createDataFrame([("m", "a", "fact", "old fact", [1.0, 0.0], 0.9, "active", 2, datetime(2024, 1, 1))], "id string, account_id string, kind string, text string, embedding array<double>, importance double, status string, use_count long, updated_at timestamp")
+    reply = '```json\n[{"text": "new fact", "kind": "GOAL", "importance": "x"}, {"text": "abc"}, 3]\n```'
+    replies = spark.createDataFrame([("a", "e1", reply), ("a", "e2", "no json")], "account_id string, event_id string, reply string")
+    out = memory.extract_and_store(facts, replies, lambda t: F.array(F.lit(0.0), F.lit(1.0)))
+    assert {(r["id"], r["kind"], r["text"], r["importance"], r["op"]) for r in out.collect()} == {("m", "fact", "old fact", 0.9, "keep"), ("e1-0", "goal", "new fact", 0.5, "add")}
+
+
+def test_block_column(spark):
+    from lodestone.functions import geometry
+
+    r = lambda *v: geometry.rect(*[F.lit(float(x)) for x in v])
+    content, columns = r(0, 0, 1, 1), F.array(r(0, 0, 0.5, 1), r(0.5, 0, 0.5, 1))
+    pick = lambda box: spark.range(1).select(layout.block_column(box, F.array(F.lit(0.7)), columns, content).alias("c")).first()["c"]["x"]
+    assert pick(r(0.55, 0.1, 0.3, 0.1)) == 0.5 and pick(r(0.1, 0.1, 0.8, 0.1)) == 0.0
