@@ -58,6 +58,8 @@ class Transducer:
                     self.unknown = i
                 self.out.append(b" \xe2\x81\x87 " if p.type == kinds.UNKNOWN else b"")
         self.longest = max(map(len, self.ids), default=1)
+        # The states of the piece transducer: beginnings of pieces, -1, and whole pieces, their ids.
+        self.arcs = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | self.ids
         self.far = min(self.scores.values(), default=0.0) - 10.0
         # Marks stand at the start of pieces only, so no piece crosses from another character to a mark.
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -65,6 +67,7 @@ class Transducer:
         else:
             self.chunks = re.compile(f"(?s){MARK}*[^{MARK}]+|{MARK}+")
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def normal(self, text: str) -> str:
@@ -106,23 +109,28 @@ class Transducer:
 
     def only_path(self, text: str) -> tuple[int, ...]:
         """With the acceptor: each place has one piece that a path with finite weight can end in, whatever follows."""
-        ids, known, longest, last = self.ids, self.pairs, self.longest, [""] + [None] * len(text)
-        for end in range(1, len(text) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+        arcs, known, size = self.arcs.get, self.pairs.get, len(text)
+        last: list[str | None] = [""] + [None] * size
+        for start in range(size):
+            before = last[start]
+            if before is None:
+                continue
+            for end in range(start + 1, size + 1):
                 piece = text[start:end]
-                if piece in ids and (before := last[start]) is not None:
-                    ok = known.get((before, piece))
+                i = arcs(piece)
+                if i is None:
+                    break
+                if i >= 0 and last[end] is None:
+                    ok = known((before, piece))
                     if ok or ok is None and self.accepts(before, piece):
                         last[end] = piece
-                        break
-            else:
-                if text[end - 1] not in ids and last[end - 1] is not None:
-                    last[end] = ""
-        out, end = [], len(text)
+            if last[start + 1] is None and text[start] not in self.ids:
+                last[start + 1] = ""
+        out, end = [], size
         while end:
             piece = last[end]
             if piece:
-                out.append([ids[piece]])
+                out.append([self.ids[piece]])
                 end -= len(piece)
             else:
                 out.append(self.fallback(text[end - 1]))
@@ -151,10 +159,13 @@ class Transducer:
         for chunk in self.chunks.findall(self.normal(text)):
             ids = seen.get(chunk)
             if ids is None:
-                ids = self.shortest(chunk)
+                ids = self.older.get(chunk)
+                if ids is None:
+                    ids = self.shortest(chunk)
                 if len(chunk) <= 40:
                     if len(seen) >= KEPT:
-                        seen.clear()
+                        self.older, self.seen = seen, {}
+                        seen = self.seen
                     seen[chunk] = ids
             out.extend(ids)
         return out
