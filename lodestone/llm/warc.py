@@ -45,15 +45,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("whole", F.coalesce(F.octet_length("body") == F.col("length"), F.lit(False)))
 
 
-def layout(records: DataFrame, *, id_col: str = "page_id", record_col: str = "record", per_file: int = 256) -> DataFrame:
-    """``records`` with ``file, ordinal, offset, length`` (long): ids in order, ``per_file`` neighbouring ids in a file.
+def hashed(records: DataFrame, record_col: str = "record") -> DataFrame:
+    """``records`` with ``length`` in octets and ``hash`` in place of the record itself, which nothing later moves."""
+    return records.withColumn("length", F.octet_length(record_col).cast("long")).withColumn("hash", F.sha2(record_col, 256)).drop(record_col)
 
-    Records that repeat an id follow each other by content. A null id has file -1.
+
+def layout(hashes: DataFrame, *, id_col: str = "page_id", per_file: int = 256) -> DataFrame:
+    """``hashes`` with ``file, ordinal, offset`` (long): ids in order, ``per_file`` neighbouring ids in a file.
+
+    Records that repeat an id follow each other by hash. A null id has file -1. Columns named as the new ones are replaced.
     """
     file = F.coalesce(F.floor(F.col(id_col) / per_file), F.lit(-1)).cast("long")
-    order = Window.partitionBy("file").orderBy(F.col(id_col).asc_nulls_last(), F.sha2(record_col, 256))
-    size = F.octet_length(record_col).cast("long")
-    out = records.withColumn("file", file).withColumn("length", size)
+    order = Window.partitionBy("file").orderBy(F.col(id_col).asc_nulls_last(), "hash")
+    out = hashes.withColumn("file", file)
     out = out.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
     return out.withColumn("offset", (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).cast("long"))
 
