@@ -16,7 +16,7 @@ TOGGLE_VERBS = ("打开", "开启", "关掉", "关闭", "停用", "启用", "别
 TOGGLE_NOUNS = ("上下文", "记忆", "长期记忆", "错题", "历史", "知识点", "画面", "观察", "策略", "调试")
 
 #: White space as Python's strip sees it, of what occurs in text.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def strip(x: Column) -> Column:
