@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Kept results of words, and of pairs of pieces, in a worker.
-KEPT = 400_000
+KEPT = 100_000
 
 
 class Transducer:
