@@ -280,6 +280,25 @@ def test_line_dedup_finds_what_brute_force_finds(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 40
 
 
+def line_links(rows, under=8, over=10):
+    """Documents dropped by brute force over all pairs of lines, one line a document."""
+    sets = {d: {t.lower()[i : i + 8] for i in range(max(1, len(t) - 7))} for d, t in rows}
+    ids = sorted(sets)
+    pairs = [(a, b) for a in ids for b in ids if a < b and over * len(sets[a] & sets[b]) >= under * len(sets[a] | sets[b])]
+    return {d for d, c in groups(pairs, ids).items() if d != c}
+
+
+def test_line_dedup_of_single_tokens_and_scripts_without_spaces(spark):
+    rng, rows = random.Random(5), []
+    for base, letters in enumerate(("abcdefghijklmnopqrstuvwxyz0123456789/", "".join(map(chr, range(0x1780, 0x17A0))), "".join(map(chr, range(0x1000, 0x1020))))):
+        for _ in range(12):
+            body = "".join(rng.choices(letters, k=300))
+            rows += [(len(rows), "https://www." * (base == 0) + body), (len(rows) + 1, "".join(rng.choices(letters, k=12)) + body[12:])]
+    want = line_links(rows)
+    assert len(want) == 36
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == want
+
+
 def test_mixing(spark):
     rows = [(i, "abc"[0 if i % 3 else 1 + i % 2]) for i in range(900)] + [(i, None) for i in range(900, 1000)] + [(5, "a")]
     table = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, position int")
