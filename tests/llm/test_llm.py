@@ -299,6 +299,12 @@ def test_line_dedup_of_single_tokens_and_scripts_without_spaces(spark):
     assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == want
 
 
+def test_line_dedup_of_lines_that_repeat_themselves(spark):
+    rows = list(enumerate(["-" * 40, "-" * 80, "=" * 30, "=" * 300, "." * 20, "." * 64, "abc" * 10, "abc" * 40]))
+    assert line_links(rows) == {1, 3, 5, 7}
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == {1, 3, 5, 7}
+
+
 def test_mixing(spark):
     rows = [(i, "abc"[0 if i % 3 else 1 + i % 2]) for i in range(900)] + [(i, None) for i in range(900, 1000)] + [(5, "a")]
     table = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, position int")
