@@ -305,6 +305,20 @@ def test_line_dedup_of_lines_that_repeat_themselves(spark):
     assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == {1, 3, 5, 7}
 
 
+def test_line_dedup_of_a_common_passage(spark):
+    rng, rows = random.Random(9), []
+    text = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    passage = text(320)
+    for _ in range(60):
+        tail = text(80)
+        rows += [passage + tail, passage + tail[:40] + text(40)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = line_links(rows)
+    assert len(want) == 60
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == want
+
+
 def test_mixing(spark):
     rows = [(i, "abc"[0 if i % 3 else 1 + i % 2]) for i in range(900)] + [(i, None) for i in range(900, 1000)] + [(5, "a")]
     table = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, position int")
