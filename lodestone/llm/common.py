@@ -2,33 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset, as in tests on one machine, a temporary folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.lodestone_path = path
-    return out
+from lodestone.operators.shared import shared_dir, written  # noqa: F401
 
 
 def sized(ids: DataFrame, most: int = 500_000) -> DataFrame:

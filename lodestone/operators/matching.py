@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.hashes import BAND_BITS, bands, hamming
 from lodestone.functions.scoring import cosine
+from lodestone.operators.shared import written
 
 
 def nearest(candidates: DataFrame, stored: DataFrame, least: float = 0.90, *, keys: list[str] | None = None, most_pairs_broadcast: int = 2_000) -> DataFrame:
@@ -53,26 +54,25 @@ def near_hashes(df: DataFrame, id_col: str, hash_col: str, most: int = 3) -> Dat
 def greedy_first(df: DataFrame, keys: list[str], order: list[str], hash_col: str, most: int = 3, schema: str | None = None) -> DataFrame:
     """Rows kept when each is held against those kept before it, in order, within a group: first ones win.
 
-    Not the components of the links: of A ~ B ~ C with A and C apart, A and C stay. The fold depends on order, so a
-    group is one task's work; exact copies are dropped beforehand, by groups that combine before the shuffle.
+    Not the components of the links: of A ~ B ~ C with A and C apart, A and C stay. Exact copies are dropped beforehand, by
+    groups that combine before the shuffle; rows without a hash all stay. Conflicts come from a join of bands. Then in each
+    round the rows that no undecided row precedes are kept and those in conflict with them go, until no conflict is left.
     """
-    firsts = df.withColumn("_o", F.struct(*order)).groupBy(*keys, hash_col).agg(F.min_by(F.struct(*[c for c in df.columns if c not in (*keys, hash_col)]), "_o").alias("_r"))
-    distinct = firsts.select(*keys, hash_col, "_r.*").select(*df.columns)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept, rows = np.empty(0, "uint64"), []
-        for at, h in zip(range(len(pdf)), pdf[hash_col], strict=True):
-            if pd.isna(h):
-                rows.append(at)
-                continue
-            h = np.uint64(int(h) & 0xFFFFFFFFFFFFFFFF)
-            if not len(kept) or np.bitwise_count(kept ^ h).min() > most:
-                kept = np.append(kept, h)
-                rows.append(at)
-        return pdf.iloc[rows]
-
-    return distinct.groupBy(*keys).applyInPandas(fold, distinct.schema)
+    some = df.where(F.col(hash_col).isNotNull()).withColumn("_o", F.struct(*order))
+    firsts = some.groupBy(*keys, hash_col).agg(F.min_by(F.struct(*[c for c in df.columns if c not in (*keys, hash_col)]), "_o").alias("_r"))
+    distinct = written(firsts.select(*keys, hash_col, "_r.*").select(*df.columns), "distinct")
+    node = distinct.select(F.struct(*keys).alias("g"), F.col(hash_col).alias("h"), F.struct(*order).alias("o"))
+    entries = node.select("g", F.struct("o", "h").alias("x"), F.posexplode(bands(F.col("h"), most + 1)).alias("k", "band"))
+    both = entries.join(entries.withColumnRenamed("x", "y"), ["g", "k", "band"]).where((F.col("x") < F.col("y")) & (hamming(F.col("x.h"), F.col("y.h")) <= most))
+    left = written(both.select("g", F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "conflicts")
+    dropped = node.select("g", "h").limit(0)
+    while not left.isEmpty():
+        later = left.select("g", F.col("b").alias("a")).distinct()
+        gone = written(left.join(later, ["g", "a"], "left_anti").select("g", F.col("b").alias("h")).distinct(), "gone")
+        left = written(left.join(gone.withColumnRenamed("h", "b"), ["g", "b"], "left_anti").join(gone.withColumnRenamed("h", "a"), ["g", "a"], "left_anti").select("g", "a", "b"), "conflicts")
+        dropped = dropped.unionByName(gone)
+    kept = distinct.withColumn("g", F.struct(*keys)).join(dropped.withColumnRenamed("h", hash_col), ["g", hash_col], "left_anti").select(*df.columns)
+    return kept.unionByName(df.where(F.col(hash_col).isNull()))
 
 
 def semantic_upsert(stored: DataFrame, candidates: DataFrame, account: str = "account_id", least: float = 0.90) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashes, labels, scoring, text
 from lodestone.operators import aggregates as agg
 from lodestone.operators import filters, layout, matching, ranking, state
+from lodestone.operators.shared import written
 from lodestone.plans import intent, memory, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,11 +189,26 @@ def j4_near_questions(spark, sf_dir):
     return matching.near_hashes(f20_simhash(spark, sf_dir), "id", "simhash", 3)
 
 
+SIMHASH_DOCUMENTS_SQL = SIMHASH_SQL.replace("item_id", "doc_id").replace("benchmark", "documents")
+
+
+@query(f"WITH {SIMHASH_DOCUMENTS_SQL} SELECT documents.doc_id AS id, simhash FROM documents LEFT JOIN sim ON sim.id = documents.doc_id")
+def f20_simhash_documents(spark, sf_dir):
+    """F20 over documents."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hashes.simhash(hashes.normalized(F.col("text"))).alias("simhash"))
+
+
+@query(f"WITH {SIMHASH_DOCUMENTS_SQL} SELECT a.id AS a, b.id AS b, bit_count(xor(a.simhash, b.simhash))::BIGINT AS distance FROM sim a JOIN sim b ON a.id < b.id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3")
+def j4_near_documents(spark, sf_dir):
+    """J4 F21 over documents."""
+    return matching.near_hashes(written(f20_simhash_documents(spark, sf_dir), "simhash"), "id", "simhash", 3)
+
+
 @query()
 def q6_question_set(spark, sf_dir):
-    """Benchmark items kept, first ones first."""
-    items = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("session"), "item_id", F.col("text").alias("stem"))
-    return study.question_set(items, ["session"], ["item_id"]).select("item_id", "fingerprint")
+    """Documents kept of each source, first ones first."""
+    items = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), "doc_id", F.col("text").alias("stem"))
+    return study.question_set(items, ["session"], ["doc_id"]).select("doc_id", "fingerprint")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'idiot') OR contains(text, 'clown') OR (source = 'src1' AND lang <> 'en')")

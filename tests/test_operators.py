@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -15,6 +16,29 @@ def test_greedy_keeps_first(spark):
     assert [r["n"] for r in matching.greedy_first(df, ["s"], ["n"], "h", 3).orderBy("n").collect()] == [1, 3]
 
 
+def test_greedy_is_the_fold_and_no_group_is_one_task(spark):
+    rng = random.Random(4)
+    near = lambda h: h ^ sum(1 << b for b in rng.sample(range(60), rng.randrange(4)))
+    hashes = [rng.getrandbits(60) for _ in range(10)]
+    for _ in range(150):
+        hashes.append(near(rng.choice(hashes)))
+    rows = [("st"[i % 2] if i % 5 else None, i, None if i % 40 == 7 else h) for i, h in enumerate(hashes)]
+    want, kept = [], {}
+    for s, n, h in rows:
+        if h is None or all((h ^ k).bit_count() > 3 for k in kept.get(s, [])):
+            want.append(n)
+            kept.setdefault(s, []).extend([] if h is None else [h])
+    out = matching.greedy_first(spark.createDataFrame(rows, "s string, n int, h long"), ["s"], ["n"], "h", 3)
+    assert sorted(r["n"] for r in out.collect()) == want and len(want) < 120
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_question_set_runs_over_documents(spark):
+    out = entry.queries()["q6_question_set"](spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert out.columns == ["doc_id", "fingerprint"] and docs.count() > out.count() > 40
+
+
 def test_bands_find_what_brute_force_finds(spark):
     df = spark.range(60).select("id", F.pmod(F.xxhash64(F.col("id") % 20), F.lit(1 << 58)).alias("h"))
     df = df.withColumn("h", F.when(F.col("id") % 3 == 0, F.col("h").bitwiseXOR(5)).otherwise(F.col("h")))
