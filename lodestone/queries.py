@@ -426,8 +426,9 @@ def p15_row_holds(spark, sf_dir):
 
 @query()
 def q8_regions(spark, sf_dir):
-    """Lines on pages, made from documents by rule."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), F.posexplode(F.slice(F.split("text", r"\.\s*"), 1, 12)).alias("i", "t"))
+    """Lines on pages, made from documents by rule: each dozen of sentences is a page."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), F.posexplode(F.split("text", r"\.\s*")).alias("i", "t"))
+    docs = docs.select(F.concat_ws(":", "page", F.floor(F.col("i") / 12).cast("string")).alias("page"), (F.col("i") % 12).alias("i"), "t")
     lines = docs.select("page", F.lit(0.1).alias("x"), (0.02 + F.col("i") * 0.075).alias("y"), F.lit(0.7).alias("w"), F.lit(0.03).alias("h"), F.when(F.col("i") % 3 == 1, F.concat(F.col("i").cast("string"), F.lit(". "), F.col("t"))).otherwise(F.col("t")).alias("text"), F.lit(0.9).alias("confidence"))
     return layout.regions(lines)
 

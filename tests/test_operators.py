@@ -39,6 +39,15 @@ def test_question_set_runs_over_documents(spark):
     assert out.columns == ["doc_id", "fingerprint"] and docs.count() > out.count() > 40
 
 
+def test_regions_of_every_sentence(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dozens = docs.select("doc_id", F.posexplode(F.split("text", r"\.\s*")).alias("i", "t")).where("trim(t) <> ''").select(F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("i") / 12).cast("string")).alias("page")).distinct()
+    got = entry.queries()["q8_regions"](spark, "/root/testdata/sf0.001").select("page").distinct()
+    assert got.where("not page like '%:0'").count() > 100 and got.join(dozens, "page", "left_anti").count() == 0
+    # A page of one or two numbered lines and a page of a single line may lose what is too small or stands before them.
+    assert got.count() >= 0.9 * dozens.count()
+
+
 def test_bands_find_what_brute_force_finds(spark):
     df = spark.range(60).select("id", F.pmod(F.xxhash64(F.col("id") % 20), F.lit(1 << 58)).alias("h"))
     df = df.withColumn("h", F.when(F.col("id") % 3 == 0, F.col("h").bitwiseXOR(5)).otherwise(F.col("h")))
