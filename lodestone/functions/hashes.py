@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Bits of a SimHash here: fifteen hex digits of an md5.
 BITS = 60
-BAND_BITS = 15
 
 
 def normalized(text: Column) -> Column:
@@ -47,8 +46,9 @@ def hex_hamming(a: Column, b: Column) -> Column:
 
 
 def bands(x: Column, count: int = 4) -> Column:
-    """Slices of a SimHash: hashes that differ in fewer bits than there are slices have one in common."""
-    return F.array(*[F.shiftrightunsigned(x, i * BAND_BITS).bitwiseAND((1 << BAND_BITS) - 1) for i in range(count)])
+    """Slices that cover all 64 bits: hashes that differ in fewer bits than there are slices have one in common."""
+    width = -(-64 // count)
+    return F.array(*[F.shiftrightunsigned(x, i * width).bitwiseAND((1 << width) - 1) for i in range(count) if i * width < 64])
 
 
 def average_hash(values: Column) -> Column:
@@ -57,5 +57,11 @@ def average_hash(values: Column) -> Column:
     return F.transform(F.array(F.struct(values.alias("v"), mean.alias("m"))), lambda p: F.transform(p["v"], lambda x: x >= p["m"]))[0]
 
 
+def packed(flags: Column) -> Column:
+    """Up to 64 booleans as the bits of a long, the first one lowest."""
+    bit = lambda x, i: F.when(x, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(flags, bit), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b

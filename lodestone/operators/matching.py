@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.hashes import BAND_BITS, bands, hamming
+from lodestone.functions.hashes import bands, hamming
 from lodestone.functions.scoring import cosine
 from lodestone.operators.shared import written
 
@@ -38,7 +38,7 @@ def near_hashes(df: DataFrame, id_col: str, hash_col: str, most: int = 3) -> Dat
 
     Equal hashes are one class and joined once; a pair of classes that shares several bands is made in the first only.
     """
-    if (most + 1) * BAND_BITS > 64:
+    if most > 31:
         raise ValueError("more bands than the hash has")
     classes = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(id_col).alias("rep"))
     entries = classes.select(F.col(hash_col).alias("h"), F.posexplode(bands(F.col(hash_col), most + 1)).alias("k", "band"))

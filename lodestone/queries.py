@@ -340,6 +340,22 @@ def j8_enriched(spark, sf_dir):
     return items.join(orders, "l_orderkey", "left")
 
 
+@query("""SELECT m.kind, m.id, d.text AS body FROM (SELECT 'mistake' AS kind, o_orderkey AS id FROM orders UNION ALL SELECT 'learning', c_custkey FROM customer) m
+    LEFT JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN 'mistake' ELSE 'learning' END AS kind, doc_id AS id, text FROM documents) d ON d.kind = m.kind AND d.id = m.id""")
+def j9_bodies(spark, sf_dir):
+    """A left join on kind and id."""
+    orders, customers = (table(spark, sf_dir, t).select(F.lit(k).alias("kind"), F.col(c).alias("id")) for t, k, c in (("orders", "mistake", "o_orderkey"), ("customer", "learning", "c_custkey")))
+    bodies = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "mistake").otherwise("learning").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return orders.unionByName(customers).join(bodies, ["kind", "id"], "left").select("kind", "id", "body")
+
+
+@query()
+def j5_near_images(spark, sf_dir):
+    """Average hashes within 5 bits; the first 64 values of a vector stand for a grid of luma."""
+    grid = F.slice(F.col("embedding").cast("array<double>"), 1, 64)
+    return matching.near_hashes(written(table(spark, sf_dir, "embeddings").select("vec_id", hashes.packed(hashes.average_hash(grid)).alias("hash")), "images"), "vec_id", "hash", 5)
+
+
 @query("""WITH f AS (SELECT o.o_orderkey AS id, o.o_custkey AS session_id, o_totalprice FROM orders o WHERE o_orderstatus = 'F' AND contains(o_orderpriority, 'HIGH')), t AS (SELECT count(*) AS total FROM f)
     SELECT p.session_id, p.id, p.o_totalprice, t.total, true AS has_prev, t.total > 60 AS has_next, 41 AS "first", least(60, t.total) AS "last", c.c_name AS session_title
     FROM (SELECT * FROM f ORDER BY o_totalprice DESC, id LIMIT 20 OFFSET 40) p CROSS JOIN t LEFT JOIN customer c ON c.c_custkey = p.session_id""")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestone.functions import hashes
 from lodestone.operators import layout, matching, ranking, state
 from lodestone.plans import memory
 from lodestone.sources import shards
@@ -48,6 +49,22 @@ def test_regions_of_every_sentence(spark):
     assert got.count() >= 0.9 * dozens.count()
 
 
+def test_images_within_five_bits(spark):
+    rng = random.Random(6)
+    base = [[rng.random() < 0.5 for _ in range(64)] for _ in range(8)]
+    grids = [[float(x != (i in flips)) for i, x in enumerate(b)] for b in base for flips in [rng.sample(range(64), k) for k in (0, 2, 4)]]
+    df = spark.createDataFrame(list(enumerate(grids)), "id long, v array<double>").select("id", hashes.packed(hashes.average_hash(F.col("v"))).alias("h"))
+    want = {(a, b) for a in range(24) for b in range(a + 1, 24) if sum(x != y for x, y in zip(grids[a], grids[b], strict=True)) <= 5}
+    assert {(r["a"], r["b"]) for r in matching.near_hashes(df, "id", "h", 5).collect()} == want and len(want) >= 16
+
+
+def test_bodies_by_two_keys(spark):
+    out = entry.queries()["j9_bodies"](spark, "/root/testdata/sf0.001")
+    t = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").count() for n in ("orders", "customer")}
+    assert out.count() == sum(t.values()) and out.where("body is not null and (id % 2 = 0) <> (kind = 'mistake')").count() == 0
+    assert entry.queries()["j5_near_images"](spark, "/root/testdata/sf0.001").where("distance > 5").count() == 0
+
+
 def test_bands_find_what_brute_force_finds(spark):
     df = spark.range(60).select("id", F.pmod(F.xxhash64(F.col("id") % 20), F.lit(1 << 58)).alias("h"))
     df = df.withColumn("h", F.when(F.col("id") % 3 == 0, F.col("h").bitwiseXOR(5)).otherwise(F.col("h")))
