@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from lodestone.operators.shared import shared_dir, written  # noqa: F401
 
 
-def sized(ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """A narrow table to join with: broadcast if it has been counted and is small, else left to a shuffle."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+#: Bytes of Parquet up to which a written table is broadcast.
+SMALL = 8_000_000
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that nothing needs any more."""
+def stored(df: DataFrame):
+    """The Hadoop path and file system of a table of ``written``."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.lodestone_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A table of ``written`` to join with: broadcast if its files are small, else left to a shuffle."""
+    path, files = stored(table)
+    return F.broadcast(table) if files.getContentSummary(path).getLength() <= SMALL else table
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing needs any more."""
+    path, files = stored(df)
+    files.delete(path, True)
 
 
 def large_star(edges: DataFrame) -> DataFrame:
