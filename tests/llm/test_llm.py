@@ -128,6 +128,39 @@ def test_sentencepiece_is_the_library(spark):
     assert back == dict(enumerate(texts)) | {999: None}
 
 
+def test_sentencepiece_unigram_is_the_library(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng, proto = random.Random(4), pb.ModelProto()
+    proto.ParseFromString(sentencepiece_fst.model_bytes(PIECES))
+    del proto.pieces[:]
+    proto.trainer_spec.model_type = 1
+    kinds = pb.ModelProto.SentencePiece
+    for piece, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL), *((f"<0x{i:02X}>", kinds.BYTE) for i in range(256))):
+        proto.pieces.add(piece=piece, score=0, type=kind)
+    names = {"▁", *"abcd", *("".join(rng.choices("abcd", k=rng.randrange(2, 6))) for _ in range(60)), *("▁" + "".join(rng.choices("abcd", k=rng.randrange(1, 5))) for _ in range(40))}
+    for piece in sorted(names):
+        proto.pieces.add(piece=piece, score=-rng.uniform(1, 12), type=kinds.NORMAL)
+    proto.trainer_spec.vocab_size = len(proto.pieces)
+    model = proto.SerializeToString()
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["", " ", "abcdé", "ab\ncd e", "é" * 3, "x" * 60] + [" ".join("".join(rng.choices("abcdabcdé", k=rng.randrange(1, 30))) for _ in range(12)) for _ in range(60)]
+    got = {r["doc_id"]: r["ids"] for r in sentencepiece_fst.encode(docs(spark, list(enumerate(texts))), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [theirs.encode(t) for t in texts]
+    proto.pieces[-1].type = kinds.USER_DEFINED
+    with pytest.raises(ValueError):
+        sentencepiece_fst.Transducer(proto.SerializeToString())
+
+
+def test_sentencepiece_of_nothing_and_of_repeats(spark):
+    model = sentencepiece_fst.model_bytes(PIECES)
+    table = spark.createDataFrame([(1, "same words", [7], 3), (1, "same words", [8], 4), (2, None, None, None)], "doc_id long, text string, ids array<int>, n_tokens int")
+    rows = sentencepiece_fst.encode(table, model).collect()
+    assert len(rows) == 3 and rows[0]["ids"] == rows[1]["ids"] != [7] and rows[2]["n_tokens"] == 0
+    assert sentencepiece_fst.encode(table.limit(0), model).count() == 0 and sentencepiece_fst.decode(sentencepiece_fst.encode(table, model), model).count() == 3
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     ordinary = ["meadow", "river", "stone", "window", "paper", "garden", "silver", "morning", "letter", "bridge"]
