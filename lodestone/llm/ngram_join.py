@@ -2,8 +2,9 @@
 
 A document's distinct word n-grams are hashed into groups; the numbers of n-grams in the groups are its point. Two sets
 share at most the sum, over groups, of the smaller count, so a pair of points, or of boxes of points, whose summed minima
-are too small cannot link. The levels of the tree that are spread over the cluster pin one group each (``blocks``); within
-a block boxes are packed and joined (``BoxTree``); what survives is verified on the sets themselves.
+are too small cannot link. The levels of the tree that are spread over the cluster pin one group each (``blocks``); below them
+boxes are packed and joined (``BoxTree``); what survives is verified on the sets themselves, in the task that found it, and
+only the links that join something leave the task. Sets are held as 64-bit hashes of their n-grams.
 
 Why the pins lose nothing: sets A and B with Jaccard >= t differ in at most (1 - t) / (1 + t) * (|A| + |B|) n-grams. With
 more groups than that, some group holds exactly the same n-grams in both. The number of groups depends on the size class,
@@ -40,7 +41,7 @@ class Rule:
         """The smallest overlap that links two sets of ``total`` members together."""
         return -(-total * self.under // (self.under + self.over))
 
-    def classes(self, largest: int) -> list[tuple[int, int, int, int]]:
+    def classes(self, largest: int = 2**31) -> list[tuple[int, int, int, int]]:
         """Size classes as (from, to, groups, spare): a linked pair lies in one class or in two neighbouring ones.
 
         Linked sets differ in at most r n-grams, so of ``r + 1 + spare`` groups more than ``spare`` are alike. A set with
@@ -84,9 +85,9 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def point_of(s: np.ndarray) -> np.ndarray:
+def point_of(s: np.ndarray, groups: int = POINT) -> np.ndarray:
     """The counts of the groups."""
-    return np.bincount((mixed(s, 1) % np.uint64(POINT)).astype("int64"), minlength=POINT).astype("int32")
+    return np.bincount((mixed(s, 1) % np.uint64(groups)).astype("int64"), minlength=groups).astype("int32")
 
 
 def pins(s: np.ndarray, rule: Rule, classes: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -109,43 +110,43 @@ def pins(s: np.ndarray, rule: Rule, classes: list[tuple[int, int, int, int]]) ->
 
 
 class BoxTree:
-    """Points packed into boxes of boxes; joins itself, leaving pairs of boxes whose summed minima are too small."""
+    """Points packed into boxes of boxes; joins itself, leaving pairs of boxes whose summed minima are too small.
+
+    ``labels`` say what is joined already: boxes that lie in one and the same component are left as well.
+    """
 
     FAN = 16
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((*points.T[np.argsort(points.std(axis=0))][-3:], sizes))
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        self.levels = []
-        high, least = self.points, self.sizes
-        while len(high) > 1:
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None):
+        labels = np.arange(len(sizes)) if labels is None else labels
+        order = np.lexsort((*points.T[np.argsort(points.std(axis=0))][-3:], sizes, labels))
+        self.order = order
+        self.levels = [(points[order], sizes[order], labels[order], labels[order])]
+        while len(self.levels[-1][0]) > 1:
+            high, least, x, y = self.levels[-1]
             cut = np.arange(0, len(high), self.FAN)
-            high, least = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(least, cut)
-            self.levels.append((high, least))
+            self.levels.append((np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(least, cut), np.minimum.reduceat(x, cut), np.maximum.reduceat(y, cut)))
 
     def pairs(self, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions in the points given, whose bound reaches what linking needs."""
-        if len(self.sizes) < 2:
-            return
-        open_pairs = np.zeros((1, 2), "int64")
-        for high, least in [*self.levels[-2::-1], (self.points, self.sizes)]:
-            kids = np.arange(self.FAN)
-            found = []
-            for strip in np.array_split(open_pairs, max(1, len(open_pairs) // 256)):
-                i = (strip[:, :1] * self.FAN + kids)[:, :, None] + np.zeros((1, 1, self.FAN), "int64")
-                j = (strip[:, 1:] * self.FAN + kids)[:, None, :] + np.zeros((1, self.FAN, 1), "int64")
-                i, j = i.ravel(), j.ravel()
-                fits = (i < len(least)) & (j < len(least)) & ((i < j) if high is self.points else (i <= j))
-                i, j = i[fits], j[fits]
-                bound = np.minimum(high[i], high[j]).sum(axis=1)
-                near = bound >= rule.least(least[i] + least[j])
-                if high is self.points:
-                    if near.any():
-                        yield self.order[i[near]], self.order[j[near]]
-                else:
-                    found.append(np.stack([i[near], j[near]], axis=1))
-            if high is not self.points:
-                open_pairs = np.concatenate(found)
+        """Pairs of positions in the points given, whose bound reaches what linking needs, from the root down, strip by strip."""
+        if len(self.order) > 1:
+            yield from self.below(rule, len(self.levels) - 2, np.zeros((1, 2), "int64"))
+
+    def below(self, rule: Rule, level: int, open_pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        high, least, x, y = self.levels[level]
+        kids = np.arange(self.FAN)
+        for strip in np.array_split(open_pairs, len(open_pairs) // 256 + 1):
+            i = ((strip[:, :1] * self.FAN + kids)[:, :, None] + np.zeros((1, 1, self.FAN), "int64")).ravel()
+            j = ((strip[:, 1:] * self.FAN + kids)[:, None, :] + np.zeros((1, self.FAN, 1), "int64")).ravel()
+            fits = (i < len(least)) & (j < len(least)) & ((i < j) if level == 0 else (i <= j))
+            i, j = i[fits], j[fits]
+            apart = (x[i] != y[i]) | (x[j] != y[j]) | (x[i] != x[j])
+            i, j = i[apart], j[apart]
+            near = np.minimum(high[i], high[j]).sum(axis=1) >= rule.least(least[i] + least[j])
+            if level == 0:
+                yield self.order[i[near]], self.order[j[near]]
+            elif near.any():
+                yield from self.below(rule, level - 1, np.stack([i[near], j[near]], axis=1))
 
 
 def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text", chunk: int = 2048) -> DataFrame:
@@ -158,30 +159,33 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (8
     the set of each. A null id stays, unlinked, with a null component. Other columns are ignored.
 
     Equal sets are one class with a representative from the start. Blocks send a star of links to their least member, so
-    near-copies are found without making their pairs; only blocks whose members are still in different components after
-    that are joined in full, across components, in pieces of ``chunk`` members a side. No pair is capped or dropped.
+    near-copies are found without making their pairs. Blocks whose members are still in different components after that
+    are put together with those they share members with, and each such group is joined in full by a tree, across
+    components, in pieces of about ``chunk`` members. No pair is capped or dropped.
     """
     rule = Rule(*threshold)
+    classes = rule.classes()
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, at = flattened(b.column("s"))
+            found = [pins(flat[at[k] : at[k + 1]], rule, classes).view("int64") for k in range(b.num_rows)]
+            ends = np.cumsum([0, *map(len, found)])
+            blocks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "int64"), *found])))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), b.column("set"), blocks], names=["id", "n", "set", "blocks"])
+
     sets = shingle_sets(docs, n, id_col=id_col, text_col=text_col)
-    member = written(sets.select("id", F.size("s").cast("long").alias("n"), F.struct(F.xxhash64("s"), F.hash("s"), F.size("s")).alias("set")), "members")
+    member = sets.select("id", F.size("s").cast("long").alias("n"), F.struct(F.xxhash64("s").alias("x"), F.hash("s").alias("y"), F.size("s").alias("z")).alias("set"), "s")
+    member = written(member.mapInArrow(enter, "id long, n long, set struct<x: long, y: int, z: int>, blocks array<long>"), "members")
     reps = member.where("n > 0 and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = written(reps, "classes")
-    largest = member.agg(F.max("n")).first()[0] or 0
-    classes = rule.classes(largest)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """``id, s`` of some ids: texts are picked first, so that sets are not shuffled."""
-        picked = docs.join(sized(ids.select(F.col("id").alias(id_col))), id_col, "left_semi")
+        """``id, s`` of the ids of a written table: texts are picked first, so that sets are not shuffled."""
+        picked = docs.join(sized(ids).select(F.col("id").alias(id_col)), id_col, "left_semi")
         return shingle_sets(picked, n, id_col=id_col, text_col=text_col)
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, s = b.column("id").to_numpy(zero_copy_only=False), b.column("s")
-            flat, at = s.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
-            found = [pins(flat[at[k] : at[k + 1]], rule, classes) for k in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("int64")), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["block", "id"])
-
-    entries = sets_of(reps.select(F.col("rep").alias("id"))).mapInArrow(enter, "block long, id long")
+    entries = member.join(sized(reps).select(F.col("rep").alias("id")), "id", "left_semi").select(F.explode("blocks").alias("block"), "id")
     keyed = entries.repartition("block").sortWithinPartitions("block", "id")
     runs = written(keyed.mapInArrow(stars, "block long, a long, b long").distinct(), "blocks")
     starred = runs.where("a <> b").select("a", "b").distinct()
@@ -190,14 +194,10 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (8
 
     # Members of blocks of three and more, whose star did not join them all.
     inside = runs.where("block is not null").select("block", F.col("b").alias("id")).join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_blocks = inside.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y")
-    left = written(inside.join(mixed_blocks.select("block", "members"), "block"), "open")
-    if left.isEmpty():
-        found = first
-    else:
-        more = verified(boxed(left, sets_of, rule, chunk), sets_of, rule)
-        found = components(links.unionByName(more))
-    out = member.join(reps, "set", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    mixed_blocks = inside.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("least")).where("x <> y")
+    left = written(inside.join(mixed_blocks.select("block", "least"), "block").select("id", "component", "least").distinct(), "open")
+    found = first if left.isEmpty() else components(links.unionByName(tree_links(left, sets_of, rule, chunk)))
+    out = member.drop("blocks").join(reps, "set", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule:
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = b.column("s")
-            flat, at = s.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
+            flat, at = flattened(s)
             found = [point_of(flat[at[k] : at[k + 1]]).tobytes() for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("id"), s, pa.array(found, pa.binary())], names=["id", "s", "p"])
 
@@ -260,26 +260,69 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule:
     return written(both.where(F.col("shared") * rule.over >= (F.size("s_a") + F.size("s_b") - F.col("shared")) * rule.under).select("a", "b"), "verified")
 
 
-def boxed(left: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule: Rule, chunk: int) -> DataFrame:
-    """Pairs across components within the blocks of ``left``, by box trees over at most two pieces of ``chunk`` members."""
+def flattened(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and where each list begins and ends among them."""
+    return column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = b.column("s")
-            flat, at = s.flatten().to_numpy(), s.offsets.to_numpy() - s.offsets[0].as_py()
-            found = [point_of(flat[at[k] : at[k + 1]]).tobytes() for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at).astype("int64")), pa.array(found, pa.binary())], names=["id", "n", "p"])
 
-    with_points = left.join(sets_of(left.select("id").distinct()).mapInArrow(points, "id long, n long, p binary"), "id")
-    pieces = F.ceil(F.col("members") / chunk)
-    cut = with_points.withColumn("piece", F.pmod(F.xxhash64("id"), pieces))
-    grid = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).select("block", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "id", "component", "n", "p")
+def tree_links(left: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule: Rule, chunk: int) -> DataFrame:
+    """Links ``a, b`` between components, by box trees: with those that are there they give all components.
 
-    def join(table: pa.Table) -> pa.Table:
-        ids, comp, n = (table[c].to_numpy() for c in ("id", "component", "n"))
-        p = np.frombuffer(b"".join(table["p"].to_pylist()), "int32").reshape(-1, POINT)
-        found = [np.stack([ids[i], ids[j]], axis=1)[comp[i] != comp[j]] for i, j in BoxTree(p, n).pairs(rule)]
-        rows = np.concatenate([np.zeros((0, 2), "int64"), *found])
-        return pa.table({"a": pa.array(rows.min(axis=1, initial=2**62)) if len(rows) else pa.array([], pa.int64()), "b": pa.array(rows.max(axis=1)) if len(rows) else pa.array([], pa.int64())})
+    ``left``: ``id, component, least``, the members of open blocks with the least member of each. Blocks that share members
+    are one group, so a set goes to one group only. A group is dealt to pieces: components of more than ``chunk`` members
+    to pieces of their own, the others by component. Two pieces meet in one task unless they are of one component. Long
+    sets count as several members.
+    """
+    groups = components(left.select(F.col("least").alias("a"), F.col("id").alias("b")))
+    member = left.select("id", "component").distinct()
+    ids = written(member.select("id"), "asked")
+    sets = sets_of(ids).withColumn("weight", 1 + F.floor(F.size("s") / 1024))
+    placed = written(member.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id").join(sets, "id"), "sets")
+    weights = placed.groupBy("group", "component").agg(F.sum("weight").alias("w"))
+    own = weights.where(F.col("w") > chunk).select("group", "component", F.ceil(F.col("w") / chunk).alias("own"))
+    rest = weights.where(F.col("w") <= chunk).groupBy("group").agg(F.ceil(F.sum("w") / chunk).alias("rest"))
+    dealt = placed.join(own, ["group", "component"], "left").join(rest, "group", "left")
+    piece = F.when(F.col("own").isNull(), F.struct(F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("component"), F.col("rest")).alias("nth")))
+    dealt = dealt.withColumn("piece", piece.otherwise(F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.col("own")).alias("nth"))))
+    pieces = written(dealt.select("group", "piece").distinct(), "pieces")
+    met = pieces.alias("x").join(pieces.alias("y"), "group").where("x.piece <= y.piece and (x.piece.of <> y.piece.of or x.piece.of = -1)")
+    cells = met.select("group", F.col("x.piece").alias("x"), F.col("y.piece").alias("y"))
+    cells = written(cells.select("group", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("piece")), "cells")
 
-    return written(grid.groupBy("block", "x", "y").applyInArrow(join, "a long, b long").distinct(), "pairs")
+    def join(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp = table["id"].to_numpy(), np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        flat, at = flattened(table["s"].combine_chunks())
+        rows = [flat[at[k] : at[k + 1]] for k in range(len(ids))]
+        out = forest(rows, comp, rule) if comp.max(initial=0) else []
+        return pa.table({"a": pa.array([int(min(ids[i], ids[j])) for i, j in out], pa.int64()), "b": pa.array([int(max(ids[i], ids[j])) for i, j in out], pa.int64())})
+
+    grid = dealt.select("group", "piece", "id", "component", "s").join(cells, ["group", "piece"])
+    return written(grid.groupBy("group", "x", "y").applyInArrow(join, "a long, b long"), "tree-links")
+
+
+def forest(sets: list[np.ndarray], comp: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Links between rows of different components, by a box tree: verified on the sets, fewer than there are components."""
+    sizes = np.array([len(s) for s in sets], "int64")
+    tree = BoxTree(np.array([point_of(s) for s in sets]), sizes, comp)
+    fine: dict[int, np.ndarray] = {}
+    label, out = np.arange(comp.max() + 1), []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i, j in tree.pairs(rule):
+        for a, b in zip(i.tolist(), j.tolist()):
+            if (x := root(comp[a])) == (y := root(comp[b])):
+                continue
+            for k in (a, b):  # sixteen times as many coordinates leave few pairs that do not link
+                if k not in fine:
+                    fine[k] = point_of(sets[k], 16 * POINT).astype("uint16" if sizes[k] < 65536 else "int32")
+            need = rule.least(sizes[a] + sizes[b])
+            if int(np.minimum(fine[a], fine[b]).sum(dtype="int64")) >= need and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= need:
+                label[max(x, y)] = min(x, y)
+                out.append((a, b))
+    return out
