@@ -1,56 +1,61 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks. Block j of a source with weight w = n / D may not start before slot
-floor((j - 1) / w) and is due by slot ceil(j / w); the earliest deadline among released blocks goes first. At every
-slot each source is then less than one block away from its target share. All windows repeat after D slots, so the
-schedule of D slots, which does not grow with the data, gives the slot of every block.
+Each source's documents form blocks. Block j of a source with weight w may not start before slot floor((j - 1) / w) and is
+due by slot ceil(j / w); the earliest deadline among released blocks goes first. At every slot each source is then less
+than one block away from its target share. Weights are exact fractions, so nothing adds up over long mixes; the number of
+slots is bounded because blocks are larger in larger tables.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
-    """The weights as whole numbers of slots that add up to ``slots``: at least one each, else by largest remainders."""
-    if len(weights) > slots:
-        raise ValueError(f"{len(weights)} sources need at least as many slots; there are {slots}")
-    if any(not w > 0 for w in weights.values()):
+def exact(weights: Mapping[str | None, float | Fraction]) -> dict[str | None, int]:
+    """The weights as whole numbers in the same proportions; a float counts as the decimal number it is written as."""
+    given = {x: w if isinstance(w, Fraction) else Fraction(str(w)) for x, w in weights.items()}
+    if any(w <= 0 for w in given.values()):
         raise ValueError("a weight must be positive")
-    names = sorted(weights, key=lambda x: (x is not None, x))
-    total = sum(weights.values())
-    exact = {x: slots * weights[x] / total for x in names}
-    out = {x: max(1, int(exact[x])) for x in names}
-    while (left := slots - sum(out.values())) != 0:
-        step = 1 if left > 0 else -1
-        x = max((x for x in names if out[x] + step >= 1), key=lambda x: step * (exact[x] - out[x]))
-        out[x] += step
-    return out
+    whole = lcm(*(w.denominator for w in given.values()))
+    return {x: int(w * whole) for x, w in given.items()}
+
 
+def pfair_slots(weights: Mapping[str | None, float | Fraction], blocks: Mapping[str | None, int]) -> list[str | None]:
+    """Which source has each slot until all blocks are placed: earliest deadline first among the released ones.
 
-def pfair_slots(share: Mapping[str | None, int]) -> list[str | None]:
-    """Which source has each slot of one period: earliest deadline first among the released blocks."""
-    period, names = sum(share.values()), list(share)
-    waiting = [(0, i, 1) for i in range(len(names))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * period // share[names[i]]), i, j))
-        _, i, j = heapq.heappop(ready)
-        out.append(names[i])
-        heapq.heappush(waiting, (j * period // share[names[i]], i, j + 1))
+    When a source has run out, the others start anew with their weights among themselves.
+    """
+    share = exact(weights)
+    left = {x: n for x, n in sorted(blocks.items(), key=lambda kv: (kv[0] is not None, kv[0])) if n}
+    out: list[str | None] = []
+    while left:
+        names, total, start = list(left), sum(share[x] for x in left), len(out)
+        waiting = [(0, i, 1) for i in range(len(names))]  # release, source, block
+        ready: list[tuple[int, int, int]] = []  # deadline, source, block
+        while all(left[x] for x in names):
+            while waiting and waiting[0][0] <= len(out) - start:
+                _, i, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-j * total // share[names[i]]), i, j))
+            _, i, j = heapq.heappop(ready)
+            out.append(names[i])
+            left[names[i]] -= 1
+            heapq.heappush(waiting, (j * total // share[names[i]], i, j + 1))
+        left = {x: n for x, n in left.items() if n}
     return out
 
 
-def source_counts(docs: DataFrame, source_col: str = "source", slots: int = 1024) -> dict[str | None, int]:
-    """Rows of each source. At most ``slots`` sources can be mixed, so what comes to the driver is bounded."""
-    rows = docs.groupBy(source_col).count().limit(slots + 1).collect()
+def source_counts(docs: DataFrame, source_col: str = "source", most: int = 100_000) -> dict[str | None, int]:
+    """Rows of each source; more than ``most`` sources are an error, so what comes to the driver is bounded."""
+    rows = docs.groupBy(source_col).count().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} sources")
     return {r[0]: r[1] for r in rows}
 
 
@@ -59,20 +64,25 @@ def tempered(counts: Mapping[str | None, int], power: float = 0.5) -> dict[str |
     return {x: n**power for x, n in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", slots: int = 1024, block_docs: int = 16, bucket_rows: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, *, id_col: str = "doc_id", source_col: str = "source", slots: int = 1 << 17, block_docs: int | None = None, bucket_rows: int = 4096) -> DataFrame:
     """``docs`` with ``block``, ``slot`` and ``position`` (all long, from 0): reading by position meets the target weights.
 
     ``weights`` maps every source to a positive weight (by default the square root of its number of rows); a null source
-    is a source like any other, and a source without a weight is an error rather than a loss. Weights are rounded to
-    ``1 / slots``. A source's order is by a hash of the id, then the id; rows with equal ids stand in no set order. Every
-    row has its place: once a source has run out, the others keep the order of their slots, and shares among them stay as
-    their weights. Empty input gives empty output. Columns of ``docs`` named as the new ones are replaced.
+    is a source like any other, and a source without a weight is an error rather than a loss. After every slot each source
+    is less than one block from its exact share; from where a source has run out, the others are so from there on, by their
+    weights among themselves. Blocks have ``block_docs`` rows: 16 by default, or more so that about ``slots`` slots take all
+    rows. Given explicitly, it holds, and the schedule has as many slots as there are blocks.
+
+    A source's order is by a hash of the id, then the id, then a hash of the whole row, so it is the same in every run; rows
+    that are equal throughout are exchangeable. Null ids and rows that repeat an id are placed like others. Every row has its
+    place. Empty input gives empty output. Columns of ``docs`` named as the new ones are replaced.
 
     Rows are numbered within (source, hash bucket) of about ``bucket_rows`` rows, and bucket totals are added up, so a
-    source with a third of all rows is as many buckets as its size asks for. What is broadcast has ``slots`` rows at most.
+    source with a third of all rows is as many buckets as its size asks for. What is broadcast is the schedule, a row for
+    each slot, and a row for each source.
     """
     spark = docs.sparkSession
-    counts = source_counts(docs, source_col, slots)
+    counts = source_counts(docs, source_col)
     weights = dict(weights) if weights is not None else tempered(counts)
     if missing := [x for x in counts if x not in weights]:
         raise ValueError(f"sources without a weight: {missing[:5]}")
@@ -80,35 +90,28 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     if not counts:
         zero = F.lit(0).cast("long")
         return docs.select("*", zero.alias("block"), zero.alias("slot"), zero.alias("position"))
-    share = shares({x: weights[x] for x in counts}, slots)
-    names, owner = list(share), pfair_slots(share)
-    taken, pattern = dict.fromkeys(names, 0), []
-    for slot, x in enumerate(owner):
-        pattern.append((x, taken[x], slot, [taken[y] for y in names]))
+    size = block_docs or max(16, -(-sum(counts.values()) // slots))
+    names = list(counts)
+    number, taken, schedule, at = {x: i for i, x in enumerate(names)}, dict.fromkeys(names, 0), [], 0
+    for slot, x in enumerate(pfair_slots({x: weights[x] for x in counts}, {x: -(-n // size) for x, n in counts.items()})):
+        schedule.append((number[x], taken[x], slot, at))
+        at += min(size, counts[x] - taken[x] * size)
         taken[x] += 1
-    pattern = F.broadcast(spark.createDataFrame(pattern, f"_source {docs.schema[source_col].dataType.simpleString()}, _nth long, _slot long, _before array<long>"))
-    sizes = F.array(*[F.struct(F.lit(counts[x]).cast("long").alias("rows"), F.lit(share[x]).cast("long").alias("share")) for x in names])
-    mine = F.element_at(sizes, F.array_position(F.array(*[F.coalesce(F.concat(F.lit("s"), F.lit(x).cast("string")), F.lit("n")) for x in names]), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))).cast("int"))
+    long = lambda *cols: ", ".join(f"{c} long" for c in cols)
+    schedule = F.broadcast(spark.createDataFrame(schedule, long("_no", "block", "slot", "_at")))
+    kind = T.StructType([T.StructField("_source", docs.schema[source_col].dataType), *(T.StructField(c, T.LongType()) for c in ("_no", "_buckets"))])
+    sources = F.broadcast(spark.createDataFrame([(x, number[x], -(-n // bucket_rows)) for x, n in counts.items()], kind))
 
     h = F.xxhash64(F.col(id_col), F.lit(77))
-    buckets = F.ceil(F.col("_mine.rows") / bucket_rows)
     placed = (
-        docs.withColumn("_mine", mine).withColumn("_h", h)
-        .withColumn("_bucket", F.shiftright(F.shiftrightunsigned("_h", 34) * buckets, 30))
+        docs.withColumn("_whole", F.xxhash64(*[F.col(c) if "map" not in t else F.to_json(c) for c, t in docs.dtypes])).withColumn("_h", h)
+        .join(sources, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
+        .withColumn("_bucket", F.shiftright(F.shiftrightunsigned("_h", 34) * F.col("_buckets"), 30))
     )
-    per_bucket = placed.groupBy(source_col, "_bucket").count()
-    ahead = per_bucket.select(
-        F.col(source_col).alias("_s"), F.col("_bucket").alias("_b"),
-        (F.sum("count").over(Window.partitionBy(source_col).orderBy("_bucket")) - F.col("count")).alias("_ahead"),
-    )
-    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy(source_col, "_bucket").orderBy(F.shiftrightunsigned("_h", 0), id_col)) - 1)
-    numbered = numbered.join(ahead, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    numbered = numbered.withColumn("_nth_row", F.col("_row") + F.col("_ahead")).withColumn("block", F.floor(F.col("_nth_row") / block_docs))
-    numbered = numbered.withColumn("_cycle", F.floor(F.col("block") / F.col("_mine.share"))).withColumn("_in_cycle", F.col("block") % F.col("_mine.share"))
-
-    def rows_ahead(before: Column, size: Column) -> Column:
-        return F.least(size["rows"], (F.col("_cycle") * size["share"] + before) * block_docs)
-
-    out = numbered.join(pattern, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_in_cycle") == F.col("_nth")))
-    position = F.aggregate(F.zip_with("_before", sizes, rows_ahead), F.lit(0).cast("long"), lambda a, x: a + x) + F.col("_nth_row") % block_docs
-    return out.select(*docs.columns, "block", (F.col("_cycle") * slots + F.col("_slot")).alias("slot"), position.alias("position"))
+    per_bucket = placed.groupBy("_no", "_bucket").count()
+    ahead = per_bucket.select("_no", "_bucket", (F.sum("count").over(Window.partitionBy("_no").orderBy("_bucket")) - F.col("count")).alias("_ahead"))
+    order = Window.partitionBy("_no", "_bucket").orderBy(F.shiftrightunsigned("_h", 0), id_col, "_whole")
+    numbered = placed.withColumn("_row", F.row_number().over(order) - 1).join(ahead, ["_no", "_bucket"])
+    nth = F.col("_row") + F.col("_ahead")
+    numbered = numbered.withColumn("block", F.floor(nth / size)).withColumn("_in_block", nth % size)
+    return numbered.join(schedule, ["_no", "block"]).select(*docs.columns, "block", "slot", (F.col("_at") + F.col("_in_block")).alias("position"))

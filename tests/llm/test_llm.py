@@ -356,7 +356,7 @@ def test_mixing(spark):
     rows = [(i, "abc"[0 if i % 3 else 1 + i % 2]) for i in range(900)] + [(i, None) for i in range(900, 1000)] + [(5, "a")]
     table = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, position int")
     weights = {"a": 0.2, "b": 0.3, "c": 0.4, None: 0.1}
-    out = mixing.mix_sources(table, weights, slots=100, block_docs=4, bucket_rows=50).orderBy("position").collect()
+    out = mixing.mix_sources(table, weights, block_docs=4, bucket_rows=50).orderBy("position").collect()
     assert [r["position"] for r in out] == list(range(len(rows))) and len(out) == len(rows)
     assert sorted((r["doc_id"], r["source"] or "") for r in out) == sorted((i, s or "") for i, s in rows)
     slots = sorted({(r["slot"], r["source"]) for r in out}, key=lambda x: x[0])
@@ -365,17 +365,36 @@ def test_mixing(spark):
     for t in range(1, end + 1):
         for x, w in weights.items():
             assert abs(sum(1 for s, y in slots[:t] if y == x) - w * t) < 1
+    again = mixing.mix_sources(table.repartition(7), weights, block_docs=4, bucket_rows=50).orderBy("position").collect()
+    assert [(r["doc_id"], r["source"]) for r in again] == [(r["doc_id"], r["source"]) for r in out]
     assert mixing.mix_sources(table.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(table, {"a": 1.0})
 
 
-def test_pfair_slots_are_due():
-    share = mixing.shares({f"s{i}": w for i, w in enumerate((0.5, 0.21, 0.13, 0.08, 0.08))}, 97)
-    got = mixing.pfair_slots(share)
-    for t in range(1, 98):
-        for x, n in share.items():
-            assert abs(got[:t].count(x) - n * t / 97) < 1
+def test_mixing_of_null_and_long(spark):
+    table = spark.createDataFrame([(None, "a", None), (None, "a", None), (1, None, "x" * 200000), (1, "b", "")], "doc_id long, source string, text string")
+    out = mixing.mix_sources(table).collect()
+    assert sorted(r["position"] for r in out) == [0, 1, 2, 3] and sum(r["doc_id"] is None for r in out) == 2
+
+
+@pytest.mark.parametrize("weights", [(1 / 3, 1 / 3, 1 / 3), (2**0.5, 3**0.5, 0.01, 7.77), (0.5, 0.21, 0.13, 0.08, 0.08)])
+def test_pfair_slots_stay_within_a_block(weights):
+    share = dict(enumerate(weights))
+    total, slots = sum(weights), 200_000
+    got = mixing.pfair_slots(share, {x: int(slots * w / total) for x, w in share.items()})
+    counts = dict.fromkeys(share, 0)
+    for t, x in enumerate(got[: slots - 500], 1):
+        counts[x] += 1
+        if t % 97 == 0:
+            assert all(abs(counts[y] - share[y] * t / total) < 1 + 1e-6 for y in share)
+
+
+def test_pfair_starts_anew_when_a_source_has_run_out():
+    got = mixing.pfair_slots({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 300, "c": 200})
+    assert len(got) == 510 and max(k for k, x in enumerate(got) if x == "a") <= 20
+    rest = got[max(k for k, x in enumerate(got) if x == "a") + 1 :]
+    assert all(abs(rest[:t].count("b") - 0.6 * t) < 1 for t in range(1, 400))
 
 
 def test_registered():
