@@ -8,6 +8,8 @@ the threshold any more are left. Tiles whose cells are too far apart do not meet
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,12 @@ from lodestone.llm.common import components, written
 from lodestone.llm.topk import usable
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component to about one: no digit changes, and squares neither
+    overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def fitted(sample: np.ndarray, cells: int) -> tuple[np.ndarray, list]:
     """The rotation (columns by falling variance) and the median cuts ``(dimension, value, left, right)``, or a cell's number."""
     _, vectors = np.linalg.eigh(sample.T @ sample)
@@ -116,6 +124,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str
     different lengths, link with nothing. Rows that repeat an id count as vectors of their own and link with that id's
     component. Rows with a null id stay, without links. Other columns are ignored.
 
+    Very large and very small vectors are scaled by powers of two first, so their squares neither overflow nor vanish.
+
     Equal vectors are one class with a count, so a vector that fills a third of the table is compared once. Rotation
     and cuts are fitted on the ``fit_rows`` vectors of smallest hash: any rotation gives the same links, a good one
     gives them sooner. Two tiles send a count for each vector and a forest of their links, never their pairs. The
@@ -147,6 +157,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, id_col: str
 def tiled(classes: DataFrame, count: int, threshold: float, tile_rows: int, fit_rows: int, most_cells: int) -> DataFrame:
     """``id, n, root`` from every pair of tiles: links of the class, weighted by size, or a link of the forest."""
     sample = np.array([r["vec"] for r in classes.orderBy(F.xxhash64("id", F.lit(3))).select("vec").limit(fit_rows).collect()])
+    sample = scaled(sample)
     sample = np.nan_to_num(sample / np.sqrt((sample * sample).sum(axis=1))[:, None])
     rotation, tree = fitted(sample, max(1, min(most_cells, count // tile_rows)))
     lead = min(16, rotation.shape[1])
@@ -154,24 +165,23 @@ def tiled(classes: DataFrame, count: int, threshold: float, tile_rows: int, fit_
 
     def cell(batches):
         for b in batches:
-            v = b.column("vec").flatten().to_numpy().reshape(b.num_rows, -1)
+            v = scaled(b.column("vec").flatten().to_numpy().reshape(b.num_rows, -1)) if b.num_rows else np.zeros((0, rotation.shape[0]))
             at = cells_of(tree, ((v / np.sqrt((v * v).sum(axis=1))[:, None]) @ rotation)[:, :lead])
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("size"), b.column("vec"), pa.array(at)], names=["id", "size", "vec", "cell"])
 
     placed = classes.select("id", "size", "vec").mapInArrow(cell, "id long, size long, vec array<double>, cell long")
     tiles_in = {r["cell"]: max(1, -(-r["count"] // tile_rows)) for r in placed.groupBy("cell").count().collect()}  # most_cells rows at most
 
-    def pack(table: pa.Table) -> pa.Table:
-        """A tile, once for each tile that it meets; ``first`` is that of the pair with the smaller number."""
-        table = table.combine_chunks()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A tile, once for each tile that it meets, a row at a time; ``first`` is that of the pair with the smaller number."""
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         c, t = table["cell"][0].as_py(), table["tile"][0].as_py()
         meets = [(d, u) for d in near[c] for u in range(tiles_in.get(d, 0))]
         pairs = [(*min((c, t), m), *max((c, t), m), (c, t) <= m) for m in meets]
-        k = len(pairs)
-        ids, sizes = table["id"].to_numpy(), table["size"].to_numpy()
-        vecs = table["vec"].combine_chunks().flatten().to_numpy()
-        keys = [f"{a}.{b}.{x}.{y}" for a, b, x, y, _ in pairs]
-        return pa.table({"pair": pa.array(keys), "first": pa.array([p[4] for p in pairs], pa.bool_()), "ids": pa.array([ids.tobytes()] * k, pa.binary()), "sizes": pa.array([sizes.tobytes()] * k, pa.binary()), "vecs": pa.array([vecs.tobytes()] * k, pa.binary())})
+        ids, sizes, vecs = table["id"].to_numpy().tobytes(), table["size"].to_numpy().tobytes(), table["vec"].combine_chunks().flatten().to_numpy().tobytes()
+        for a, b, x, y, first in pairs:
+            row = [pa.array([f"{a}.{b}.{x}.{y}"]), pa.array([first]), *(pa.array([z], pa.binary()) for z in (ids, sizes, vecs))]
+            yield pa.RecordBatch.from_arrays(row, names=["pair", "first", "ids", "sizes", "vecs"])
 
     def compare(table: pa.Table) -> pa.Table:
         """Two tiles, or a tile with itself, in strips of rows."""
@@ -179,7 +189,7 @@ def tiled(classes: DataFrame, count: int, threshold: float, tile_rows: int, fit_
         same, b = not b, (b or [a])[0]
         ia, ib = (np.frombuffer(r["ids"], "int64") for r in (a, b))
         sa, sb = (np.frombuffer(r["sizes"], "int64") for r in (a, b))
-        va, vb = (np.frombuffer(r["vecs"], "float64").reshape(-1, rotation.shape[0]) for r in (a, b))
+        va, vb = (scaled(np.frombuffer(r["vecs"], "float64").reshape(-1, rotation.shape[0])) for r in (a, b))
         found = []
         for n in range(0, len(va), 512):
             i, j = close_pairs(va[n : n + 512], vb, rotation, threshold)

@@ -38,8 +38,8 @@ def packed(rows: DataFrame, per_block: int, total: int) -> DataFrame:
 def scored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ids of a block of queries and of candidates, and the scores; a query's own row has the least possible score.
 
-    Doubles hold the products exactly while they and their sums stay below 2**53, which is checked; else Python's
-    whole numbers take over.
+    Doubles hold the products exactly while they and their sums stay below 2**53, which is checked; beyond that they are
+    made of 64-bit whole numbers, which hold all scores that are allowed.
     """
     dim = row["dim"]
     q, c = (np.frombuffer(row[x], "float64").reshape(-1, dim) for x in ("q_vecs", "vecs"))
@@ -47,7 +47,7 @@ def scored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if np.abs(q).max() * np.abs(c).max() * dim < 2**53:
         s = (q @ c.T).astype("int64")
     else:
-        s = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c] for x in q]).astype("int64")
+        s = q.astype("int64") @ c.astype("int64").T
     s[qi[:, None] == ci[None, :]] = np.iinfo("int64").min
     return qi, ci, s
 
@@ -58,8 +58,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
     Components become ``floor(scale * x)``, and scores are whole numbers. Fewer candidates than ``k``: all of them. Ties
     go to the smaller id. A query never meets rows with its own id. Vectors that are null or empty or hold null or
     non-finite components take no part; vectors of different lengths do not meet. Rows that repeat id and vector count
-    once, and of rows that repeat an id with other vectors each is a candidate and a query of its own. Other columns are
-    ignored. Scores beyond 64 bits are an error.
+    once, and of rows that repeat an id with other vectors each is a candidate and a query of its own. Queries that meet no
+    candidate give no row. Other columns are ignored. Scores beyond 62 bits are an error: ``score`` could not hold them.
 
     A histogram sends no bins below the one with the block's own k-th score, as the k-th of all cannot lie there, and
     the last pass sends at most k ties of a block: no block sends more than k rows a query, whatever is repeated.
@@ -98,7 +98,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
 
         def histogram(row: dict, step: int = step, width: int = width, low: int = low) -> dict:
             _, _, s = scored(row)
-            lows = np.array([x["low"] for x in row["state"]]) if row.get("state") else np.full(len(s), low)
+            nth = np.arange(len(s))
+            lows = np.full(len(s), low)
+            if "state" in row:  # a query that met nobody before has no state, and meets nobody now
+                nth, lows = (np.array([x[f] for x in row["state"]], "int64") for f in ("nth", "low"))
+                s = s[nth]
             bin_of = np.clip((s - lows[:, None]) // step, -1, (width - 1) // step + 1)
             bin_of[s == np.iinfo("int64").min] = -1
             need = min(k, s.shape[1])
@@ -106,7 +110,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
             at = np.nonzero((bin_of >= least[:, None]) & (bin_of >= 0))
             keys, n = np.unique(np.stack([at[0], bin_of[at]]), axis=1, return_counts=True)
             m = len(n)
-            return {"q_block": pa.array([row["q_block"]] * m, pa.int64()), "dim": pa.array([row["dim"]] * m, pa.int64()), "nth": pa.array(keys[0], pa.int64()), "bin": pa.array(keys[1], pa.int64()), "n": pa.array(n, pa.int64())}
+            return {"q_block": pa.array([row["q_block"]] * m, pa.int64()), "dim": pa.array([row["dim"]] * m, pa.int64()), "nth": pa.array(nth[keys[0]], pa.int64()), "bin": pa.array(keys[1], pa.int64()), "n": pa.array(n, pa.int64())}
 
         counts = against(state, histogram, "q_block long, dim long, nth long, bin long, n long").groupBy("q_block", "dim", "nth", "bin").agg(F.sum("n").alias("n"))
         own = Window.partitionBy("q_block", "dim", "nth")

@@ -43,17 +43,18 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     stack: list[tuple[bytes, int]] = []
     for batch in batches:
-        ids, rules = [], []
-        for key, row, rule in zip(batch["key"], batch["row"], batch["rule_no"], strict=True):
+        ids, checks, rules = [], [], []
+        for key, row, check, rule in zip(batch["key"], batch["row"], batch["check"], batch["rule_no"], strict=True):
             key = bytes(key)
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
             if rule < 0 and stack:
                 ids.append(row)
+                checks.append(check)
                 rules.append(stack[-1][1])
             elif rule >= 0 and (not stack or stack[-1][1] != rule):
                 stack.append((key, rule))
-        yield pd.DataFrame({"row": pd.Series(ids, dtype="int64"), "rule_no": pd.Series(rules, dtype="int64")})
+        yield pd.DataFrame({"row": pd.Series(ids, dtype="int64"), "check": pd.Series(checks, dtype="int32"), "rule_no": pd.Series(rules, dtype="int64")})
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", partitions: int | None = None) -> DataFrame:
@@ -80,25 +81,30 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
         .withColumn("rule_no", F.xxhash64("host", "path").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
         .withColumn("key", F.encode(F.concat(reversed_host(F.col("host")), F.lit("\u0002"), F.col("path")), "utf-8"))
     )
-    shapes = parsed.where("host <> ''").groupBy("host", "path").count().select("host", "path", F.xxhash64("host", "path").alias("row"))
+    # Two hashes name a (host, path), so that no url gets the verdict of another.
+    name = [F.xxhash64("host", "path").alias("row"), F.hash("path", "host").alias("check")]
+    shapes = parsed.where("host <> ''").groupBy("host", "path").count().select("host", "path", *name)
     labels = F.split("host", r"\.")
     keys = shapes.select(
-        "row", "path",
+        "row", "check", "path",
         F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(F.reverse(labels), F.lit(1), n), "\u0001"), F.lit("\u0001")))).alias("suffix"),
-    ).select("row", F.encode(F.concat("suffix", F.lit("\u0002"), "path"), "utf-8").alias("key"), F.lit(-1).cast("long").alias("rule_no"))
+    ).select("row", "check", F.encode(F.concat("suffix", F.lit("\u0002"), "path"), "utf-8").alias("key"), F.lit(-1).cast("long").alias("rule_no"))
     # Bounded: at most one cut for each slice comes to the driver.
     cuts = sorted({bytes(r["key"]) for r in keys.select(F.xxhash64("row", "key").alias("h"), "key").orderBy("h").limit(50 * count).select("key").collect()})
     cuts = sorted({cuts[i * len(cuts) // count] for i in range(1, count)} if cuts else set())
 
     slice_of = F.pandas_udf(lambda key: key.map(lambda k: bisect_right(cuts, bytes(k))), "int")
     slices_of = F.pandas_udf(lambda key: key.map(lambda k: list(range(bisect_right(cuts, bytes(k)), bisect_left(cuts, bytes(k) + END) + 1))), "array<int>")
-    both = keys.withColumn("slice", slice_of("key")).unionByName(given.select(F.lit(0).cast("long").alias("row"), "key", "rule_no", F.explode(slices_of("key")).alias("slice")))
+    both = keys.withColumn("slice", slice_of("key")).unionByName(given.select(F.lit(0).cast("long").alias("row"), F.lit(0).alias("check"), "key", "rule_no", F.explode(slices_of("key")).alias("slice")))
     found = (
         both.repartition(count, "slice").sortWithinPartitions("slice", "key", F.desc("rule_no"))
-        .select("key", "row", "rule_no").mapInPandas(sweep, "row long, rule_no long")
+        .select("key", "row", "check", "rule_no").mapInPandas(sweep, "row long, check int, rule_no long")
     )
-    longest = found.join(given.select("rule_no", "rule", "verdict"), "rule_no").groupBy("row").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("won"))
+    longest = found.join(given.select("rule_no", "rule", "verdict"), "rule_no").groupBy("row", "check").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("won"))
+    # Urls without a host, of which there may be very many, need no partner.
+    bare = parsed.where("host = ''").select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     return (
-        parsed.withColumn("row", F.xxhash64("host", "path")).join(longest, "row", "left")
+        parsed.where("host <> ''").select(id_col, "host", "path", *name).join(longest, ["row", "check"], "left")
         .select(id_col, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+        .unionByName(bare)
     )

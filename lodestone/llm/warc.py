@@ -7,6 +7,10 @@ branches that differ are read and compared further, down to records.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +34,66 @@ def write_warc(records: DataFrame, path: str, record_col: str = "record") -> Non
     records.select(F.expr(f"substring({record_col}, 1, length({record_col}) - 4)").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``record_id, uri, type, length, body, whole`` of uncompressed WARC files, split among tasks at record starts.
-
-    ``whole`` says that the body has the octets that its header promises; a body that holds a line of its own that reads
-    ``WARC/1.0`` is cut there and not whole. Blocks before the first record give no row.
+def members(content: bytes) -> Iterator[bytes]:
+    """What a file holds, as it is or, if it is gzip, one member after the other."""
+    if not content.startswith(b"\x1f\x8b"):
+        yield content
+    while content.startswith(b"\x1f\x8b"):
+        one = zlib.decompressobj(31)
+        yield one.decompress(content)
+        content = one.unused_data
+
+
+def parsed(content: bytes) -> Iterator[tuple]:
+    """The records of a file: header fields, body and whether it is whole. The length that a header promises decides where a
+    body ends, whatever the body holds; without one the record ends before the next line ``WARC/1``."""
+    left = b""
+    for part in members(content):
+        data, at = left + part, 0
+        left = b""
+        while (at := data.find(b"WARC/1.", at)) >= 0:
+            end = data.find(b"\r\n\r\n", at)
+            head = data[at : end if end >= 0 else len(data)]
+            fields = dict(reversed([(k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])]))
+            length = fields.get(b"content-length", b"")
+            length = int(length) if length.isdigit() else None
+            start = end + 4 if end >= 0 else len(data)
+            if length is not None:
+                stop = start + length
+            else:
+                stop = (data.find(b"\r\n\r\nWARC/1.", start - 4) + len(data) + 1) % (len(data) + 1)
+            body = data[start:stop]
+            names = (b"warc-record-id", b"warc-target-uri", b"warc-type")
+            yield *((fields[x].decode("utf-8", "replace") if x in fields else None) for x in names), length, body.decode("utf-8", "replace"), end >= 0 and length == len(body)
+            at = min(max(stop, start), len(data))
+
+
+def read_warc(spark: SparkSession, path: str, batch_bytes: int = 8_000_000) -> DataFrame:
+    """``record_id, uri, type, length, body, whole`` of WARC files, plain or gzip (by members), a task for each file.
+
+    ``length`` is what the header promises and ends the body, so a body may hold lines that read like a header. ``whole`` says
+    that the body has that many octets: a truncated record, or one without a length, is not whole. What stands before the
+    first record gives no row. Octets that are not UTF-8 become U+FFFD. A file is held by its task; Spark's reader takes
+    files of up to 2 GB, which is twice what archives are usually cut to.
     """
-    raw = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).where("value <> ''")
-    head = F.substring_index("value", "\r\n\r\n", 1)
-    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1), F.lit(""))
-    body = F.expr("substring(value, length(substring_index(value, '\\r\\n\\r\\n', 1)) + 5)")
-    body = F.regexp_replace(body, r"(?s)\r\n\r\n\z", "")
-    out = raw.select(field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("uri"), field("WARC-Type").alias("type"), field("Content-Length").try_cast("bigint").alias("length"), body.alias("body"))
-    return out.withColumn("whole", F.coalesce(F.octet_length("body") == F.col("length"), F.lit(False)))
+    schema = "record_id string, uri string, type string, length long, body string, whole boolean"
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows, size = [], 0
+                for row in parsed(b.column("content")[k].as_py()):
+                    rows.append(row)
+                    size += len(row[4])
+                    if size >= batch_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, schema)
 
 
 def hashed(records: DataFrame, record_col: str = "record") -> DataFrame:
@@ -53,9 +104,10 @@ def hashed(records: DataFrame, record_col: str = "record") -> DataFrame:
 def layout(hashes: DataFrame, *, id_col: str = "page_id", per_file: int = 256) -> DataFrame:
     """``hashes`` with ``file, ordinal, offset`` (long): ids in order, ``per_file`` neighbouring ids in a file.
 
-    Records that repeat an id follow each other by hash. A null id has file -1. Columns named as the new ones are replaced.
+    Records that repeat an id follow each other by hash. Records without an id are dealt to a million files below 0 by hash.
+    Columns named as the new ones are replaced.
     """
-    file = F.coalesce(F.floor(F.col(id_col) / per_file), F.lit(-1)).cast("long")
+    file = F.coalesce(F.floor(F.col(id_col) / per_file), -1 - F.pmod(F.xxhash64("hash"), F.lit(1_000_000))).cast("long")
     order = Window.partitionBy("file").orderBy(F.col(id_col).asc_nulls_last(), "hash")
     out = hashes.withColumn("file", file)
     out = out.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
@@ -66,14 +118,15 @@ def levels(leaves: DataFrame, in_file: int, over_files: int) -> list[DataFrame]:
     """The tree of a replica, leaves first: for each level ``file, node, up_file, up_node, from, to, hash``.
 
     ``in_file`` steps group sixteen neighbouring ordinals of a file, then ``over_files`` steps sixteen neighbouring files.
-    A node's hash covers the hashes and ranges of its children in order; each gathers sixteen at most.
+    A node's hash covers the hashes and ranges of its children in order; each gathers sixteen at most. Every level is
+    written once, and the next is made from it.
     """
 
     def with_parent(table: DataFrame, level: int) -> DataFrame:
         inner = level < in_file
         up_file = F.col("file") if inner else F.floor(F.col("file") / FAN)
         up_node = F.floor(F.col("node") / FAN) if inner else F.lit(0).cast("long")
-        return table.select("file", "node", up_file.cast("long").alias("up_file"), up_node.cast("long").alias("up_node"), "from", "to", "hash")
+        return written(table.select("file", "node", up_file.cast("long").alias("up_file"), up_node.cast("long").alias("up_node"), "from", "to", "hash"), "level")
 
     ends = [F.col("offset").alias("from"), (F.col("offset") + F.col("length")).alias("to")]
     out = [with_parent(leaves.select("file", F.col("ordinal").alias("node"), *ends, "hash"), 0)]

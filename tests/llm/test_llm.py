@@ -203,6 +203,28 @@ def test_warc(spark, tmp_path):
     assert len(read) == 601 and all(r["whole"] for r in read)
 
 
+def test_warc_bodies_end_where_their_length_says(spark, tmp_path):
+    import gzip
+
+    def record(i, body, length=None):
+        return f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(body.encode()) if length is None else length}\r\n\r\n{body}\r\n\r\n".encode()
+
+    bodies = ["x spec says WARC/1.0\r\nend", "", "é\r\n\r\nWARC/1.0\r\nWARC-Type: fake\r\n\r\n", "last"]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes(b"".join(record(i, b) for i, b in enumerate(bodies)) + record(9, "cut short", 100))
+    (tmp_path / "w/b.warc.gz").write_bytes(b"".join(gzip.compress(record(10 + i, b)) for i, b in enumerate(bodies)))
+    (tmp_path / "w/c.warc").write_bytes(b"")
+    got = {r["record_id"]: (r["body"], r["whole"]) for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert {k: v for k, v in got.items() if k != "<9>"} == {f"<{i + n}>": (b, True) for i, b in enumerate(bodies) for n in (0, 10)}
+    assert got["<9>"][1] is False
+
+
+def test_warc_layout_of_null_and_repeated_ids(spark):
+    records = spark.createDataFrame([(None, "a"), (None, "b"), (7, "c"), (7, "c"), (7, "d")], "page_id long, record string")
+    rows = warc.layout(warc.hashed(records)).collect()
+    assert sorted(r["ordinal"] for r in rows if r["page_id"] == 7) == [0, 1, 2] and all(r["file"] < 0 for r in rows if r["page_id"] is None)
+
+
 def test_url_filter(spark):
     urls = ["http://www.Example.COM/en/x?y", "https://a.example.com/en/1#z", "https://example.com/en", "http://example.com", "http://com/", "ftp://b.net/es/", "b.net/es/", None, "", "http://xnet/es/", "http://q.net/fr/?a://b", "http://a.example.com:80/en/", "://", "http://www.example.com/EN/", "http://x.www.example.com/en/" + "p" * 50000]
     rows = [(i, u, "x") for i, u in enumerate(urls)] + [(0, urls[0], "x"), (None, urls[1], "x")]
@@ -239,6 +261,15 @@ def test_topk(spark):
         want += [(q, n, c, -s) for n, (s, c) in enumerate(scores, 1)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
+    one, asked = vectors(spark, [(1, [1.0, 2.0])]), vectors(spark, [(1, [1.0, 2.0]), (2, [3.0, 1.0]), (3, [1.0, 1.0, 1.0])])
+    assert [tuple(r) for r in topk.top_k(one, asked).collect()] == [(2, 1, 1, 256 * 256 * 5)]
+
+
+def test_topk_of_large_components(spark):
+    rows = [(1, [2.0**20, 1.0]), (2, [2.0**20, 3.0]), (3, [-(2.0**20), 5.0])]
+    got = topk.top_k(vectors(spark, rows), vectors(spark, rows[:1])).collect()
+    whole = {i: [int(256 * x) for x in v] for i, v in rows}
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, sum(a * b for a, b in zip(whole[1], whole[i]))) for i in (2, 3)]
 
 
 def test_pii(spark):
@@ -286,6 +317,13 @@ def test_embedding_near_dedup(spark):
     assert embedding_dedup.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_embedding_near_dedup_of_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 0.0]), (3, [0.0, 1e-200]), (4, [0.0, 2e-200]), (5, [5e-324, -5e-324])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
 def test_line_dedup(spark):
     long_line = " ".join(f"word{i} turns" for i in range(60))
     rows = [(1, f"{long_line}\nunique one here"), (2, f"{long_line}\n\nother text stands"), (3, long_line.replace("word30", "WORD31x")), (4, None), (5, ""), (6, "short\nshort\n \nlast"), (7, "short"), (None, "short"), (8, "z" * 30000), (8, "z" * 30000)]
