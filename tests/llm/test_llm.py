@@ -180,10 +180,24 @@ def test_toxicity(spark):
     assert all(got[i]["predicted"] == y for i, y in marks[160:])
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert [got[i]["predicted"] for i in (900, 901, 902, 903)] == [0, 0, 0, 0] and got[900]["score"] == got[901]["score"]
+    # Labels without a document take no place in the sample, and texts that repeat change nothing.
+    strangers = labels.unionByName(spark.createDataFrame([(10_000 + i, i % 2) for i in range(5000)], "doc_id long, toxic int"))
+    few = toxicity.train(table.unionByName(table), strangers, rows=(40, 120))
+    assert few == toxicity.train(table, labels, rows=(40, 120)) == model
+    # Each dictionary holds its own kind; a window costs what zstandard says.
+    assert b"scoundrel" in model.toxic and b"scoundrel" not in model.ordinary
+    a, b = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    for _, text in rows[:40]:
+        lengths = [len(b.compress(toxicity.ANCHOR + w)) - len(a.compress(toxicity.ANCHOR + w)) for w in toxicity.windows(toxicity.plain(text))]
+        assert toxicity.gains(toxicity.plain(text), a, b) == (max(0, *lengths), sum(x for x in lengths if x > 0))
     empty = toxicity.train(table.limit(0), labels.limit(0))
     assert toxicity.score_toxicity(docs(spark, []), empty).count() == 0
 
 
+def test_look_alikes_are_ordinary_words():
+    assert toxicity.look_alikes(["scoundrel", "dunce"], " some scouring of sundrels done ") == ["scouring", "sundrels"]
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "é" * (i % 7) if i % 5 else None) for i in range(600)] + [(3, "http://h/3", "again")], "page_id long, url string, html string")
     records = pages.select("page_id", warc.record_text(F.col("url"), F.col("html"), F.col("page_id")).alias("record"), F.lit(1).alias("offset"))
