@@ -34,10 +34,11 @@ def scored(facts: DataFrame, query: Column, now: Column, account: str | None = N
 def retrieve(facts: DataFrame, query: list[float] | Column, now: Column, *, account: str | None = None, k: int = 5, min_score: float = 0.30, exclude: DataFrame | None = None) -> DataFrame:
     """The ``k`` best facts (1 to 50) from ``min_score`` on, ties by id. Exclusion comes after the cut and refills nothing.
 
-    Scores stay unrounded, as engines round ties differently.
+    Scores are rounded to four places before they are compared with ``min_score`` and ordered, so what differs later ties.
     """
     vector = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
-    best = scored(facts, vector, now, account).where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(clamp(k, 1, 50))
+    rounded = {c: F.round(c, 4) for c in ("score", "semantic", "recency", "importance", "usage")}
+    best = scored(facts, vector, now, account).withColumns(rounded).where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(clamp(k, 1, 50))
     best = best if exclude is None else without(best, exclude, "id")
     return best.select("id", "kind", "text", "score", "semantic", "recency", "importance", "usage")
 
@@ -62,14 +63,23 @@ def candidates(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
     return out.where(F.length("text") >= 4).drop("_item", reply_col)
 
 
-def extract_and_store(facts: DataFrame, replies: DataFrame, embed: Callable[[Column], Column], *, least: float = 0.90, cap: int = 400) -> DataFrame:
-    """Facts after the replies of ``account_id, event_id, reply`` were read into them; ``embed`` makes vectors of texts."""
+def extract_and_store(facts: DataFrame, replies: DataFrame, embed: Callable[[Column], Column], *, now: Column | None = None, least: float = 0.90, cap: int = 400) -> DataFrame:
+    """Facts after the replies of ``account_id, event_id, reply`` were read into them; ``embed`` makes vectors of texts.
+
+    Items are taken by event, then by their place in the reply. Only active facts are matched; others stay as they are, with
+    ``op`` keep. What is added or updated has ``updated_at`` now (by default the current time).
+    """
+    now = F.current_timestamp() if now is None else now
     found = candidates(replies).withColumn("id", F.concat_ws("-", "event_id", "seq")).withColumn("vec", embed(F.col("text")).cast("array<double>"))
-    found = found.withColumn("seq", F.struct("event_id", "seq").cast("string"))
-    merged = semantic_upsert(facts.withColumn("vec", F.col("embedding").cast("array<double>")), found, least=least)
-    rest = facts.select("id", "use_count", "updated_at")
+    found = found.withColumn("seq", F.concat_ws("-", "event_id", F.lpad(F.col("seq").cast("string"), 10, "0")))
+    facts = facts.withColumn("vec", F.col("embedding").cast("array<double>"))
+    live = facts.where("status = 'active'")
+    merged = semantic_upsert(live, found, least=least)
+    rest = live.select("id", "use_count", "updated_at")
     out = merged.join(rest, "id", "left").withColumn("use_count", F.coalesce("use_count", F.lit(0).cast("long"))).withColumn("status", F.lit("active"))
-    return prune(out, cap=cap)
+    out = out.withColumn("updated_at", F.when(F.col("op") == "keep", F.col("updated_at")).otherwise(now))
+    aside = facts.where("status is null or status <> 'active'").withColumn("op", F.lit("keep")).select(*out.columns)
+    return prune(out.unionByName(aside), cap=cap)
 
 
 def stats(facts: DataFrame, account: str | None = None) -> DataFrame:

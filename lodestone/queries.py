@@ -40,7 +40,8 @@ COS_SQL = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt
 SCORED_SQL = f"""{FACTS_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
     parts AS (SELECT id, kind, text, greatest(0, least(1, {COS_SQL.format("e", "v")})) AS semantic, exp(-age / 21) AS recency, importance, least(use_count, 5) / 5.0::DOUBLE AS usage
               FROM facts, q WHERE status = 'active'),
-    scored AS (SELECT *, 0.6::DOUBLE * semantic + 0.15::DOUBLE * recency + 0.2::DOUBLE * importance + 0.05::DOUBLE * usage AS score FROM parts)"""
+    scored AS (SELECT id, kind, text, round(semantic, 4) AS semantic, round(recency, 4) AS recency, round(importance, 4) AS importance, round(usage, 4) AS usage,
+               round(0.6::DOUBLE * semantic + 0.15::DOUBLE * recency + 0.2::DOUBLE * importance + 0.05::DOUBLE * usage, 4) AS score FROM parts)"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_ACCOUNT = "local"
+SHARD = "shard"
 
 
 def safe_account(account: str | None) -> str:
@@ -17,19 +18,33 @@ def safe_account(account: str | None) -> str:
     return re.sub(r"[^A-Za-z0-9_.-]", "_", account or "")[:120] or DEFAULT_ACCOUNT
 
 
+def shard_of(account: Column) -> Column:
+    """``safe_account`` of a column."""
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(account, "[^A-Za-z0-9_.-]", "_"), 1, 120), F.lit("")), F.lit(DEFAULT_ACCOUNT))
+
+
 def write_shards(df: DataFrame, root: str, account: str = "account_id", mode: str = "append") -> None:
-    """Partitioned by account; rows of an account are brought together first, so a task writes few files."""
-    df.repartition(account).write.mode(mode).partitionBy(account).parquet(root)
+    """A folder for each account, by its safe name; the account itself stays in the rows.
+
+    Rows of an account are brought together first, so a task writes few files; very large accounts are split by the
+    writer's adaptive plan.
+    """
+    df.withColumn(SHARD, shard_of(F.col(account).cast("string"))).repartition(SHARD).write.mode(mode).partitionBy(SHARD).parquet(root)
 
 
 def read_shard(spark: SparkSession, root: str, account: str | None, column: str = "account_id") -> DataFrame:
-    """One account's rows: the partition filter prunes to its folder."""
-    return read_all(spark, root, column).where(F.col(column) == safe_account(account))
+    """One account's rows: the partition filter prunes to its folder, and of accounts with one safe name it takes the own.
+
+    Rows without an account belong to the default one.
+    """
+    rows = spark.read.option("mergeSchema", "true").parquet(root).where(F.col(SHARD).cast("string") == safe_account(account))
+    own = F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(DEFAULT_ACCOUNT)) == (account or DEFAULT_ACCOUNT)
+    return rows.where(own).drop(SHARD)
 
 
 def read_all(spark: SparkSession, root: str, column: str = "account_id") -> DataFrame:
     """All shards, columns that some lack as null. Accounts stay texts even if they look like numbers."""
-    df = spark.read.option("mergeSchema", "true").parquet(root)
+    df = spark.read.option("mergeSchema", "true").parquet(root).drop(SHARD)
     return df.withColumn(column, F.col(column).cast("string"))
 
 

@@ -36,31 +36,32 @@ def novelty(frames: DataFrame, most: int = 5) -> DataFrame:
     """Marks frames ``novel``, ``duplicate`` or ``invalid`` against the last novel one of the session.
 
     ``frames``: ``session_id, image_id, sequence_index, visual_hash``; a frame without a hash is invalid. The rule and its
-    threshold are our own. Works on streams, with state for each session, and on tables.
+    threshold are our own. Frames are judged in the order of ``sequence_index``, whatever batches they come in; a frame of a
+    later trigger follows those of the triggers before. Works on streams, with state for each session.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for pdf in batches:
-            marks, far = [], []
-            pdf = pdf.sort_values("sequence_index")
-            for h in pdf["visual_hash"]:
-                if pd.isna(h):
-                    marks.append("invalid")
-                    far.append(None)
-                    continue
-                d = None if last is None else ((int(h) ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count()
-                marks.append("duplicate" if d is not None and d <= most else "novel")
-                far.append(d)
-                if marks[-1] == "novel":
-                    last = int(h)
-            out = pdf[["session_id", "image_id", "sequence_index", "visual_hash"]].copy()
-            out["novelty_status"], out["visual_distance"] = marks, pd.array(far, dtype="Int32")
-            yield out
+        out = pd.concat(list(batches)).sort_values(["sequence_index", "image_id"])
+        marks, far = [], []
+        for h in out["visual_hash"]:  # a text: longs with nulls would come as floats and lose bits
+            if pd.isna(h):
+                marks.append("invalid")
+                far.append(None)
+                continue
+            d = None if last is None else ((int(h) ^ last) & 0xFFFFFFFFFFFFFFFF).bit_count()
+            marks.append("duplicate" if d is not None and d <= most else "novel")
+            far.append(d)
+            if marks[-1] == "novel":
+                last = int(h)
+        out["visual_hash"] = pd.array([None if pd.isna(h) else int(h) for h in out["visual_hash"]], dtype="Int64")
+        out["novelty_status"], out["visual_distance"] = marks, pd.array(far, dtype="Int32")
+        yield out
         if last is not None:
             state.update((last,))
 
-    return frames.groupBy("session_id").applyInPandasWithState(step, NOVELTY, "last long", "append", GroupStateTimeout.NoTimeout)
+    texts = frames.select("session_id", "image_id", "sequence_index", F.col("visual_hash").cast("string").alias("visual_hash"))
+    return texts.groupBy("session_id").applyInPandasWithState(step, NOVELTY, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 PENDING_S, CONFIRMED_S, UNDO_S = 600, 86_400, 60

@@ -123,12 +123,13 @@ def test_two_columns(spark):
 
 
 def test_shards(spark, tmp_path):
-    df = spark.createDataFrame([("a/b", 1), ("7", 2)], "account_id string, n int").withColumn("account_id", F.regexp_replace("account_id", "/", "_"))
+    df = spark.createDataFrame([("a/b", 1), ("7", 2), ("a_b", 3), ("", 4), (None, 5)], "account_id string, n int")
     shards.write_shards(df, f"{tmp_path}/t")
-    assert [r["n"] for r in shards.read_shard(spark, f"{tmp_path}/t", "a/b").collect()] == [1]
-    assert {r[0] for r in shards.accounts(shards.read_all(spark, f"{tmp_path}/t")).collect()} == {"a_b", "7", "local"}
+    own = lambda a: sorted(r["n"] for r in shards.read_shard(spark, f"{tmp_path}/t", a).collect())
+    assert [own(a) for a in ("a/b", "a_b", "7", "", None, "x")] == [[1], [3], [2], [4, 5], [4, 5], []]
+    assert {r[0] for r in shards.accounts(shards.read_all(spark, f"{tmp_path}/t")).collect()} == {"a/b", "a_b", "7", "local", "", None}
     assert shards.table_or_empty(spark, f"{tmp_path}/none", "a int").count() == 0
-    assert shards.backup_then_truncate(spark, {"t": f"{tmp_path}/t"}, f"{tmp_path}/b", dry_run=True) == {"t": 2}
+    assert shards.backup_then_truncate(spark, {"t": f"{tmp_path}/t"}, f"{tmp_path}/b", dry_run=True) == {"t": 5}
 
 
 def test_feed(spark, tmp_path):
@@ -154,6 +155,19 @@ def test_novelty(spark, tmp_path):
     assert [r["novelty_status"] for r in sorted(out, key=lambda r: r["sequence_index"])] == ["novel", "duplicate", "invalid", "novel"]
 
 
+def test_novelty_across_batches(spark, tmp_path):
+    """More frames than one Arrow batch holds, written last to first, with hashes that floats cannot hold."""
+    n, base = 300, (1 << 60) + 1
+    rows = [("s", f"{i:04}", i, None if i == 7 else base ^ ((1 << 30) - 2 if i >= n // 2 else 0)) for i in reversed(range(n))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = run_stream(spark, feeds.novelty, rows, "session_id string, image_id string, sequence_index long, visual_hash long", tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["sequence_index"] for r in out if r["novelty_status"] == "novel") == [0, n // 2]
+    assert {r["visual_hash"] for r in out} == {None, base, base ^ ((1 << 30) - 2)}
+
+
 def test_proposals(spark, tmp_path):
     t = datetime(2024, 1, 1)
     rows = [("p", c, "a", v, t + timedelta(seconds=s)) for c, v, s in (("propose", "new", 0), ("confirm", None, 10), ("undo", "old", 20), ("undo", "new", 30))] + [("q", "confirm", "a", None, t)]
@@ -182,6 +196,27 @@ def test_extract_and_store(spark):
     assert {(r["id"], r["kind"], r["text"], r["importance"], r["op"]) for r in out.collect()} == {("m", "fact", "old fact", 0.9, "keep"), ("e1-0", "goal", "new fact", 0.5, "add")}
 
 
+def test_extract_and_store_leaves_retired_facts_and_keeps_new_ones(spark):
+    schema = "id string, account_id string, kind string, text string, embedding array<double>, importance double, status string, use_count long, updated_at timestamp"
+    facts = spark.createDataFrame([("old", "a", "fact", "gone", [0.0, 1.0], 0.9, "superseded", 9, datetime(2024, 1, 1))] + [(f"m{i}", "a", "fact", f"f{i}", [1.0, i / 1.0], 0.5, "active", 0, datetime(2024, 1, 1 + i)) for i in range(2)], schema)
+    reply = "[" + ", ".join(f'{{"text": "item number {i}", "kind": "fact", "importance": "0.5"}}' for i in range(12)) + "]"
+    replies = spark.createDataFrame([("a", "e", reply)], "account_id string, event_id string, reply string")
+    vectors = F.when(F.col("text").endswith("number 0"), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(-1.0), F.lit(0.0)))
+    now = F.lit("2024-06-01").cast("timestamp")
+    got = {r["id"]: r for r in memory.extract_and_store(facts, replies, lambda t: vectors, now=now, cap=3).collect()}
+    assert got["old"]["status"] == "superseded" and got["old"]["text"] == "gone" and got["old"]["op"] == "keep"
+    # The first item is new although a retired fact is the same; the last of those that are alike wins, by number and not by text.
+    assert got["e-0"]["op"] == "add" and got["e-1"]["text"] == "item number 11"
+    assert {i for i, r in got.items() if r["status"] == "active"} == {"e-0", "e-1", "m1"}
+    assert got["e-0"]["updated_at"] == datetime(2024, 6, 1) and got["m0"]["updated_at"] == datetime(2024, 1, 1)
+
+
+def test_scores_tie_after_rounding(spark):
+    facts = spark.createDataFrame([(i, "a", "fact", i, [1.0, x], 0.5, "active", 0, datetime(2024, 1, 1)) for i, x in (("B", 0.001), ("A", 0.002))], "id string, account_id string, kind string, text string, embedding array<double>, importance double, status string, use_count long, updated_at timestamp")
+    got = memory.retrieve(facts, [1.0, 0.0], F.lit("2024-01-01").cast("timestamp")).collect()
+    assert [(r["id"], r["score"]) for r in got] == [("A", 0.85), ("B", 0.85)]
+
+
 def test_block_column(spark):
     from lodestone.functions import geometry
 
