@@ -472,3 +472,25 @@ def test_pipeline(spark):
     assert sorted(seen[3]["doc_id"]) == sorted(seen[2]["doc_id"])
     last = pipeline.STAGES[-1][1](spark, now, sf).collect()
     assert sorted(r["doc_id"] for r in last) == sorted(seen[3]["doc_id"]) and all(r["round_trip"] for r in last)
+
+
+def test_pipeline_of_awkward_documents(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, position long, h long"
+    body = " ".join(f"word{i} stands" for i in range(60))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (None, "no id"), (None, "no id"), (5, body), (5, body), (6, body.replace("word30", "w")), (7, "long " * 60_000), (8, "x" * 100_000), (9, "one\none\ntwo")]
+    table = spark.createDataFrame([(i, t, None if i == 9 else "en", None if i == 2 else "s", None, 0.5, 7, 1) for i, t in rows], columns)
+    now = table
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, table.limit(0), sf).count() == 0, name
+        after = stage(spark, now, sf)
+        assert after.columns == table.columns, name
+        now = spark.createDataFrame(after.collect(), columns)
+    kept = [(r["doc_id"], r["text"]) for r in now.collect()]
+    # The text of 5 is in it twice and its near copy 6 loses its only line; what has no words or no id stays.
+    assert sorted((i is None, i or 0) for i, _ in kept) == sorted((i is None, i or 0) for i in (1, 2, 3, None, None, 5, 5, 7, 8, 9))
+    assert dict(kept)[9] == "one\ntwo"
+    last = {r["doc_id"]: r for r in pipeline.STAGES[-1][1](spark, now, sf).collect()}
+    assert last[1]["ids"] is None and last[2]["ids"] == [] and last[7]["round_trip"] and last[8]["round_trip"]
+    assert pipeline.STAGES[-1][1](spark, table.limit(0), sf).count() == 0
