@@ -20,6 +20,16 @@ def delta_counts(deltas: DataFrame, *keys: str) -> DataFrame:
     return deltas.groupBy(*keys).agg(F.count_if(F.coalesce(F.col("op"), F.lit("")) != "update").alias("adds"), F.count_if(F.col("op") == "update").alias("updates"))
 
 
+def session_counts(items: DataFrame) -> DataFrame:
+    """Per session the number of its questions, of the mistakes among them, and of subjects."""
+    return items.groupBy("session_id").agg(F.count("*").alias("questions"), F.count_if("mistake").alias("mistakes"), F.count_distinct("subject").alias("subjects"))
+
+
+def profiles(events: DataFrame, at: str = "created_at") -> DataFrame:
+    """What a memory profile is made from: ``account_id, scope, source_count, latest_event_at``."""
+    return events.groupBy("account_id", "scope").agg(F.count("*").alias("source_count"), F.max(at).alias("latest_event_at"))
+
+
 def progress(df: DataFrame, done: Column, ms: Column, *keys: str) -> DataFrame:
     """``done, total, avg_ms`` and ``eta_ms``: what is left times the average, rounded."""
     out = df.groupBy(*keys).agg(F.count_if(done).alias("done"), F.count("*").alias("total"), F.avg(F.when(done, ms)).alias("avg_ms"))

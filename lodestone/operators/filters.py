@@ -59,6 +59,20 @@ def sound_vectors(df: DataFrame, name: str = "embedding") -> DataFrame:
     return df.where(F.col(name).isNotNull() & (F.size(name) > 0))
 
 
+def kept_frames(df: DataFrame, status: str = "novelty_status") -> DataFrame:
+    """Frames that are neither invalid nor duplicates; one without a status is kept."""
+    return df.where(~F.coalesce(F.col(status).isin("invalid", "duplicate"), F.lit(False)))
+
+
+def review_queue(df: DataFrame, now: Column, *, due_only: bool = True, q: str = "", fields: Iterable[str] = ("title", "question_text"), page_size: int = 20) -> DataFrame:
+    """The first page of items to review, by status, review state, time and id; ``q`` is looked for in some text columns."""
+    if due_only:
+        df = df.where(due(F.col("next_review_at"), now))
+    if q:
+        df = df.where(F.concat_ws("\n", *[F.coalesce(F.col(f), F.lit("")) for f in fields]).contains(q))
+    return df.orderBy("status", "review_state", F.col("next_review_at").asc_nulls_first(), "id").limit(page_size)
+
+
 def due(next_review_at: Column, now: Column) -> Column:
     """Own rule, as the original is not public: due once the time has come, and where no time is set."""
     return next_review_at.isNull() | (next_review_at <= now)

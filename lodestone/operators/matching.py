@@ -34,21 +34,23 @@ def nearest(candidates: DataFrame, stored: DataFrame, least: float = 0.90, *, ke
 
 
 def near_hashes(df: DataFrame, id_col: str, hash_col: str, most: int = 3) -> DataFrame:
-    """Pairs ``a < b`` of ids whose hashes differ in at most ``most`` bits, by ``most + 1`` bands (``distance`` long).
+    """Pairs ``a < b`` of classes of equal hashes, by their least ids, that differ in 1 to ``most`` bits (``distance`` long), and
+    for each further member ``b`` of a class a row with its least id ``a`` and distance 0.
 
-    Equal hashes are one class and joined once; a pair of classes that shares several bands is made in the first only.
+    So no pair is lost, and a hash that a third of all rows have gives a row for each of them and not for each two. Classes
+    meet by ``most + 1`` bands; rows without a hash are near nobody.
     """
     if most > 31:
         raise ValueError("more bands than the hash has")
-    classes = df.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(id_col).alias("rep"))
-    entries = classes.select(F.col(hash_col).alias("h"), F.posexplode(bands(F.col(hash_col), most + 1)).alias("k", "band"))
+    one = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("b"), F.col(hash_col).alias("h"))
+    classes = one.groupBy("h").agg(F.min("b").alias("a"))
+    entries = classes.select(F.struct("h", "a").alias("c"), F.posexplode(bands(F.col("h"), most + 1)).alias("k", "band"))
     x, y = entries.toDF("x", "k", "band"), entries.toDF("y", "k", "band")
-    close = x.join(y, ["k", "band"]).where("x < y").where(hamming(F.col("x"), F.col("y")) <= most).select("x", "y").distinct()
-    one = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(hash_col).alias("h"))
-    left, right = one.toDF("i", "x"), one.toDF("j", "y")
-    far = close.join(left, "x").join(right, "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("x"), F.col("y")).cast("long").alias("distance"))
-    same = one.toDF("a", "h").join(one.toDF("b", "h"), "h").where("a < b").select("a", "b", F.lit(0).cast("long").alias("distance"))
-    return same.unionByName(far)
+    apart = hamming(F.col("x.h"), F.col("y.h")).cast("long")
+    close = x.join(y, ["k", "band"]).where("x.h < y.h").withColumn("distance", apart).where(F.col("distance") <= most)
+    far = close.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"), "distance").distinct()
+    same = one.join(classes, "h").where("a <> b").select("a", "b", F.lit(0).cast("long").alias("distance"))
+    return far.unionByName(same)
 
 
 def greedy_first(df: DataFrame, keys: list[str], order: list[str], hash_col: str, most: int = 3, schema: str | None = None) -> DataFrame:

@@ -178,15 +178,21 @@ SIMHASH_SQL = r"""items AS (SELECT item_id AS id, regexp_replace(lower(text), '[
     sim AS (SELECT id, sum(CASE WHEN v > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS simhash FROM votes GROUP BY id)"""
 
 
+# Classes of equal hashes by their least ids: pairs of classes, and the further members of each.
+NEAR_SQL = """r AS (SELECT simhash, min(id) AS rep FROM sim WHERE simhash IS NOT NULL GROUP BY simhash)
+    SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, bit_count(xor(x.simhash, y.simhash))::BIGINT AS distance FROM r x JOIN r y ON x.simhash < y.simhash WHERE bit_count(xor(x.simhash, y.simhash)) <= 3
+    UNION ALL SELECT rep, id, 0 FROM sim JOIN r USING (simhash) WHERE id <> rep"""
+
+
 @query(f"WITH {SIMHASH_SQL} SELECT id, simhash FROM sim")
 def f20_simhash(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), hashes.normalized(F.col("text")).alias("s"))
     return items.select("id", hashes.simhash(F.col("s")).alias("simhash"))
 
 
-@query(f"WITH {SIMHASH_SQL} SELECT a.id AS a, b.id AS b, bit_count(xor(a.simhash, b.simhash))::BIGINT AS distance FROM sim a JOIN sim b ON a.id < b.id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3")
+@query(f"WITH {SIMHASH_SQL}, {NEAR_SQL}")
 def j4_near_questions(spark, sf_dir):
-    """Pairs within 3 bits by four bands."""
+    """Pairs of classes within 3 bits by four bands, and members."""
     return matching.near_hashes(f20_simhash(spark, sf_dir), "id", "simhash", 3)
 
 
@@ -199,12 +205,41 @@ def f20_simhash_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hashes.simhash(hashes.normalized(F.col("text"))).alias("simhash"))
 
 
-@query(f"WITH {SIMHASH_DOCUMENTS_SQL} SELECT a.id AS a, b.id AS b, bit_count(xor(a.simhash, b.simhash))::BIGINT AS distance FROM sim a JOIN sim b ON a.id < b.id WHERE bit_count(xor(a.simhash, b.simhash)) <= 3")
+@query(f"WITH {SIMHASH_DOCUMENTS_SQL}, {NEAR_SQL}")
 def j4_near_documents(spark, sf_dir):
     """J4 F21 over documents."""
     return matching.near_hashes(written(f20_simhash_documents(spark, sf_dir), "simhash"), "id", "simhash", 3)
 
 
+@query("""SELECT event_id, ts FROM events WHERE CASE event_id % 4 WHEN 0 THEN 'invalid' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'novel' ELSE 'unknown' END NOT IN ('invalid', 'duplicate')""")
+def p12_kept_frames(spark, sf_dir):
+    """Events stand for frames."""
+    k = F.col("event_id") % 4
+    frames = table(spark, sf_dir, "events").withColumn("novelty_status", F.when(k == 0, "invalid").when(k == 1, "duplicate").when(k == 2, "novel").otherwise("unknown"))
+    return filters.kept_frames(frames).select("event_id", "ts")
+
+
+@query("""SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS review_state, o_orderdate AS next_review_at FROM orders
+    WHERE contains(o_orderpriority, 'MEDIUM') AND (o_orderdate IS NULL OR o_orderdate <= TIMESTAMP '1996-01-01') ORDER BY 2, 3, 4 NULLS FIRST, 1 LIMIT 20""")
+def p11_review_queue(spark, sf_dir):
+    """Orders stand for mistakes."""
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("review_state"), F.col("o_orderdate").alias("next_review_at"))
+    return filters.review_queue(items, F.lit("1996-01-01").cast("timestamp_ntz"), due_only=True, q="MEDIUM", fields=["review_state"], page_size=20)
+
+
+@query("""SELECT o_custkey AS session_id, count(*) AS questions, count(*) FILTER (o_orderstatus = 'F') AS mistakes, count(DISTINCT o_orderpriority) AS subjects FROM orders GROUP BY 1""")
+def a17_session_counts(spark, sf_dir):
+    """Orders stand for questions, customers for sessions."""
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("subject"), (F.col("o_orderstatus") == "F").alias("mistake"))
+    return agg.session_counts(items)
+
+
+@query("""SELECT user_id AS account_id, event_type AS scope, count(*) AS source_count, max(ts) AS latest_event_at FROM events GROUP BY 1, 2""")
+def a18_profiles(spark, sf_dir):
+    """A18."""
+    return agg.profiles(table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), F.col("event_type").alias("scope"), "ts"), "ts")
+
+
 @query()
 def q6_question_set(spark, sf_dir):
     """Documents kept of each source, first ones first."""
@@ -350,11 +385,17 @@ def j9_bodies(spark, sf_dir):
     return orders.unionByName(customers).join(bodies, ["kind", "id"], "left").select("kind", "id", "body")
 
 
-@query()
+@query("""WITH g AS (SELECT vec_id AS id, embedding[1:64]::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+    v AS (FROM g UNION ALL SELECT id + 1000000, list_concat([-e[1], -e[2]], e[3:64]) FROM g), sim AS (SELECT id, array_to_string(list_transform(e, lambda x: CASE WHEN x >= list_avg(e) THEN '1' ELSE '0' END), '') AS h FROM v),
+    r AS (SELECT h, min(id) AS rep FROM sim GROUP BY h)
+    SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, hamming(x.h, y.h) AS distance FROM r x JOIN r y ON x.h < y.h WHERE hamming(x.h, y.h) <= 5
+    UNION ALL SELECT rep, id, 0 FROM sim JOIN r USING (h) WHERE id <> rep""")
 def j5_near_images(spark, sf_dir):
-    """Average hashes within 5 bits; the first 64 values of a vector stand for a grid of luma."""
-    grid = F.slice(F.col("embedding").cast("array<double>"), 1, 64)
-    return matching.near_hashes(written(table(spark, sf_dir, "embeddings").select("vec_id", hashes.packed(hashes.average_hash(grid)).alias("hash")), "images"), "vec_id", "hash", 5)
+    """Average hashes within 5 bits; the first 64 values of a vector stand for a grid of luma, and each has a next frame."""
+    grids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 64).alias("g"))
+    after = grids.select((F.col("id") + 1_000_000).alias("id"), F.concat(F.transform(F.slice("g", 1, 2), lambda x: -x), F.slice("g", 3, 62)).alias("g"))
+    images = grids.unionByName(after).select("id", hashes.packed(hashes.average_hash(F.col("g"))).alias("hash"))
+    return matching.near_hashes(written(images, "images"), "id", "hash", 5)
 
 
 @query("""WITH f AS (SELECT o.o_orderkey AS id, o.o_custkey AS session_id, o_totalprice FROM orders o WHERE o_orderstatus = 'F' AND contains(o_orderpriority, 'HIGH')), t AS (SELECT count(*) AS total FROM f)

@@ -69,8 +69,13 @@ def test_bands_find_what_brute_force_finds(spark):
     df = spark.range(60).select("id", F.pmod(F.xxhash64(F.col("id") % 20), F.lit(1 << 58)).alias("h"))
     df = df.withColumn("h", F.when(F.col("id") % 3 == 0, F.col("h").bitwiseXOR(5)).otherwise(F.col("h")))
     rows = df.collect()
-    want = {(a["id"], b["id"]) for a in rows for b in rows if a["id"] < b["id"] and (a["h"] ^ b["h"]).bit_count() <= 3}
-    assert {(r["a"], r["b"]) for r in matching.near_hashes(df, "id", "h").collect()} == want and want
+    least = {}
+    for r in rows:
+        least[r["h"]] = min(r["id"], least.get(r["h"], r["id"]))
+    want = {(min(least[x], least[y]), max(least[x], least[y])) for x in least for y in least if x != y and (x ^ y).bit_count() <= 3}
+    same = {(least[r["h"]], r["id"]) for r in rows if r["id"] != least[r["h"]]}
+    got = matching.near_hashes(df, "id", "h").collect()
+    assert {(r["a"], r["b"]) for r in got if r["distance"]} == want and {(r["a"], r["b"]) for r in got if not r["distance"]} == same and want and same
 
 
 def test_upsert_keeps_stale_vectors(spark):
