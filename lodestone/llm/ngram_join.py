@@ -196,9 +196,11 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (8
     inside = runs.where("block is not null").select("block", F.col("b").alias("id")).join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_blocks = inside.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("least")).where("x <> y")
     left = written(inside.join(mixed_blocks.select("block", "least"), "block").select("id", "component", "least").distinct(), "open")
-    found = first if left.isEmpty() else components(links.unionByName(tree_links(left, sets_of, rule, chunk)))
-    out = member.drop("blocks").join(reps, "set", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
+    out = member.drop("blocks").join(reps, "set", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    if not left.isEmpty():
+        joined = components(tree_links(left, sets_of, rule, chunk)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        out = out.join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component"))
+    component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
@@ -266,7 +268,7 @@ def flattened(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tree_links(left: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule: Rule, chunk: int) -> DataFrame:
-    """Links ``a, b`` between components, by box trees: with those that are there they give all components.
+    """Links ``a, b`` between components, by their numbers, that box trees find: with those that are there they give all.
 
     ``left``: ``id, component, least``, the members of open blocks with the least member of each. Blocks that share members
     are one group, so a set goes to one group only. A group is dealt to pieces: components of more than ``chunk`` members
@@ -291,13 +293,14 @@ def tree_links(left: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule:
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, comp = table["id"].to_numpy(), np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        names, comp = np.unique(table["component"].to_numpy(), return_inverse=True)
         flat, at = flattened(table["s"].combine_chunks())
-        rows = [flat[at[k] : at[k + 1]] for k in range(len(ids))]
+        rows = [flat[at[k] : at[k + 1]] for k in range(len(comp))]
         out = forest(rows, comp, rule) if comp.max(initial=0) else []
-        return pa.table({"a": pa.array([int(min(ids[i], ids[j])) for i, j in out], pa.int64()), "b": pa.array([int(max(ids[i], ids[j])) for i, j in out], pa.int64())})
+        ends = [sorted((int(names[comp[i]]), int(names[comp[j]]))) for i, j in out]
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.int64()), "b": pa.array([y for _, y in ends], pa.int64())})
 
-    grid = dealt.select("group", "piece", "id", "component", "s").join(cells, ["group", "piece"])
+    grid = dealt.select("group", "piece", "component", "s").join(cells, ["group", "piece"])
     return written(grid.groupBy("group", "x", "y").applyInArrow(join, "a long, b long"), "tree-links")
 
 
