@@ -240,7 +240,18 @@ def a18_profiles(spark, sf_dir):
     return agg.profiles(table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), F.col("event_type").alias("scope"), "ts"), "ts")
 
 
-@query()
+# A document goes if one before it, of its source and near its hash, stays; those in question are walked in order.
+QUESTION_SET_SQL = f"""WITH RECURSIVE {SIMHASH_DOCUMENTS_SQL},
+    firsts AS (SELECT source, sha1({NORMAL_SQL}) AS fingerprint, min(doc_id) AS id FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S') GROUP BY ALL),
+    u AS (SELECT firsts.*, simhash FROM firsts LEFT JOIN sim USING (id)),
+    n AS (SELECT source, simhash, min(id) AS id FROM u WHERE simhash IS NOT NULL GROUP BY ALL),
+    c AS (SELECT b.id, list(a.id) AS earlier FROM n a JOIN n b ON a.source = b.source AND a.id < b.id AND bit_count(xor(a.simhash, b.simhash)) <= 3 GROUP BY b.id),
+    o AS (SELECT row_number() OVER (ORDER BY id) AS k, id, earlier FROM c),
+    walk(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN len(list_filter(o.earlier, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, o.id) ELSE gone END FROM walk JOIN o ON o.k = walk.k + 1)
+    SELECT u.id AS doc_id, fingerprint FROM u WHERE (simhash IS NULL OR id IN (SELECT id FROM n)) AND id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM walk ORDER BY k DESC LIMIT 1))"""
+
+
+@query(QUESTION_SET_SQL)
 def q6_question_set(spark, sf_dir):
     """Documents kept of each source, first ones first."""
     items = table(spark, sf_dir, "documents").select(F.col("source").alias("session"), "doc_id", F.col("text").alias("stem"))
