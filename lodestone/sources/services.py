@@ -27,18 +27,26 @@ def embedding_column(embed: Callable[[list[str]], list[list[float]]], batch: int
     return run
 
 
-def reply_column(call: Callable[[str], str]) -> Callable[[Column], Column]:
-    """Makes a column function of a model call; a call that fails gives an empty reply."""
+def answered(call: Callable[[str], str]) -> Callable[[Column], Column]:
+    """Makes a column function of a model call: a struct of ``reply`` and ``error``, of which one is null."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("reply string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
-            out = []
+            replies, errors = [], []
             for p in prompts.fillna(""):
                 try:
-                    out.append(call(p))
-                except Exception:  # noqa: BLE001  a failed call counts as no reply
-                    out.append("")
-            yield pd.Series(out)
+                    replies.append(call(p))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  a failed call is told, the others go on
+                    replies.append(None)
+                    errors.append(f"{type(e).__name__}: {e}"[:500])
+            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return run
+
+
+def reply_column(call: Callable[[str], str]) -> Callable[[Column], Column]:
+    """The replies of ``answered``; a call that fails gives an empty one. Where failures must be counted, use ``answered``."""
+    ask = answered(call)
+    return lambda prompt: F.coalesce(ask(prompt)["reply"], F.lit(""))

@@ -186,11 +186,13 @@ def test_entry(spark):
 
 
 def test_services(spark):
-    from lodestone.sources.services import embedding_column, reply_column
+    from lodestone.sources.services import answered, embedding_column, reply_column
 
     df = spark.createDataFrame([("ab",), (None,)], "t string")
     assert [r["v"] for r in df.select(embedding_column(lambda xs: [[float(len(x))] for x in xs], 1)(F.col("t")).alias("v")).collect()] == [[2.0], [0.0]]
     assert [r["v"] for r in df.select(reply_column(lambda p: p[0])(F.col("t")).alias("v")).collect()] == ["a", ""]
+    got = [r["v"] for r in df.select(answered(lambda p: p[0])(F.col("t")).alias("v")).collect()]
+    assert (got[0]["reply"], got[0]["error"], got[1]["reply"]) == ("a", None, None) and got[1]["error"].startswith("IndexError")
 
 
 def test_extract_and_store(spark):
