@@ -18,17 +18,42 @@ def fingerprint(text: Column) -> Column:
     return F.sha1(normalized(text))
 
 
+#: Bits are counted in lanes: bit k + LANE * j of a gram's hash adds to lane j of counter k. A lane holds counts below 2**LANE.
+LANE = 6
+LANES = sum(1 << LANE * j for j in range(BITS // LANE))
+
+
 def simhash(text: Column, gram: int = 3) -> Column:
-    """A bit is set where more grams of the text have it than not; null for texts shorter than a gram."""
+    """A bit is set where more grams of the text have it than not; null for texts shorter than a gram.
+
+    Time goes with the length of the text: in UTF-32 a gram is a slice at a known place, and the ten lanes of a counter are
+    added up at once, for as many grams as a lane can count.
+    """
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + f(x))
+    some = (1 << LANE) - 1
+
+    def digest(code: Column, i: Column) -> Column:
+        utf8 = F.encode(F.decode(F.substring(code, i, F.lit(4 * gram)), "UTF-32"), "UTF-8")
+        return F.conv(F.substring(F.md5(utf8), 1, BITS // 4), 16, 10).cast("long")
+
+    def grams(code: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.octet_length(code) - (4 * gram - 1), F.lit(4)), lambda i: digest(code, i))
+
+    def counters(hashes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(hashes), F.lit(some)), lambda at: F.slice(hashes, at, F.lit(some)))
+        return F.transform(blocks, lambda block: F.array(*[total(block, lambda h, k=k: F.shiftright(h, k).bitwiseAND(LANES)) for k in range(LANE)]))
+
+    def votes(hashes: Column) -> Column:
+        n = F.size(hashes)
 
-    def votes(x: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(x) - gram + 1), lambda i: F.conv(F.substring(F.md5(F.substring(x, i, F.lit(gram))), 1, BITS // 4), 16, 10).cast("long"))
-        return F.transform(F.array(grams), lambda g: F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, b: acc + F.when(bit_sum(g, b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))[0]
+        def bit(b: Column, sums: Column) -> Column:
+            lane = total(sums, lambda c: F.call_function("shiftright", c[b % LANE], F.floor(b / LANE).cast("int") * LANE).bitwiseAND(some))
+            return F.when(lane * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-    def bit_sum(grams: Column, b: Column) -> Column:
-        return F.aggregate(grams, F.lit(0), lambda s, h: s + F.when(F.getbit(h, b) == 1, F.lit(1)).otherwise(F.lit(-1)))
+        return let(counters(hashes), lambda sums: total(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: bit(b, sums)))
 
-    return F.when(F.length(text) >= gram, F.transform(F.array(text), votes)[0])
+    return F.when(F.length(text) >= gram, let(F.encode(text, "UTF-32"), lambda code: let(grams(code), votes)))
 
 
 def hamming(a: Column, b: Column) -> Column:

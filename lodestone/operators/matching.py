@@ -53,28 +53,65 @@ def near_hashes(df: DataFrame, id_col: str, hash_col: str, most: int = 3) -> Dat
     return far.unionByName(same)
 
 
-def greedy_first(df: DataFrame, keys: list[str], order: list[str], hash_col: str, most: int = 3, schema: str | None = None) -> DataFrame:
-    """Rows kept when each is held against those kept before it, in order, within a group: first ones win.
+def first_wins(conflicts: DataFrame) -> DataFrame:
+    """``g, a``: what goes when, within a group and in order, each goes that conflicts with an earlier one that stays.
 
-    Not the components of the links: of A ~ B ~ C with A and C apart, A and C stay. Exact copies are dropped beforehand, by
-    groups that combine before the shuffle; rows without a hash all stay. Conflicts come from a join of bands. Then in each
-    round the rows that no undecided row precedes are kept and those in conflict with them go, until no conflict is left.
+    ``conflicts``: ``g, a, b`` with a before b in the order of a's and b's own values. In each round those that no undecided one
+    precedes stay and those in conflict with them go, until no conflict is left; rounds are as many as the longest chain.
     """
-    some = df.where(F.col(hash_col).isNotNull()).withColumn("_o", F.struct(*order))
-    firsts = some.groupBy(*keys, hash_col).agg(F.min_by(F.struct(*[c for c in df.columns if c not in (*keys, hash_col)]), "_o").alias("_r"))
-    distinct = written(firsts.select(*keys, hash_col, "_r.*").select(*df.columns), "distinct")
-    node = distinct.select(F.struct(*keys).alias("g"), F.col(hash_col).alias("h"), F.struct(*order).alias("o"))
-    entries = node.select("g", F.struct("o", "h").alias("x"), F.posexplode(bands(F.col("h"), most + 1)).alias("k", "band"))
-    both = entries.join(entries.withColumnRenamed("x", "y"), ["g", "k", "band"]).where((F.col("x") < F.col("y")) & (hamming(F.col("x.h"), F.col("y.h")) <= most))
-    left = written(both.select("g", F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "conflicts")
-    dropped = node.select("g", "h").limit(0)
+    left = written(conflicts.select("g", "a", "b").distinct(), "conflicts")
+    dropped = left.select("g", "a").limit(0)
     while not left.isEmpty():
         later = left.select("g", F.col("b").alias("a")).distinct()
-        gone = written(left.join(later, ["g", "a"], "left_anti").select("g", F.col("b").alias("h")).distinct(), "gone")
-        left = written(left.join(gone.withColumnRenamed("h", "b"), ["g", "b"], "left_anti").join(gone.withColumnRenamed("h", "a"), ["g", "a"], "left_anti").select("g", "a", "b"), "conflicts")
+        gone = written(left.join(later, ["g", "a"], "left_anti").select("g", F.col("b").alias("a")).distinct(), "gone")
+        left = written(left.join(gone.withColumnRenamed("a", "b"), ["g", "b"], "left_anti").join(gone, ["g", "a"], "left_anti").select("g", "a", "b"), "conflicts")
         dropped = dropped.unionByName(gone)
-    kept = distinct.withColumn("g", F.struct(*keys)).join(dropped.withColumnRenamed("h", hash_col), ["g", hash_col], "left_anti").select(*df.columns)
-    return kept.unionByName(df.where(F.col(hash_col).isNull()))
+    return dropped
+
+
+def near_before(nodes: DataFrame, hash_col: str, most: int, later=None) -> DataFrame:
+    """``g, a, b``: a before b (``o`` orders), hashes within ``most`` bits, found by bands; ``later`` is a condition on b."""
+    entries = nodes.where(F.col(hash_col).isNotNull()).select("g", "o", F.col(hash_col).alias("h"), F.posexplode(bands(F.col(hash_col), most + 1)).alias("k", "band"))
+    second = nodes if later is None else nodes.where(later)
+    second = second.where(F.col(hash_col).isNotNull()).select("g", F.col("o").alias("p"), F.col(hash_col).alias("i"), F.posexplode(bands(F.col(hash_col), most + 1)).alias("k", "band"))
+    both = entries.join(second, ["g", "k", "band"]).where((F.col("o") < F.col("p")) & (hamming(F.col("h"), F.col("i")) <= most))
+    return both.select("g", F.col("o").alias("a"), F.col("p").alias("b")).distinct()
+
+
+def alike_in_place(nodes: DataFrame, hash_col: str, most: int, near: float, later) -> DataFrame:
+    """``g, a, b``: a before b, hashes within ``most`` bits and centres (``cx, cy``) within ``near`` on both axes.
+
+    Two indexes at once: a row is entered by each band of its hash together with the cell of a grid that its centre lies in, and
+    sought in that cell and its eight neighbours. Rows without a hash or a centre meet nobody; ``later`` is a condition on b.
+    """
+    cell = lambda c: F.floor(F.col(c) / near)
+    sound = nodes.where(F.col(hash_col).isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull())
+    what = F.struct("o", F.col(hash_col).alias("h"), "cx", "cy")
+    entered = sound.select("g", what.alias("x"), cell("cx").alias("column"), cell("cy").alias("row"), F.posexplode(bands(F.col(hash_col), most + 1)).alias("k", "band"))
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    sought = sound.where(later).withColumn("column", around("cx")).withColumn("row", around("cy"))
+    sought = sought.select("g", what.alias("y"), "column", "row", F.posexplode(bands(F.col(hash_col), most + 1)).alias("k", "band"))
+    both = entered.join(sought, ["g", "k", "band", "column", "row"]).where((F.col("x.o") < F.col("y.o")) & (hamming(F.col("x.h"), F.col("y.h")) <= most))
+    beside = (F.abs(F.col("x.cx") - F.col("y.cx")) <= near) & (F.abs(F.col("x.cy") - F.col("y.cy")) <= near)
+    return both.where(beside).select("g", F.col("x.o").alias("a"), F.col("y.o").alias("b")).distinct()
+
+
+def firsts(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group, by groups that combine before the shuffle."""
+    rest = [c for c in df.columns if c not in by]
+    return df.withColumn("_o", F.struct(*order)).groupBy(*by).agg(F.min_by(F.struct(*rest), "_o").alias("_r")).select(*by, "_r.*").select(*df.columns)
+
+
+def greedy_first(df: DataFrame, keys: list[str], order: list[str], hash_col: str, most: int = 3) -> DataFrame:
+    """Rows kept when each is held against those kept before it, in order, within a group: first ones win.
+
+    Not the components of the links: of A ~ B ~ C with A and C apart, A and C stay. Exact copies are dropped beforehand; rows
+    without a hash all stay. Conflicts come from a join of bands, and rounds of joins decide them (``first_wins``).
+    """
+    distinct = written(firsts(df.where(F.col(hash_col).isNotNull()), [*keys, hash_col], order), "distinct")
+    nodes = distinct.select("*", F.struct(*keys).alias("g"), F.struct(*order).alias("o"))
+    gone = first_wins(near_before(nodes, hash_col, most)).withColumnRenamed("a", "o")
+    return nodes.join(gone, ["g", "o"], "left_anti").select(*df.columns).unionByName(df.where(F.col(hash_col).isNull()))
 
 
 def semantic_upsert(stored: DataFrame, candidates: DataFrame, account: str = "account_id", least: float = 0.90) -> DataFrame:
@@ -121,8 +158,6 @@ def exists_similar(df: DataFrame, keys: list[str], least: float = 0.90) -> DataF
     return a.alias("a").join(b.alias("b"), condition, "left_semi")
 
 
-
-
 def best_previous(frames: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:
     """Each row with the best row before it in its group (``best_previous`` its order, ``best_score``): ties to the earliest."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -31,3 +31,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.lodestone_path = path
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it comes in fewer pieces than there are, as from a file of one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

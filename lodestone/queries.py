@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashes, labels, scoring, text
 from lodestone.operators import aggregates as agg
 from lodestone.operators import filters, layout, matching, ranking, state
-from lodestone.operators.shared import written
+from lodestone.operators.shared import spread, written
 from lodestone.plans import intent, memory, study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,7 +202,7 @@ SIMHASH_DOCUMENTS_SQL = SIMHASH_SQL.replace("item_id", "doc_id").replace("benchm
 @query(f"WITH {SIMHASH_DOCUMENTS_SQL} SELECT documents.doc_id AS id, simhash FROM documents LEFT JOIN sim ON sim.id = documents.doc_id")
 def f20_simhash_documents(spark, sf_dir):
     """F20 over documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hashes.simhash(hashes.normalized(F.col("text"))).alias("simhash"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), hashes.simhash(hashes.normalized(F.col("text"))).alias("simhash"))
 
 
 @query(f"WITH {SIMHASH_DOCUMENTS_SQL}, {NEAR_SQL}")
@@ -258,6 +258,37 @@ def q6_question_set(spark, sf_dir):
     return study.question_set(items, ["session"], ["doc_id"]).select("doc_id", "fingerprint")
 
 
+# Every sentence is a question on the page of its document; its picture and place follow from its text and its place in order.
+SENTENCES_SQL = rf"""s AS (SELECT source, doc_id, i, regexp_replace(lower(t), '[\s\x0B\p{{P}}]+', '', 'g') AS s FROM (SELECT source, doc_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM (SELECT *, regexp_split_to_array(text, '\.\s*') AS p FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(t, '\S')),
+    d AS (SELECT source, sha1(s) AS fingerprint, any_value(s) AS s, min({{'d': doc_id, 'i': i}}) AS o FROM s GROUP BY ALL),
+    q AS (SELECT source, fingerprint, o, s, length(s) AS n, xor(('0x' || substr(md5(s[1:2]), 1, 15))::BIGINT, 1::BIGINT << (o.d % 4)::INT) AS crop, 0.1 + 0.2 * (o.i % 4) + 0.02 * (o.d % 3) AS cx, 0.05 + 0.15 * (o.i // 4 % 6) + 0.02 * (o.d % 2) AS cy FROM d),
+    grams AS (SELECT source, o, unnest(list_transform(range(1, length(s) - 1), lambda k: ('0x' || substr(md5(substr(s, k, 3)), 1, 15))::BIGINT)) AS g FROM q),
+    votes AS (SELECT source, o, {", ".join(f"sum((g >> {b}) & 1) * 2 > count(*) AS v{b}" for b in range(60))} FROM grams GROUP BY ALL),
+    h AS (SELECT source, o, ({" + ".join(f"v{b}::BIGINT * {1 << b}" for b in range(60))})::BIGINT AS h FROM votes),
+    x AS (SELECT q.*, h.h FROM q LEFT JOIN h USING (source, o)),
+    c AS (SELECT b.source, b.o, list(a.o) AS earlier FROM x a JOIN x b ON a.source = b.source AND a.o < b.o
+          AND CASE WHEN b.n >= 12 THEN bit_count(xor(a.h, b.h)) <= 3 ELSE bit_count(xor(a.crop, b.crop)) <= 5 AND abs(a.cx - b.cx) <= 0.05 AND abs(a.cy - b.cy) <= 0.05 END GROUP BY ALL),
+    o AS (SELECT row_number() OVER (PARTITION BY source ORDER BY o) AS k, * FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {SENTENCES_SQL},
+    walk(source, k, gone) AS (SELECT DISTINCT source, 0::BIGINT, []::STRUCT(d BIGINT, i BIGINT)[] FROM o
+        UNION ALL SELECT o.source, o.k, CASE WHEN len(list_filter(o.earlier, lambda e: NOT list_contains(gone, e))) > 0 THEN list_append(gone, o.o) ELSE gone END FROM walk JOIN o ON o.k = walk.k + 1 AND o.source = walk.source),
+    gone AS (SELECT source, unnest(arg_max(gone, k)) AS o FROM walk GROUP BY source)
+    SELECT source, x.o.d AS doc_id, x.o.i AS i, x.n AS stem_length, fingerprint FROM x ANTI JOIN gone USING (source, o)""")
+def j13_short_questions(spark, sf_dir):
+    """Sentences stand for questions, with crops and boxes made by rule; short ones go by picture and place."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    parts = docs.select("source", "doc_id", F.posexplode(F.split("text", r"\.\s*")).alias("i", "stem"))
+    base = F.conv(F.substring(F.md5(F.encode(F.substring(hashes.normalized(F.col("stem")), 1, 2), "UTF-8")), 1, 15), 16, 10).cast("long")
+    crop = base.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("doc_id") % 4).cast("int")))
+    x, y = 0.1 + 0.2 * (F.col("i") % 4) + 0.02 * (F.col("doc_id") % 3), 0.05 + 0.15 * (F.floor(F.col("i") / 4) % 6) + 0.02 * (F.col("doc_id") % 2)
+    zero = F.lit(0.0)
+    items = parts.select("source", "doc_id", "i", "stem", crop.alias("crop_hash"), F.struct(x.alias("x"), y.alias("y"), zero.alias("w"), zero.alias("h")).alias("box"))
+    kept = study.illustrated_question_set(items, ["source"], ["doc_id", "i"])
+    return kept.select("source", "doc_id", F.col("i").cast("long").alias("i"), F.col("stem_length").cast("long").alias("stem_length"), "fingerprint")
+
+
 @query("SELECT doc_id FROM documents WHERE contains(text, 'idiot') OR contains(text, 'clown') OR (source = 'src1' AND lang <> 'en')")
 def q7_cleanup(spark, sf_dir):
     """Q7 P5 P6, with markers of the test texts."""

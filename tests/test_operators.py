@@ -1,4 +1,7 @@
+import hashlib
 import random
+import re
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lodestone.functions import hashes
 from lodestone.operators import layout, matching, ranking, state
-from lodestone.plans import memory
+from lodestone.plans import memory, study
 from lodestone.sources import shards
 from lodestone.streaming import feeds
 
@@ -231,3 +234,80 @@ def test_block_column(spark):
     content, columns = r(0, 0, 1, 1), F.array(r(0, 0, 0.5, 1), r(0.5, 0, 0.5, 1))
     pick = lambda box: spark.range(1).select(layout.block_column(box, F.array(F.lit(0.7)), columns, content).alias("c")).first()["c"]["x"]
     assert pick(r(0.55, 0.1, 0.3, 0.1)) == 0.5 and pick(r(0.1, 0.1, 0.8, 0.1)) == 0.0
+
+
+def simhash_brute(t):
+    votes = [0] * 60
+    for i in range(len(t) - 2):
+        h = int(hashlib.md5(t[i : i + 3].encode()).hexdigest()[:15], 16)
+        for b in range(60):
+            votes[b] += 1 if h >> b & 1 else -1
+    return sum(1 << b for b in range(60) if votes[b] > 0) if len(t) >= 3 else None
+
+
+def test_simhash_counts_every_gram(spark):
+    rng = random.Random(1)
+    texts = ["", "ab", "abc", "a\U0001f600bc" * 50, "x" * 1000] + ["".join(rng.choice("abcdé中\U0001f600fgh") for _ in range(n)) for n in (3, 4, 62, 63, 64, 65, 66, 128, 129, 3000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", hashes.simhash(F.col("t")).alias("h")).collect()
+    assert [r["h"] for r in sorted(got)] == [simhash_brute(t) for t in texts]
+
+
+def test_simhash_takes_linear_time(spark):
+    """Ten times the text takes about ten times as long, not a hundred."""
+    took = []
+    for n in (40_000, 400_000):
+        df = spark.createDataFrame([("".join(map(str, range(n)))[:n],)], "t string")
+        began = time.perf_counter()
+        df.select(hashes.simhash(F.col("t"))).collect()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * max(took[0], 0.2)
+
+
+QUESTIONS = "s string, n int, stem string, crop_hash long, box struct<x: double, y: double, w: double, h: double>"
+
+
+def questions_brute(rows, short=12):
+    plain = lambda t: re.sub(r"[\s,.!?;:]+", "", t.lower())
+    bits = lambda a, b: (a ^ b).bit_count()
+    seen, kept = {}, {}
+    for s, n, stem, crop, box in sorted((r for r in rows if (r[2] or "").strip()), key=lambda r: r[1]):
+        p = plain(stem)
+        if p in seen.setdefault(s, set()):
+            continue
+        seen[s].add(p)
+        mine = kept.setdefault(s, [])
+        h = simhash_brute(p)
+        mid = None if box is None else (box[0] + box[2] / 2, box[1] + box[3] / 2)
+        if len(p) >= short:
+            hit = any(k[1] is not None and bits(k[1], h) <= 3 for k in mine)
+        else:
+            hit = crop is not None and mid is not None and any(k[2] is not None and k[3] is not None and bits(k[2], crop) <= 5 and abs(k[3][0] - mid[0]) <= 0.05 and abs(k[3][1] - mid[1]) <= 0.05 for k in mine)
+        if not hit:
+            mine.append((n, h, crop, mid))
+    return sorted(k[0] for ks in kept.values() for k in ks)
+
+
+def test_short_questions_go_by_picture_and_place(spark):
+    box = lambda x, y: (x, y, 0.2, 0.1)
+    rows = [
+        ("s", 1, "area?", 0b0, box(0.1, 0.1)),
+        ("s", 2, "Area", 0b111, box(0.5, 0.5)),  # the same text
+        ("s", 3, "sum", 0b11, box(0.12, 0.09)),  # another text, the picture of 1 in its place
+        ("s", 4, "sum!", 0b11, box(0.8, 0.8)),  # the text of 3, which went
+        ("s", 5, "side", 0b11, box(0.3, 0.1)),  # the picture of 1 elsewhere
+        ("s", 6, "side a", 0b1111111111, box(0.1, 0.1)),  # another picture in the place of 1
+        ("s", 7, "line", None, box(0.1, 0.1)), ("s", 8, "dot", 0, None), ("s", 9, " ", 0, box(0.1, 0.1)), ("s", 10, None, 0, box(0.1, 0.1)),
+        ("t", 11, "sum", 0b11, box(0.1, 0.1)),
+        ("t", 12, "how many apples are there in the basket on the table", 5, box(0.1, 0.1)),  # long: by text only
+    ]
+    keep = lambda rows: sorted(r["n"] for r in study.illustrated_question_set(spark.createDataFrame(rows, QUESTIONS), ["s"], ["n"]).collect())
+    assert keep(rows) == questions_brute(rows) == [1, 5, 6, 7, 8, 11, 12]
+    rng = random.Random(8)
+    base = [("".join(rng.choice("abcd ") for _ in range(rng.choice((3, 6, 9, 30, 60)))), rng.getrandbits(60)) for _ in range(25)]
+    more = []
+    for n in range(260):
+        stem, crop = rng.choice(base)
+        stem = stem + rng.choice(("", "", "x", "yz")) if len(stem) > 12 else rng.choice(base)[0][:9]
+        more.append((rng.choice("st"), n, stem, crop ^ sum(1 << rng.randrange(60) for _ in range(rng.randrange(5))), box(round(rng.random() * 0.3, 3), round(rng.random() * 0.3, 3))))
+    assert keep(more) == questions_brute(more) and len(keep(more)) < 200
+    assert study.illustrated_question_set(spark.createDataFrame([], QUESTIONS), ["s"], ["n"]).count() == 0
