@@ -114,30 +114,46 @@ def greedy_first(df: DataFrame, keys: list[str], order: list[str], hash_col: str
     return nodes.join(gone, ["g", "o"], "left_anti").select(*df.columns).unionByName(df.where(F.col(hash_col).isNull()))
 
 
-def semantic_upsert(stored: DataFrame, candidates: DataFrame, account: str = "account_id", least: float = 0.90) -> DataFrame:
+def semantic_upsert(stored: DataFrame, candidates: DataFrame, account: str = "account_id", least: float = 0.90, cap: int = 400, most_new: int = 10_000) -> DataFrame:
     """Per account, in order of ``seq``: a candidate within ``least`` of a stored vector updates it, else it is added.
 
     ``stored``: ``account_id, id, kind, text, vec, importance``; ``candidates``: ``account_id, seq, id, kind, text, vec,
     importance``. Out: the active rows after the batch with ``op`` (keep, update or add). Added vectors are visible to
     later candidates; updated ones keep matching by their old vector within the batch. Importance never falls.
+
+    The result depends on order, so an account is one task. What it holds is bounded: an account with more than ``cap`` stored
+    rows (``state.prune`` keeps accounts within it) or more than ``most_new`` candidates in a batch is refused, not cut.
     """
     schema = f"{account} string, id string, kind string, text string, vec array<double>, importance double, op string"
 
     def fold(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if len(old) > cap or len(new) > most_new:
+            raise ValueError(f"account {key[0]!r} has {len(old)} stored rows of {cap} and {len(new)} new ones of {most_new}: prune it, or split the batch")
         rows = [dict(r, op="keep") for r in old.sort_values("id").to_dict("records")] if len(old) else []
-        vectors = [np.asarray(r["vec"], float) for r in rows]
+        groups: dict[int, list] = {}  # by length: rows, their vectors as a matrix that doubles, norms
+
+        def hold(at: int, v: np.ndarray) -> None:
+            g = groups.setdefault(len(v), [[], np.zeros((16, len(v))), np.zeros(16)])
+            if len(g[0]) == len(g[1]):
+                g[1], g[2] = np.concatenate([g[1], np.zeros_like(g[1])]), np.concatenate([g[2], np.zeros_like(g[2])])
+            g[1][len(g[0])], g[2][len(g[0])] = v, np.linalg.norm(v)
+            g[0].append(at)
+
+        for at, r in enumerate(rows):
+            hold(at, np.asarray(r["vec"], float))
         for c in new.sort_values("seq").to_dict("records") if len(new) else []:
             v, best, at = np.asarray(c["vec"], float), 0.0, -1
-            for k, w in enumerate(vectors):
-                norm = np.linalg.norm(v) * np.linalg.norm(w) if len(v) == len(w) else 0.0
-                sim = float(v @ w / norm) if norm else 0.0
-                if sim > best:
-                    best, at = sim, k
+            if (g := groups.get(len(v))) and (norm := np.linalg.norm(v)):
+                n = len(g[0])
+                norms = g[2][:n] * norm
+                sims = np.divide(g[1][:n] @ v, norms, out=np.zeros(n), where=norms > 0)
+                k = int(np.argmax(sims))  # the first of the best
+                best, at = (float(sims[k]), g[0][k]) if sims[k] > 0 else (0.0, -1)
             if at >= 0 and best >= least:
                 rows[at] |= {"text": c["text"], "kind": c["kind"], "vec": c["vec"], "importance": max(rows[at]["importance"], c["importance"]), "op": "add" if rows[at]["op"] == "add" else "update"}
             else:
+                hold(len(rows), v)
                 rows.append({"id": c["id"], "kind": c["kind"], "text": c["text"], "vec": c["vec"], "importance": c["importance"], "op": "add"})
-                vectors.append(v)
         out = pd.DataFrame(rows, columns=["id", "kind", "text", "vec", "importance", "op"])
         out.insert(0, account, key[0])
         return out

@@ -50,6 +50,69 @@ def proposals(requests: DataFrame) -> DataFrame:
     return out.withColumn("reversible", (F.col("category") == "preference") | (F.col("change.before") != "未知"))
 
 
+# Seconds that a proposal can be confirmed in, that it can then be undone in, and that an undone one is remembered.
+PENDING_S, CONFIRMED_S, UNDONE_S = 600, 86_400, 60
+#: What ``applied`` and ``current`` call the text of a preference.
+PREFERENCE_KEY = "coach_preference_text"
+
+
+def proposal_history(commands: DataFrame) -> DataFrame:
+    """``id, seq, command, at, answer`` of commands on proposals, each answered by what the commands before it left.
+
+    ``commands``: ``id, seq, at (timestamp), command (propose, confirm, undo), account, category, reversible, applied, current``.
+    ``applied`` (of a propose) and ``current`` (of an undo) map keys to values as texts; a null value is the empty text.
+
+    propose: ``pending``, in place of what the id stood for. Else ``not found`` if there is nothing: a pending proposal goes 600 s after it was
+    made, a confirmed one after a day, an undone one after 60 s. Else ``forbidden`` to another account. confirm: ``confirmed``, or
+    ``not pending``. undo, in this order: ``not confirmed``; ``not undoable`` if it is not reversible; ``unverifiable`` without a
+    current state; by the first applied key that is missing or differs, ``unverifiable`` or ``drifted``; ``unsupported`` for
+    another category; else ``undone``. Unknown commands answer ``unknown`` and change nothing.
+
+    Commands go by ``at`` and then ``seq``, folded in one column expression: a shuffle by id, and no Python. Commands without an
+    id, a time or a command have no place in an order and go.
+    """
+    sound = commands.where("id is not null and at is not null and command is not null")
+    place = lambda c: F.struct(c["at"], c["seq"])
+    before = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    told = F.array_sort(F.collect_list(F.struct("at", "seq", "command", "account", "category", "reversible", "applied", "current")), before)
+    # The folded state is a struct; the answers so far are its last field.
+    none = F.struct(
+        F.lit("none").alias("phase"), F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("string").alias("account"), F.lit(None).cast("string").alias("category"),
+        F.lit(False).alias("reversible"), F.lit(None).cast("map<string,string>").alias("applied"), F.array().cast("array<string>").alias("answers"),
+    )
+    lasts = F.lit(float(PENDING_S)), F.lit(float(CONFIRMED_S)), F.lit(float(UNDONE_S))
+
+    def step(state: Column, c: Column) -> Column:
+        age = F.unix_micros(c["at"]) / 1e6 - F.unix_micros(state["since"]) / 1e6
+        keep = F.when(state["phase"] == "pending", lasts[0]).when(state["phase"] == "confirmed", lasts[1]).when(state["phase"] == "undone", lasts[2]).otherwise(F.lit(-1.0))
+        phase = F.when(age <= keep, state["phase"]).otherwise(F.lit("none"))
+        text = lambda x: F.coalesce(x, F.lit(""))
+        keys = F.map_keys(state["applied"])
+        odd = F.filter(keys, lambda k: ~F.map_contains_key(c["current"], k) | (text(F.try_element_at(c["current"], k)) != text(F.try_element_at(state["applied"], k))))
+        drift = F.when(F.coalesce(F.size(odd), F.lit(0)) > 0, F.when(F.map_contains_key(c["current"], odd[0]), F.lit("drifted")).otherwise(F.lit("unverifiable")))
+        undo = (
+            F.when(phase != "confirmed", "not confirmed").when(~F.coalesce(state["reversible"], F.lit(False)), "not undoable")
+            .when(F.coalesce(F.size(c["current"]), F.lit(0)) <= 0, "unverifiable").when(~F.coalesce(state["category"].isin("preference", "context_toggle"), F.lit(False)), "unsupported")
+            .otherwise(F.coalesce(drift, F.lit("undone")))
+        )
+        answer = (
+            F.when(c["command"] == "propose", "pending").when(~c["command"].isin("confirm", "undo"), "unknown").when(phase == "none", "not found")
+            .when(~state["account"].eqNullSafe(c["account"]), "forbidden").when(c["command"] == "confirm", F.when(phase == "pending", F.lit("confirmed")).otherwise(F.lit("not pending")))
+            .otherwise(undo)
+        )
+        made, moved = c["command"] == "propose", answer.isin("confirmed", "undone")
+        own = lambda f: F.when(made, c[f]).otherwise(state[f]).alias(f)
+        return F.struct(
+            F.when(made | moved, answer).otherwise(phase).alias("phase"), F.when(made | moved, c["at"]).otherwise(state["since"]).alias("since"),
+            own("account"), own("category"), F.coalesce(F.when(made, c["reversible"]).otherwise(state["reversible"]), F.lit(False)).alias("reversible"), own("applied"),
+            F.concat(state["answers"], F.array(answer)).alias("answers"),
+        )
+
+    folded = sound.groupBy("id").agg(told.alias("c")).select("id", "c", F.aggregate("c", none, step)["answers"].alias("answers"))
+    each = folded.select("id", F.explode(F.arrays_zip("c", "answers")).alias("x"))
+    return each.select("id", F.col("x.c.seq").alias("seq"), F.col("x.c.command").alias("command"), F.col("x.c.at").alias("at"), F.col("x.answers").alias("answer"))
+
+
 def delta_line(adds: Column, updates: Column) -> Column:
     """How many facts were added and updated."""
     parts = F.concat_ws(" · ", F.when(adds > 0, F.concat(F.lit("新增 "), adds.cast("string"), F.lit(" 条"))), F.when(updates > 0, F.concat(F.lit("更新 "), updates.cast("string"), F.lit(" 条"))))

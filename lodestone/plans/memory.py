@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
@@ -43,6 +46,64 @@ def retrieve(facts: DataFrame, query: list[float] | Column, now: Column, *, acco
     return best.select("id", "kind", "text", "score", "semantic", "recency", "importance", "usage")
 
 
+BLOCK_TURNS = 1024
+
+
+def retrieve_turns(facts: DataFrame, turns: DataFrame, now: Column, *, k: int = 5, min_score: float = 0.30, exclude: DataFrame | None = None) -> DataFrame:
+    """``retrieve`` for many turns at once: ``turn_id, rank`` and the columns of ``retrieve``.
+
+    ``turns``: ``turn_id, account_id, query`` (a vector); each meets the active facts of its account, which are at most its
+    capacity. ``exclude``: ``turn_id, id``, after the cut. Turns without a sound vector, and those of accounts without facts,
+    have no rows; rows that repeat a turn are one turn if they are equal. Vectors of another length have a similarity of 0.
+
+    An account's turns go in blocks of about ``BLOCK_TURNS``, each with the account's facts, so that an account with most turns is many
+    tasks; a block's similarities are one product of matrices. Of each turn only facts that can still be among its ``k``
+    best after rounding leave the block; ranks are made from those.
+    """
+    k = clamp(k, 1, 50)
+    asked = sound_vectors(turns.select("turn_id", "account_id", F.col("query").cast("array<double>").alias("query")), "query").distinct()
+    live = sound_vectors(facts.where("status = 'active'")).select(
+        "account_id", "id", F.col("embedding").cast("array<double>").alias("vec"),
+        scoring.hybrid(F.lit(0.0), scoring.recency(scoring.age_days(F.col("updated_at"), now)), F.col("importance"), scoring.usage(F.col("use_count"))).alias("rest"),
+    )
+    sizes = asked.groupBy("account_id").agg(F.ceil(F.count("*") / BLOCK_TURNS).alias("blocks"))
+    asked = asked.join(sizes, "account_id").withColumn("block", F.pmod(F.xxhash64("turn_id"), "blocks")).drop("blocks")
+    held = live.join(sizes, "account_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    kinds = dict([*turns.dtypes, *facts.dtypes])
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("turn_id", "account_id", "id")) + ", sim double"
+
+    def near(q: pa.Table, f: pa.Table) -> pa.Table:
+        if not q.num_rows or not f.num_rows:
+            return pa.table({"turn_id": q["turn_id"][:0], "account_id": q["account_id"][:0], "id": f["id"][:0], "sim": pa.array([], pa.float64())})
+        base, parts = f["rest"].to_numpy(), []
+        q_len, f_len = (pc.list_value_length(t).combine_chunks().to_numpy() for t in (q["query"], f["vec"]))
+        for n in np.unique(q_len):
+            at, there = np.flatnonzero(q_len == n), np.flatnonzero(f_len == n)
+            sim = np.zeros((len(at), f.num_rows))
+            if len(there):
+                a, b = (t.take(pa.array(i)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(i), n) for t, i in ((q["query"], at), (f["vec"], there)))
+                norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+                sim[:, there] = np.nan_to_num(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0))
+            score = scoring.W_SEMANTIC * np.clip(sim, 0, 1) + base
+            most = min(k, f.num_rows)
+            # Rounding moves a score by half a unit of the fourth place at most.
+            may = score >= np.partition(score, f.num_rows - most, axis=1)[:, [f.num_rows - most]] - 2e-4
+            i, j = np.nonzero(may)
+            ids = pa.array(at[i])
+            parts.append(pa.table({"turn_id": q["turn_id"].take(ids), "account_id": q["account_id"].take(ids), "id": f["id"].take(pa.array(j)), "sim": pa.array(sim[i, j])}))
+        return pa.concat_tables(parts)
+
+    keys = ["account_id", "block"]
+    found = asked.groupBy(keys).cogroup(held.groupBy(keys)).applyInArrow(near, schema)
+    full = found.join(facts.where("status = 'active'").select("account_id", "id", "kind", "text", "importance", "use_count", "updated_at"), ["account_id", "id"])
+    parts = {"semantic": scoring.clamp01(F.col("sim")), "recency": scoring.recency(scoring.age_days(F.col("updated_at"), now)), "usage": scoring.usage(F.col("use_count")), "importance": scoring.clamp01(F.coalesce("importance", F.lit(0.0)))}
+    full = full.withColumns(parts).withColumn("score", scoring.hybrid(F.col("semantic"), F.col("recency"), F.col("importance"), F.col("usage")))
+    rounded = full.withColumns({c: F.round(c, 4) for c in ("score", "semantic", "recency", "importance", "usage")}).where(F.col("score") >= min_score)
+    best = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("turn_id", "account_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    best = best if exclude is None else without(best, exclude, "turn_id", "id")
+    return best.select("turn_id", "rank", "id", "kind", "text", "score", "semantic", "recency", "importance", "usage")
+
+
 def persona(facts: DataFrame, account: str | None = None, n: int = 5, kinds: tuple[str, ...] = ("preference", "habit", "goal")) -> DataFrame:
     own = facts if account is None else facts.where(F.col("account_id") == account)
     return own.where((F.col("status") == "active") & F.col("kind").isin(*kinds)).orderBy(F.desc("importance"), F.desc("updated_at"), "id").limit(clamp(n, 1, 20))

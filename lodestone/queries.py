@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Facts are embeddings whose other fields follow from their number.
-FACTS_SQL = """facts AS (SELECT vec_id AS id, (vec_id % 7)::VARCHAR AS account_id, 'k' || label AS kind, 'fact ' || vec_id AS text, embedding::DOUBLE[] AS e,
+# Facts are embeddings whose other fields follow from their number; an account holds 400 of them, which is its capacity.
+FACTS_SQL = """facts AS (SELECT vec_id AS id, (vec_id // 400)::VARCHAR AS account_id, 'k' || label AS kind, 'fact ' || vec_id AS text, embedding::DOUBLE[] AS e,
     (vec_id % 10) / 10.0::DOUBLE AS importance, CASE WHEN vec_id % 11 = 3 THEN 'superseded' ELSE 'active' END AS status, vec_id % 8 AS use_count, (vec_id % 90)::DOUBLE AS age FROM embeddings)"""
 COS_SQL = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 SCORED_SQL = f"""{FACTS_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
@@ -47,14 +47,15 @@ SCORED_SQL = f"""{FACTS_SQL}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddi
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("vec_id")
     return table(spark, sf_dir, "embeddings").select(
-        n.alias("id"), (n % 7).cast("string").alias("account_id"), F.concat(F.lit("k"), F.col("label").cast("string")).alias("kind"), F.concat(F.lit("fact "), n.cast("string")).alias("text"), "embedding",
+        n.alias("id"), F.floor(n / 400).cast("string").alias("account_id"), F.concat(F.lit("k"), F.col("label").cast("string")).alias("kind"), F.concat(F.lit("fact "), n.cast("string")).alias("text"), "embedding",
         ((n % 10) / 10.0).alias("importance"), F.when(n % 11 == 3, "superseded").otherwise("active").alias("status"), (n % 8).alias("use_count"), F.expr(f"{NOW} - make_dt_interval(cast(vec_id % 90 as int))").alias("updated_at"),
     )
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    """The query vector: one row by key."""
-    return filters.by_key(table(spark, sf_dir, "embeddings"), vec_id=0).first()["embedding"]
+    """The query vector: one row by key; without that row, a vector like no other."""
+    found = filters.by_key(table(spark, sf_dir, "embeddings"), vec_id=0).first()
+    return found["embedding"] if found else [0.0]
 
 
 @query(f"WITH {SCORED_SQL} SELECT id, kind, text, score, semantic, recency, importance, usage FROM scored WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 5")
@@ -63,6 +64,20 @@ def q1_retrieve(spark, sf_dir):
     return memory.retrieve(facts(spark, sf_dir), first_vector(spark, sf_dir), F.expr(NOW), k=5, min_score=0.3)
 
 
+TURNS_SQL = f"""{FACTS_SQL}, pairs AS (SELECT q.vec_id AS turn_id, f.*, greatest(0, least(1, coalesce({COS_SQL.format("f.e", "q.v")}, 0))) AS semantic, exp(-age / 21) AS recency, least(use_count, 5) / 5.0::DOUBLE AS usage
+        FROM (SELECT vec_id, (vec_id // 400)::VARCHAR AS account_id, embedding::DOUBLE[] AS v FROM embeddings) q JOIN facts f USING (account_id) WHERE status = 'active'),
+    scored AS (SELECT turn_id, id, kind, text, round(semantic, 4) AS semantic, round(recency, 4) AS recency, round(importance, 4) AS importance, round(usage, 4) AS usage,
+               round(0.6::DOUBLE * semantic + 0.15::DOUBLE * recency + 0.2::DOUBLE * importance + 0.05::DOUBLE * usage, 4) AS score FROM pairs)"""
+
+
+@query(f"""WITH {TURNS_SQL} SELECT turn_id, rank, id, kind, text, score, semantic, recency, importance, usage
+    FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, id)::INTEGER AS rank FROM scored WHERE score >= 0.3) WHERE rank <= 5""")
+def j2_turns(spark, sf_dir):
+    """J2 Q1 for many turns: every vector is asked for in its account."""
+    turns = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("turn_id"), F.floor(F.col("vec_id") / 400).cast("string").alias("account_id"), F.col("embedding").alias("query"))
+    return memory.retrieve_turns(facts(spark, sf_dir), turns, F.expr(NOW), k=5, min_score=0.3)
+
+
 @query(f"""WITH {SCORED_SQL}, best AS (SELECT * FROM scored WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 20)
     SELECT id, kind, text, score, semantic, recency, importance, usage FROM best WHERE id % 2 = 1""")
 def q1_retrieve_excluding(spark, sf_dir):
@@ -126,14 +141,14 @@ def j7_exists_similar(spark, sf_dir):
     return matching.exists_similar(f, ["account_id"], 0.3).select("id")
 
 
-@query(f"""WITH {FACTS_SQL}, w AS (SELECT DISTINCT vec_id * 2 AS id FROM embeddings), full_ AS (SELECT account_id, count(*) >= 66 AS f FROM facts WHERE status = 'active' GROUP BY 1)
+@query(f"""WITH {FACTS_SQL}, w AS (SELECT DISTINCT vec_id * 2 AS id FROM embeddings), full_ AS (SELECT account_id, count(*) >= 300 AS f FROM facts WHERE status = 'active' GROUP BY 1)
     SELECT w.id, CASE WHEN a.id IS NULL THEN 'missing' WHEN a.status = 'active' THEN 'ok' WHEN coalesce(full_.f, false) THEN 'capacity'
       WHEN EXISTS (SELECT 1 FROM facts b WHERE b.status = 'active' AND b.account_id = a.account_id AND b.id <> a.id AND {COS_SQL.format("a.e", "b.e")} >= 0.3) THEN 'duplicate' ELSE 'ok' END AS verdict
     FROM w LEFT JOIN facts a ON a.id = w.id LEFT JOIN full_ ON full_.account_id = a.account_id""")
 def q12_restorable(spark, sf_dir):
     """Q12 M13."""
     f = facts(spark, sf_dir)
-    return memory.restorable(f, f.select((F.col("id") * 2).alias("id")), least=0.3, cap=66)
+    return memory.restorable(f, f.select((F.col("id") * 2).alias("id")), least=0.3, cap=300)
 
 
 @query()
@@ -519,9 +534,9 @@ def s5_conform(spark, sf_dir):
     return conform(table(spark, sf_dir, "region"), schema, {"note": "none"})
 
 
-@query("SELECT n_nationkey FROM nation WHERE contains(n_name, '1')")
+@query("SELECT n_nationkey FROM nation WHERE contains(to_json({'n_nationkey': n_nationkey, 'n_name': n_name})::VARCHAR, 'N_1')")
 def p15_row_holds(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").where(F.to_json(F.struct("n_name")).contains("1")).select("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").where(filters.row_holds("N_1")).select("n_nationkey")
 
 
 @query()
@@ -552,6 +567,43 @@ def q11_proposals(spark, sf_dir):
     return intent.proposals(requests).select("id", "category", "change.label", "change.before", "change.after", "reversible")
 
 
+# Six events in a row are the commands of a proposal.
+COMMANDS_SQL = """c AS (SELECT event_id // 6 AS id, event_id AS seq, ts AS "at", CASE event_id % 6 WHEN 0 THEN 'propose' WHEN 1 THEN 'confirm' WHEN 5 THEN CASE WHEN value > 80 THEN 'propose' ELSE 'confirm' END ELSE 'undo' END AS command,
+        CASE WHEN value > 90 THEN 'b' ELSE 'a' END AS account, CASE event_id // 6 % 4 WHEN 0 THEN 'preference' WHEN 3 THEN 'other' ELSE 'context_toggle' END AS category, event_id // 6 % 5 > 0 AS reversible,
+        CASE WHEN event_id // 6 % 4 = 0 THEN MAP {'coach_preference_text': event_type} ELSE MAP {'memory': 'true', 'visual': 'false'} END AS applied,
+        CASE WHEN value < 15 THEN NULL WHEN event_id // 6 % 4 = 0 THEN MAP {'coach_preference_text': CASE WHEN value < 60 THEN (SELECT any_value(e.event_type) FROM events e WHERE e.event_id = events.event_id // 6 * 6) ELSE 'x' END}
+          WHEN value < 25 THEN MAP {'memory': 'true'} ELSE MAP {'memory': 'true', 'visual': CASE WHEN value < 60 THEN 'false' ELSE 'true' END} END AS current FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at", seq) AS k FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {COMMANDS_SQL},
+    walk AS (SELECT id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS command, NULL::TIMESTAMP AS "at", 'none' AS phase, NULL::TIMESTAMP AS since, NULL::VARCHAR AS account, NULL::VARCHAR AS category, false AS reversible, NULL::MAP(VARCHAR, VARCHAR) AS applied, NULL::VARCHAR AS answer FROM o WHERE k = 1
+        UNION ALL SELECT id, k, seq, command, "at", CASE WHEN command = 'propose' OR answer IN ('confirmed', 'undone') THEN answer ELSE phase END, CASE WHEN command = 'propose' OR answer IN ('confirmed', 'undone') THEN "at" ELSE since END,
+            CASE WHEN command = 'propose' THEN by_ ELSE account END, CASE WHEN command = 'propose' THEN new_category ELSE category END, CASE WHEN command = 'propose' THEN new_reversible ELSE reversible END, CASE WHEN command = 'propose' THEN new_applied ELSE applied END, answer
+          FROM (SELECT *, CASE WHEN command = 'propose' THEN 'pending' WHEN phase = 'none' THEN 'not found' WHEN account <> by_ THEN 'forbidden' WHEN command = 'confirm' THEN CASE WHEN phase = 'pending' THEN 'confirmed' ELSE 'not pending' END
+              WHEN phase <> 'confirmed' THEN 'not confirmed' WHEN NOT reversible THEN 'not undoable' WHEN current IS NULL THEN 'unverifiable' WHEN category = 'other' THEN 'unsupported'
+              WHEN len(odd) = 0 THEN 'undone' WHEN list_contains(map_keys(current), odd[1]) THEN 'drifted' ELSE 'unverifiable' END AS answer
+            FROM (SELECT w.* EXCLUDE (k, seq, command, "at", answer, phase), o.k, o.seq, o.command, o."at", o.account AS by_, o.category AS new_category, o.reversible AS new_reversible, o.applied AS new_applied, o.current,
+                CASE WHEN epoch_us(o."at") - epoch_us(w.since) <= CASE w.phase WHEN 'pending' THEN 600 WHEN 'confirmed' THEN 86400 WHEN 'undone' THEN 60 ELSE -1 END * 1000000::BIGINT THEN w.phase ELSE 'none' END AS phase,
+                list_filter(map_keys(w.applied), lambda x: coalesce(o.current[x], '?') <> w.applied[x]) AS odd
+              FROM walk w JOIN o ON o.id = w.id AND o.k = w.k + 1)))
+    SELECT id, seq, command, "at", answer FROM walk WHERE k > 0""")
+def q11_history(spark, sf_dir):
+    """Q11 X2 X3 over history: events stand for commands."""
+    e = table(spark, sf_dir, "events")
+    n, step, text = F.floor(F.col("event_id") / 6), F.col("event_id") % 6, lambda *kv: F.create_map(*map(F.lit, kv))
+    commands = e.select(
+        n.alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when(step == 0, "propose").when(step == 1, "confirm").when(step == 5, F.when(F.col("value") > 80, "propose").otherwise("confirm")).otherwise("undo").alias("command"),
+        F.when(F.col("value") > 90, "b").otherwise("a").alias("account"), F.when(n % 4 == 0, "preference").when(n % 4 == 3, "other").otherwise("context_toggle").alias("category"), (n % 5 > 0).alias("reversible"), "event_type", "value",
+    )
+    told = commands.where("seq % 6 = 0").select("id", F.col("event_type").alias("first_type"))
+    preference = F.col("id") % 4 == 0
+    applied = F.when(preference, F.create_map(F.lit(intent.PREFERENCE_KEY), F.col("event_type"))).otherwise(text("memory", "true", "visual", "false"))
+    switched = F.when(F.col("value") < 25, text("memory", "true")).when(F.col("value") < 60, text("memory", "true", "visual", "false")).otherwise(text("memory", "true", "visual", "true"))
+    current = F.when(F.col("value") < 15, None).when(preference, F.create_map(F.lit(intent.PREFERENCE_KEY), F.when(F.col("value") < 60, F.col("first_type")).otherwise(F.lit("x")))).otherwise(switched)
+    return intent.proposal_history(commands.join(told, "id", "left").withColumns({"applied": applied, "current": current})).select("id", "seq", "command", F.col("at").cast("timestamp_ntz").alias("at"), "answer")
+
+
 @query("""WITH b AS (SELECT event_id, user_id, value, arg_max({'event_id': event_id, 'value': value}, (value, -event_id)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM events)
     SELECT event_id, p.event_id AS best_previous, p.value AS best_score FROM b""")
 def j12_best_previous(spark, sf_dir):
