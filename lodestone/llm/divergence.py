@@ -163,7 +163,7 @@ def slice_divergence(terms: pa.Table, groups: pa.Table, block_sources: int, top:
     })
 
 
-def divergences(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, top: int = 200, slice_entries: int = 1 << 18, block_sources: int = 256) -> DataFrame:
+def divergences(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, top: int = 200, slice_entries: int = 1 << 14, block_sources: int = 256) -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source is from the others of its language, and by which terms.
 
     Terms are runs of letters and of all that is not ASCII, A-Z lower-cased; a language keeps the V terms that at least
