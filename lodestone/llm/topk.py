@@ -135,8 +135,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
         ties = (s == kth[:, None]) & (kth[:, None] > np.iinfo("int64").min)
         ties &= np.cumsum(ties, axis=1) <= k  # ids ascend within a block
         a = [np.concatenate(x) for x in zip(at, np.nonzero(ties), strict=True)]
-        return {"query": pa.array(nth[a[0]] + row["q_block"] * 2**32, pa.int64()), "query_id": pa.array(qi[a[0]]), "vec_id": pa.array(ci[a[1]]), "score": pa.array(s[tuple(a)])}
+        m = len(a[0])
+        return {"q_block": pa.array([row["q_block"]] * m, pa.int64()), "dim": pa.array([row["dim"]] * m, pa.int64()), "nth": pa.array(nth[a[0]], pa.int64()), "query_id": pa.array(qi[a[0]]), "vec_id": pa.array(ci[a[1]]), "score": pa.array(s[tuple(a)])}
 
-    best = against(state, above, "query long, query_id long, vec_id long, score long")
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")))
+    best = against(state, above, "q_block long, dim long, nth long, query_id long, vec_id long, score long")
+    # Places are counted within a block of one length, so all three name a query.
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("q_block", "dim", "nth").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
