@@ -7,14 +7,14 @@ interval starts are sorted together; one pass keeps the stack of the rules that
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower
+from lodestone.llm.common import ascii_lower, written
 
 #: Ends an interval: no UTF-8 text has this byte, so every key with the rule's prefix sorts below prefix + END.
 END = b"\xff"
@@ -36,25 +36,33 @@ def reversed_host(host: Column) -> Column:
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over rows sorted by key, rules before urls of the same key: the innermost open rule of each url.
+    """Over rows sorted by key, rules before urls of the same key: the innermost open rule of each url's key.
 
     Only the stack outlives a batch. Prefix intervals are nested or disjoint, so a rule is closed for good once a key
     does not start with its prefix. A rule repeated at the start of a later slice is already open.
     """
     stack: list[tuple[bytes, int]] = []
     for batch in batches:
-        ids, checks, rules = [], [], []
-        for key, row, check, rule in zip(batch["key"], batch["row"], batch["check"], batch["rule_no"], strict=True):
+        keys, rules = [], []
+        for key, rule in zip(batch["key"], batch["rule_no"], strict=True):
             key = bytes(key)
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
             if rule < 0 and stack:
-                ids.append(row)
-                checks.append(check)
+                keys.append(key)
                 rules.append(stack[-1][1])
             elif rule >= 0 and (not stack or stack[-1][1] != rule):
                 stack.append((key, rule))
-        yield pd.DataFrame({"row": pd.Series(ids, dtype="int64"), "check": pd.Series(checks, dtype="int32"), "rule_no": pd.Series(rules, dtype="int64")})
+        yield pd.DataFrame({"key": pd.Series(keys, dtype="object"), "rule_no": pd.Series(rules, dtype="int64")})
+
+
+def ranks(cuts: list[bytes], keys: pd.Series, side: str, end: bytes = b"") -> np.ndarray:
+    """Where each key, followed by ``end``, lies among the sorted cuts."""
+    sought = np.empty(len(keys), object)
+    sought[:] = [bytes(k) + end for k in keys]
+    among = np.empty(len(cuts), object)
+    among[:] = cuts
+    return np.searchsorted(among, sought, side=side).astype("int32")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", partitions: int | None = None) -> DataFrame:
@@ -66,9 +74,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     ``verdict`` is ``default``, the filter's own. A null url, or one without ``://``, has an empty host and path, which no
     rule fits. Rows with equal or null ids are all kept, one out for each in. Other columns are ignored.
 
-    Both sides are cut at the same key quantiles. A rule goes to every slice that its interval meets (few rules span
-    several), and within a slice rules and keys are sorted once and swept. Equal keys meet once: urls are first
-    reduced to distinct (host, path), so a very frequent url is one row.
+    Urls are first reduced to distinct (host, path), and their keys to distinct keys, by aggregates that combine before the
+    shuffle: all hosts under one suffix share its key, which is swept once. Keys and rules are cut at the same quantiles of
+    the distinct keys. A rule goes to every slice that its interval meets (few rules span several), and within a slice rules
+    and keys are sorted once and swept. What a key meets is joined back to its urls.
     """
     spark = pages.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -85,21 +94,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     name = [F.xxhash64("host", "path").alias("row"), F.hash("path", "host").alias("check")]
     shapes = parsed.where("host <> ''").groupBy("host", "path").count().select("host", "path", *name)
     labels = F.split("host", r"\.")
-    keys = shapes.select(
+    keys = written(shapes.select(
         "row", "check", "path",
         F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(F.reverse(labels), F.lit(1), n), "\u0001"), F.lit("\u0001")))).alias("suffix"),
-    ).select("row", "check", F.encode(F.concat("suffix", F.lit("\u0002"), "path"), "utf-8").alias("key"), F.lit(-1).cast("long").alias("rule_no"))
-    # Bounded: at most one cut for each slice comes to the driver.
-    cuts = sorted({bytes(r["key"]) for r in keys.select(F.xxhash64("row", "key").alias("h"), "key").orderBy("h").limit(50 * count).select("key").collect()})
-    cuts = sorted({cuts[i * len(cuts) // count] for i in range(1, count)} if cuts else set())
-
-    slice_of = F.pandas_udf(lambda key: key.map(lambda k: bisect_right(cuts, bytes(k))), "int")
-    slices_of = F.pandas_udf(lambda key: key.map(lambda k: list(range(bisect_right(cuts, bytes(k)), bisect_left(cuts, bytes(k) + END) + 1))), "array<int>")
-    both = keys.withColumn("slice", slice_of("key")).unionByName(given.select(F.lit(0).cast("long").alias("row"), F.lit(0).alias("check"), "key", "rule_no", F.explode(slices_of("key")).alias("slice")))
-    found = (
-        both.repartition(count, "slice").sortWithinPartitions("slice", "key", F.desc("rule_no"))
-        .select("key", "row", "check", "rule_no").mapInPandas(sweep, "row long, check int, rule_no long")
-    )
+    ).select("row", "check", F.encode(F.concat("suffix", F.lit("\u0002"), "path"), "utf-8").alias("key")), "url-keys")
+    each = keys.select("key").distinct()
+    # Bounded: fifty keys for each slice come to the driver, chosen by their hashes.
+    some = sorted(bytes(r["key"]) for r in each.orderBy(F.xxhash64("key"), "key").limit(50 * count).collect())
+    cuts = sorted({some[i * len(some) // count] for i in range(1, count)} if some else set())
+
+    slice_of = F.pandas_udf(lambda key: pd.Series(ranks(cuts, key, "right")), "int")
+    slices_of = F.pandas_udf(lambda key: pd.Series([list(range(a, b + 1)) for a, b in zip(ranks(cuts, key, "right"), ranks(cuts, key, "left", END), strict=True)]), "array<int>")
+    both = each.select("key", F.lit(-1).cast("long").alias("rule_no"), slice_of("key").alias("slice")).unionByName(given.select("key", "rule_no", F.explode(slices_of("key")).alias("slice")))
+    swept = both.repartition(count, "slice").sortWithinPartitions("slice", "key", F.desc("rule_no")).select("key", "rule_no").mapInPandas(sweep, "key binary, rule_no long")
+    found = keys.join(written(swept, "swept"), "key").select("row", "check", "rule_no")
     longest = found.join(given.select("rule_no", "rule", "verdict"), "rule_no").groupBy("row", "check").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("won"))
     # Urls without a host, of which there may be very many, need no partner.
     bare = parsed.where("host = ''").select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
