@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.operators.shared import shared_dir, written  # noqa: F401
 
 
-#: Bytes of Parquet up to which a written table is broadcast.
-SMALL = 8_000_000
+#: Bytes of Parquet and rows up to which a written table is broadcast: what compresses well has many rows.
+SMALL, SMALL_ROWS = 8_000_000, 1_000_000
 
 
 def stored(df: DataFrame):
@@ -20,9 +20,12 @@ def stored(df: DataFrame):
 
 
 def sized(table: DataFrame) -> DataFrame:
-    """A table of ``written`` to join with: broadcast if its files are small, else left to a shuffle."""
+    """A table of ``written`` to join with: broadcast if its files are small and its rows few, else left to a shuffle.
+
+    Rows are counted from the files' footers, and only of files that are small.
+    """
     path, files = stored(table)
-    return F.broadcast(table) if files.getContentSummary(path).getLength() <= SMALL else table
+    return F.broadcast(table) if files.getContentSummary(path).getLength() <= SMALL and table.count() <= SMALL_ROWS else table
 
 
 def forget(df: DataFrame) -> None:
