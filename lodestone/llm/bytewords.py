@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut at a time; a longer text is cut alone.
-CHUNK = 12_000_000
+CHUNK = 6_000_000
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:

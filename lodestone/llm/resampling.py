@@ -56,7 +56,7 @@ def features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     left = np.flatnonzero(words.rows[1:] == words.rows[:-1])
     spaced = ~(TABLE[(~one[left] ^ 0x20) & 0xFF] ^ (~one[left] >> 8))
     two = crc32(words, left + 1, spaced)
-    return (np.concatenate([one, two]) % buckets).astype(np.int64), np.concatenate([words.rows, words.rows[left]])
+    return np.concatenate([one, two]).astype(np.int64) % buckets, np.concatenate([words.rows, words.rows[left]])
 
 
 def bucket_counts(texts: DataFrame, buckets: int, depth: int = 3) -> np.ndarray:

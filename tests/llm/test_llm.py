@@ -259,6 +259,26 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame([(1, urls[0])], "page_id long, url string"), rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_of_very_many_hosts_of_one_suffix(spark):
+    """A hundred thousand hosts share one key; their own keys are cut into many slices, which their rules reach."""
+    n = 100_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".com/")).alias("url"))
+    rules = spark.createDataFrame([("com", "/", "allow"), *[(f"h{i}.com", "/", "block") for i in range(0, n, 1000)]], "host string, path string, verdict string")
+    got = url_filter.filter_urls(pages, rules, partitions=16)
+    counts = {(r["rule"], r["verdict"]): r["count"] for r in got.groupBy("rule", "verdict").count().collect()}
+    assert counts == {("com/", "allow"): n - n // 1000, **{(f"h{i}.com/", "block"): 1 for i in range(0, n, 1000)}}
+
+
+def test_sweep_closes_rules_and_meets_each_key_once():
+    import pandas as pd
+
+    rows = [(b"a", 1), (b"a", -1), (b"ab", 2), (b"abc", -1), (b"ac", -1), (b"b", -1), (b"c", 3), (b"c\xfe", -1), (b"d", -1)]
+    for cut in range(len(rows)):
+        parts = [pd.DataFrame(rows[:cut], columns=["key", "rule_no"]), pd.DataFrame(rows[cut:], columns=["key", "rule_no"])]
+        got = [tuple(x) for p in url_filter.sweep(iter(parts)) for x in p.itertuples(index=False)]
+        assert got == [(b"a", 1), (b"abc", 2), (b"ac", 1), (b"c\xfe", 3)]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
 
@@ -279,6 +299,13 @@ def test_topk(spark):
     assert [tuple(r) for r in topk.top_k(one, asked).collect()] == [(2, 1, 1, 256 * 256 * 5)]
 
 
+def test_topk_of_one_id_with_vectors_of_several_lengths(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, [2.0, 1.0, 1.0]), (50, [1.0, 2.0])]
+    table = vectors(spark, rows)
+    got = topk.top_k(table, table.where("vec_id = 50"), 2, scale=1).collect()
+    assert sorted(tuple(r) for r in got) == [(50, 1, 2, 4), (50, 1, 4, 7), (50, 2, 1, 3), (50, 2, 3, 6)]
+
+
 def test_topk_of_large_components(spark):
     rows = [(1, [2.0**20, 1.0]), (2, [2.0**20, 3.0]), (3, [-(2.0**20), 5.0])]
     got = topk.top_k(vectors(spark, rows), vectors(spark, rows[:1])).collect()
