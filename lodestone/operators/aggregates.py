@@ -77,6 +77,32 @@ def dwell(events: DataFrame, keys: list[str], at: str, gap_seconds: float) -> Da
     return runs.groupBy(*keys, "stay").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("events"), (F.max("_s") - F.min("_s")).alias("seconds"))
 
 
+def novel_frames(frames: DataFrame, most: int = 5, least_text: float = 0.5) -> DataFrame:
+    """``session_id, image_id, sequence_index, novelty_status, visual_distance, text_distance``: change against the last novel frame.
+
+    ``frames``: ``session_id, image_id, sequence_index, visual_hash, tokens``. Which frame that is depends on all before, so a
+    lag cannot say it: a session's frames are folded in order, in one column expression. A frame without a hash is
+    ``invalid`` and has no distances; the first sound one is ``novel``, and so is one that differs in more than ``most`` bits or
+    whose tokens, as a set, are ``least_text`` or more away (1 - Jaccard; two empty sets are alike); others are ``duplicate``. Null tokens are
+    none. The rule and its bounds are our own. A session is gathered in one row of the shuffle's result.
+    """
+    mine = F.array_sort(F.collect_list(F.struct("sequence_index", "image_id", "visual_hash", F.array_distinct(F.array_compact(F.coalesce("tokens", F.array().cast("array<string>")))).alias("tokens"))))
+    none = F.struct(F.lit(None).cast("long").alias("hash"), F.array().cast("array<string>").alias("tokens"), F.array().cast("array<struct<s:string,v:int,t:double>>").alias("out"))
+
+    def step(state, f):
+        sound, later = f["visual_hash"].isNotNull(), state["hash"].isNotNull()
+        visual = F.when(sound & later, F.bit_count(f["visual_hash"].bitwiseXOR(state["hash"])))
+        both = F.size(F.array_union(f["tokens"], state["tokens"]))
+        text = F.when(sound & later, F.when(both == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(f["tokens"], state["tokens"])) / both))
+        status = F.when(~sound, "invalid").when((visual <= most) & (text < least_text), "duplicate").otherwise("novel")
+        new = status == "novel"
+        told = F.struct(status.alias("s"), visual.cast("int").alias("v"), text.alias("t"))
+        return F.struct(F.when(new, f["visual_hash"]).otherwise(state["hash"]).alias("hash"), F.when(new, f["tokens"]).otherwise(state["tokens"]).alias("tokens"), F.concat(state["out"], F.array(told)).alias("out"))
+
+    folded = frames.groupBy("session_id").agg(mine.alias("f")).select("session_id", F.explode(F.arrays_zip("f", F.aggregate("f", none, step)["out"].alias("o"))).alias("x"))
+    return folded.select("session_id", F.col("x.f.image_id").alias("image_id"), F.col("x.f.sequence_index").alias("sequence_index"), F.col("x.o.s").alias("novelty_status"), F.col("x.o.v").alias("visual_distance"), F.col("x.o.t").alias("text_distance"))
+
+
 def rounds(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """User turns numbered from 1 with the assistant's reply that follows at once, else null."""
     w = Window.partitionBy(conv).orderBy(turn)

@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where it comes in fewer pieces than there are, as from a file of one row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -234,6 +234,25 @@ def p12_kept_frames(spark, sf_dir):
     return filters.kept_frames(frames).select("event_id", "ts")
 
 
+@query("""WITH RECURSIVE f AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_id % 17 > 0 THEN xor(('0x' || substr(md5(event_type), 1, 15))::BIGINT, 1::BIGINT << (event_id % 5)::INT) END AS h,
+        ['a' || (event_id % 3), event_type, 'v' || floor(value / 20)::BIGINT] AS t FROM events),
+    walk AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS h, NULL::VARCHAR[] AS t, NULL::VARCHAR AS status, NULL::INTEGER AS visual, NULL::DOUBLE AS text FROM f WHERE k = 1
+        UNION ALL SELECT user_id, k, event_id, CASE WHEN status = 'novel' THEN fh ELSE h END, CASE WHEN status = 'novel' THEN ft ELSE t END, status, visual, text
+          FROM (SELECT *, CASE WHEN fh IS NULL THEN 'invalid' WHEN visual <= 5 AND text < 0.5 THEN 'duplicate' ELSE 'novel' END AS status
+            FROM (SELECT w.user_id, f.k, f.event_id, f.h AS fh, f.t AS ft, w.h, w.t, CASE WHEN f.h IS NOT NULL AND w.h IS NOT NULL THEN bit_count(xor(f.h, w.h))::INTEGER END AS visual,
+                CASE WHEN f.h IS NOT NULL AND w.h IS NOT NULL THEN 1 - len(list_intersect(f.t, w.t)) / len(list_distinct(list_concat(f.t, w.t)))::DOUBLE END AS text FROM walk w JOIN f ON f.user_id = w.user_id AND f.k = w.k + 1)))
+    SELECT user_id, event_id, status AS novelty_status, visual AS visual_distance, text AS text_distance FROM walk WHERE k > 0""")
+def x4_novel_frames(spark, sf_dir):
+    """Events stand for frames; change is held against the last novel one."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    base = F.conv(F.substring(F.md5(F.encode("event_type", "UTF-8")), 1, 15), 16, 10).cast("long")
+    flipped = base.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (n % 5).cast("int")))
+    tokens = F.array(F.concat(F.lit("a"), (n % 3).cast("string")), F.col("event_type"), F.concat(F.lit("v"), F.floor(F.col("value") / 20).cast("string")))
+    frames = e.select(F.col("user_id").alias("session_id"), F.lit("").alias("image_id"), n.alias("sequence_index"), F.when(n % 17 > 0, flipped).alias("visual_hash"), tokens.alias("tokens"))
+    out = agg.novel_frames(frames)
+    return out.select(F.col("session_id").alias("user_id"), F.col("sequence_index").alias("event_id"), "novelty_status", "visual_distance", "text_distance")
+
+
 @query("""SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS review_state, o_orderdate AS next_review_at FROM orders
     WHERE contains(o_orderpriority, 'MEDIUM') AND (o_orderdate IS NULL OR o_orderdate <= TIMESTAMP '1996-01-01') ORDER BY 2, 3, 4 NULLS FIRST, 1 LIMIT 20""")
 def p11_review_queue(spark, sf_dir):

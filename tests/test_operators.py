@@ -140,49 +140,6 @@ def test_shards(spark, tmp_path):
     assert shards.backup_then_truncate(spark, {"t": f"{tmp_path}/t"}, f"{tmp_path}/b", dry_run=True) == {"t": 5}
 
 
-def test_feed(spark, tmp_path):
-    schema = "id string, seen boolean, created_at timestamp"
-    spark.createDataFrame([("1", False, datetime(2024, 1, 1)), ("2", True, datetime(2024, 1, 2))], schema).write.parquet(f"{tmp_path}/d")
-    got = []
-    q = feeds.delta_feed(spark, f"{tmp_path}/d", schema, lambda df, n: got.extend(r["id"] for r in df.collect()), f"{tmp_path}/c", once=True)
-    q.awaitTermination(60)
-    assert got == ["1"]
-
-
-def run_stream(spark, make, rows, schema, path):
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/in")
-    out = []
-    q = make(spark.readStream.schema(schema).parquet(f"{path}/in")).writeStream.foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return out
-
-
-def test_novelty(spark, tmp_path):
-    rows = [("s", "a", 1, 0), ("s", "b", 2, 1), ("s", "c", 3, None), ("s", "d", 4, (1 << 20) - 1)]
-    out = run_stream(spark, feeds.novelty, rows, "session_id string, image_id string, sequence_index long, visual_hash long", tmp_path)
-    assert [r["novelty_status"] for r in sorted(out, key=lambda r: r["sequence_index"])] == ["novel", "duplicate", "invalid", "novel"]
-
-
-def test_novelty_across_batches(spark, tmp_path):
-    """More frames than one Arrow batch holds, written last to first, with hashes that floats cannot hold."""
-    n, base = 300, (1 << 60) + 1
-    rows = [("s", f"{i:04}", i, None if i == 7 else base ^ ((1 << 30) - 2 if i >= n // 2 else 0)) for i in reversed(range(n))]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        out = run_stream(spark, feeds.novelty, rows, "session_id string, image_id string, sequence_index long, visual_hash long", tmp_path)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted(r["sequence_index"] for r in out if r["novelty_status"] == "novel") == [0, n // 2]
-    assert {r["visual_hash"] for r in out} == {None, base, base ^ ((1 << 30) - 2)}
-
-
-def test_proposals(spark, tmp_path):
-    t = datetime(2024, 1, 1)
-    rows = [("p", c, "a", v, t + timedelta(seconds=s)) for c, v, s in (("propose", "new", 0), ("confirm", None, 10), ("undo", "old", 20), ("undo", "new", 30))] + [("q", "confirm", "a", None, t)]
-    out = run_stream(spark, feeds.proposal_states, rows, "id string, command string, account_id string, current string, at timestamp", tmp_path)
-    assert [r["answer"] for r in sorted(out, key=lambda r: (r["id"], r["at"]))] == ["pending", "confirmed", "changed since", "undone", "unknown"]
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
