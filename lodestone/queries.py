@@ -558,13 +558,96 @@ def p15_row_holds(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").where(filters.row_holds("N_1")).select("n_nationkey")
 
 
-@query()
+def regions_sql(by_column: bool) -> str:
+    """Lines on pages, made from documents by rule: each dozen of sentences is a page; odd documents have two columns."""
+    part = "CASE WHEN x + w / 2 >= split THEN 1 ELSE 0 END" if by_column else "0"
+    return rf"""RECURSIVE raw AS (SELECT doc_id, unnest(p) AS t, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\.\s*') AS p FROM documents WHERE text IS NOT NULL)),
+    lines AS (SELECT doc_id || ':' || (i // 12) AS page, CASE WHEN doc_id % 2 = 0 THEN 0.1 WHEN i % 2 = 0 THEN 0.06 ELSE 0.54 END::DOUBLE AS x, (0.02 + 0.075 * (i % 12) + 0.0041 * (length(t) % 7) + CASE WHEN i % 12 >= 6 THEN 0.05 ELSE 0 END)::DOUBLE AS y,
+        CASE WHEN doc_id % 2 = 0 THEN 0.5 + 0.03 * (length(t) % 10) ELSE 0.25 + 0.01 * (length(t) % 10) END::DOUBLE AS w, (0.0213 + 0.0047 * (length(t) % 3))::DOUBLE AS h, (0.9 - 0.01 * (i % 12))::DOUBLE AS confidence,
+        regexp_replace(CASE WHEN doc_id % 3 > 0 AND i % 3 = 1 THEN i || '. ' || t ELSE t END, '^\s+|\s+$', '', 'g') AS text FROM raw),
+    l AS (SELECT *, regexp_matches(text, '^\s*(第)?[0-9一二三四五六七八九十]+\s*[、，,.\)）题]') AS num FROM lines WHERE text <> ''),
+    s AS (SELECT page, avg(h) AS a, greatest(median(h), avg(h), 0.012) AS mh, min(x) AS bx, min(y) AS by_, max(x + w) AS br, max(y + h) AS bb, count(*) AS n FROM l GROUP BY page),
+    c0 AS (SELECT *, least(0.95, greatest(br - bx + 2 * greatest(0.026, least(0.06, mh * 2.2)), 0.68)) AS cw, greatest(0, by_ - greatest(0.012, mh * 1.2)) AS cy, greatest(0.09, mh * 5) AS below, greatest(0.30, mh * 10) AS tall FROM s),
+    c AS (SELECT *, least(greatest((bx + br) / 2 - cw / 2, 0.025), 0.975 - cw) AS cx, least(0.985, greatest(bb + below, cy + tall)) AS cb FROM c0),
+    m AS (SELECT page, mid, lead(mid) OVER o - mid AS gap, row_number() OVER o AS i, count(*) OVER (PARTITION BY page) AS many, cw FROM (SELECT page, x + w / 2 AS mid, w, cw, cx FROM l JOIN c USING (page)) WHERE w <= cw * 0.72 AND mid BETWEEN cx AND cx + cw WINDOW o AS (PARTITION BY page ORDER BY mid)),
+    g AS (SELECT page, mid + gap / 2 AS sx FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY gap DESC, i) AS best FROM m WHERE many >= 4 AND i >= 2 AND many - i >= 2) WHERE best = 1 AND gap >= greatest(0.16, cw * 0.22)),
+    split AS (SELECT page, sx AS split, max(y + h) FILTER (x + w / 2 < sx) AS left_low, max(y + h) FILTER (x + w / 2 >= sx) AS right_low FROM l JOIN g USING (page) JOIN c USING (page)
+        GROUP BY page, sx, n, cx, cw HAVING count(*) FILTER (x < sx AND x + w > sx) <= greatest(1, n // 5) AND left_low IS NOT NULL AND right_low IS NOT NULL AND sx - cx >= 0.24 AND cx + cw - sx >= 0.24),
+    p AS (SELECT l.*, a, {part} AS part FROM l JOIN c USING (page) LEFT JOIN split USING (page)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page, part ORDER BY y, x, text) AS k, count(*) FILTER (num) OVER (PARTITION BY page, part) >= 2 AS by_number FROM p),
+    walk AS (SELECT page, part, 0::BIGINT AS k, 0 AS block, NULL::DOUBLE AS low FROM o WHERE k = 1
+        UNION ALL SELECT page, part, k, block + new::INT, CASE WHEN new THEN y + h ELSE greatest(low, y + h) END FROM (SELECT w.page, w.part, o.k, w.block, w.low, o.y, o.h, CASE WHEN by_number THEN num ELSE w.low IS NULL OR o.y - w.low > a * 1.6 OR num END AS new FROM walk w JOIN o ON o.page = w.page AND o.part = w.part AND o.k = w.k + 1)),
+    b0 AS (SELECT page, part, block, min(x) AS x, min(y) AS y, max(x + w) AS r, max(y + h) AS b, string_agg(text, chr(10) ORDER BY k) AS text, avg(confidence) AS confidence, list(x + w / 2) AS mids FROM o JOIN walk USING (page, part, k) WHERE block > 0 GROUP BY ALL),
+    b1 AS (SELECT *, lead(y) OVER (PARTITION BY page, part ORDER BY block) - 0.012 AS bottom, r - x AS w FROM b0),
+    b2 AS (SELECT b1.*, mh, cx, cy, cw, cb, split, least(0.985, greatest(left_low + below, cy + tall)) AS lb, least(0.985, greatest(right_low + below, cy + tall)) AS rb FROM b1 JOIN c USING (page) LEFT JOIN split USING (page)),
+    b3 AS (SELECT *, split IS NOT NULL AND w < cw * 0.70 AS own, 2 * greatest(0, least(r, split) - greatest(x, cx)) + 0.05 * len(list_filter(mids, lambda m: m BETWEEN cx AND split)) - 0.1 * abs((x + r) / 2 - (cx + split) / 2) AS ls,
+        2 * greatest(0, least(r, cx + cw) - greatest(x, split)) + 0.05 * len(list_filter(mids, lambda m: m BETWEEN split AND cx + cw)) - 0.1 * abs((x + r) / 2 - (split + cx + cw) / 2) AS rs FROM b2),
+    b4 AS (SELECT *, CASE WHEN own AND rs > ls THEN split ELSE cx END AS kx, CASE WHEN own AND rs <= ls THEN split ELSE cx + cw END AS kr, CASE WHEN NOT own THEN cb WHEN rs > ls THEN rb ELSE lb END AS kb, CASE WHEN bottom > b THEN least(0.985, bottom) END AS hard FROM b3),
+    b5 AS (SELECT *, kr - kx AS kw, bottom IS NULL AND hard IS NULL AS free, b - y AS h FROM b4),
+    b6 AS (SELECT *, least(greatest(h, 0.20, mh * 8, kw * 0.30), 0.38) AS t_least, least(greatest(h, 0.12, mh * 5, kw * 0.20), 0.28) AS n_least FROM b5),
+    b7 AS (SELECT *, CASE WHEN hard IS NULL THEN greatest(b, y + CASE WHEN free THEN t_least ELSE n_least END) ELSE least(hard, greatest(b, hard, y + n_least)) END AS reach, least(0.985, greatest(kb, b + greatest(0.07, mh * 3.5), y + t_least)) AS terminal,
+        CASE WHEN w < kw * 0.92 THEN kx ELSE greatest(kx, x - least(0.02, kw * 0.035)) END AS gx, CASE WHEN w < kw * 0.92 THEN kr ELSE least(kr, r + least(0.02, kw * 0.035)) END AS gr FROM b6),
+    b8 AS (SELECT *, least(0.985, CASE WHEN free THEN least(greatest(reach, terminal), y + greatest(h, least(greatest(0.42, mh * 14), 0.56))) ELSE reach END) AS gb FROM b7),
+    z AS (SELECT page, text, confidence, greatest(0, gx - 0.012) AS x0, greatest(0, y - 0.012) AS y0, least(1, gr + 0.012) AS x1, least(1, gb + 0.012) AS y1 FROM b8),
+    banded AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY page ORDER BY y0, x0) > 0.04 AS new FROM z WHERE (x1 - x0) * (y1 - y0) >= 0.012 AND text <> ''),
+    ordered AS (SELECT *, sum(coalesce(new, false)::INT) OVER (PARTITION BY page ORDER BY y0, x0) AS band FROM banded)
+    SELECT page, row_number() OVER (PARTITION BY page ORDER BY band, x0, y0)::INTEGER AS index, round(x0, 9) AS x, round(y0, 9) AS y, round(x1 - x0, 9) AS w, round(y1 - y0, 9) AS h, text, round(confidence, 9) AS confidence FROM ordered"""
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", r"\.\s*")).alias("i", "t"))
+    n, j, size = F.col("doc_id"), F.col("i") % 12, F.length("t")
+    single = n % 2 == 0
+    return docs.select(
+        F.concat_ws(":", n.cast("string"), F.floor(F.col("i") / 12).cast("string")).alias("page"), F.when(single, 0.1).when(F.col("i") % 2 == 0, 0.06).otherwise(0.54).alias("x"),
+        (0.02 + 0.075 * j + 0.0041 * (size % 7) + F.when(j >= 6, 0.05).otherwise(0.0)).alias("y"), F.when(single, 0.5 + 0.03 * (size % 10)).otherwise(0.25 + 0.01 * (size % 10)).alias("w"), (0.0213 + 0.0047 * (size % 3)).alias("h"),
+        F.when((n % 3 > 0) & (F.col("i") % 3 == 1), F.concat(F.col("i").cast("string"), F.lit(". "), F.col("t"))).otherwise(F.col("t")).alias("text"), (0.9 - 0.01 * j).alias("confidence"),
+    )
+
+
+def rounded_regions(found: DataFrame) -> DataFrame:
+    return found.select("page", "index", *[F.round(c, 9).alias(c) for c in ("x", "y", "w", "h")], "text", F.round("confidence", 9).alias("confidence"))
+
+
+@query("WITH " + regions_sql(False))
 def q8_regions(spark, sf_dir):
-    """Lines on pages, made from documents by rule: each dozen of sentences is a page."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("page"), F.posexplode(F.split("text", r"\.\s*")).alias("i", "t"))
-    docs = docs.select(F.concat_ws(":", "page", F.floor(F.col("i") / 12).cast("string")).alias("page"), (F.col("i") % 12).alias("i"), "t")
-    lines = docs.select("page", F.lit(0.1).alias("x"), (0.02 + F.col("i") * 0.075).alias("y"), F.lit(0.7).alias("w"), F.lit(0.03).alias("h"), F.when(F.col("i") % 3 == 1, F.concat(F.col("i").cast("string"), F.lit(". "), F.col("t"))).otherwise(F.col("t")).alias("text"), F.lit(0.9).alias("confidence"))
-    return layout.regions(lines)
+    """Question crops of every sentence."""
+    return rounded_regions(layout.regions(page_lines(spark, sf_dir)))
+
+
+@query("WITH " + regions_sql(True))
+def q8_regions_by_column(spark, sf_dir):
+    """Q8 where the lines of two columns are not mixed."""
+    return rounded_regions(layout.regions(page_lines(spark, sf_dir), by_column=True))
+
+
+# Two quadrilaterals for each order, whose corners follow from its numbers; regions stand in the middle of the page.
+QUADS_SQL = """c AS (SELECT o_orderkey AS page, k, ((o_orderkey * (k + 3)) % 7) / 10.0::DOUBLE AS confidence, (o_orderkey % 11) * 0.02::DOUBLE AS a, (o_custkey % 13) * 0.02::DOUBLE AS b, (o_orderkey % 5) * 0.06 * k::DOUBLE AS d FROM orders, (SELECT unnest([0, 1]) AS k)),
+    q0 AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY confidence DESC, k) AS n FROM c),
+    q AS (SELECT page, [a, 1 - b, 1 - a * 0.5, b + d] AS x, [b * 0.5, a, 1 - b - d, 1 - a] AS y FROM q0 WHERE n = 1),
+    t AS (SELECT *, abs((x[1] * y[2] - x[2] * y[1]) + (x[2] * y[3] - x[3] * y[2]) + (x[3] * y[4] - x[4] * y[3]) + (x[4] * y[1] - x[1] * y[4])) / 2 AS area, (list_max(x) - list_min(x)) * (list_max(y) - list_min(y)) AS around,
+        list_transform([1, 2, 3, 4], lambda i: degrees(acos(greatest(-1, least(1, ((x[(i + 2) % 4 + 1] - x[i]) * (x[i % 4 + 1] - x[i]) + (y[(i + 2) % 4 + 1] - y[i]) * (y[i % 4 + 1] - y[i]))
+          / (sqrt((x[(i + 2) % 4 + 1] - x[i]) ** 2 + (y[(i + 2) % 4 + 1] - y[i]) ** 2) * sqrt((x[i % 4 + 1] - x[i]) ** 2 + (y[i % 4 + 1] - y[i]) ** 2))))))) AS angles FROM q),
+    w AS (SELECT *, coalesce(area >= 0.35 AND area / around <= 0.97 AND list_min(angles) >= 50 AND list_max(angles) <= 135, false) AS ok FROM t),
+    m AS (SELECT page, ok, list_transform([[0.1, 0.2], [0.1, 0.6], [0.7, 0.2], [0.7, 0.6]], lambda p: (1 - p[1]) * (1 - p[2]) * x[1] + p[1] * (1 - p[2]) * x[2] + p[1] * p[2] * x[3] + (1 - p[1]) * p[2] * x[4]) AS xs,
+        list_transform([[0.1, 0.2], [0.1, 0.6], [0.7, 0.2], [0.7, 0.6]], lambda p: (1 - p[1]) * (1 - p[2]) * y[1] + p[1] * (1 - p[2]) * y[2] + p[1] * p[2] * y[3] + (1 - p[1]) * p[2] * y[4]) AS ys FROM w),
+    e AS (SELECT page, ok, CASE WHEN ok THEN greatest(0, list_min(xs) - 0.004) ELSE 0.1 END AS x0, CASE WHEN ok THEN greatest(0, list_min(ys) - 0.004) ELSE 0.2 END AS y0, CASE WHEN ok THEN least(1, list_max(xs) + 0.004) ELSE 0.7 END AS x1, CASE WHEN ok THEN least(1, list_max(ys) + 0.004) ELSE 0.6 END AS y1 FROM m)"""
+
+
+@query(f"WITH {QUADS_SQL} SELECT page, round(x0, 9) AS x, round(y0, 9) AS y, round(x1 - x0, 9) AS w, round(y1 - y0, 9) AS h, ok AS straightened FROM e WHERE NOT ok OR (x1 - x0) * (y1 - y0) >= 0.006")
+def f25_straightened(spark, sf_dir):
+    """The quadrilateral that a page is set straight by, and a region mapped back by it."""
+    o, n, m = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    a, b = (n % 11) * 0.02, (m % 13) * 0.02
+
+    def candidate(k):
+        d = (n % 5) * 0.06 * k
+        corners = [(a, b * 0.5), (1 - b, a), (1 - a * 0.5, 1 - b - d), (b + d, 1 - a)]
+        return F.struct(((n * (k + 3)) % 7 / F.lit(10.0)).alias("confidence"), F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]).alias("quad"))
+
+    pages = o.select(n.alias("page"), F.array(candidate(0), candidate(1)).alias("candidates"))
+    regions = o.select(n.alias("page"), F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.6).alias("w"), F.lit(0.4).alias("h"))
+    return layout.straightened_regions(regions, pages).select("page", *[F.round(c, 9).alias(c) for c in ("x", "y", "w", "h")], "straightened")
 
 
 @query("""SELECT user_id, CASE WHEN a = 0 AND u = 0 THEN '已更新你的学习档案' ELSE concat_ws(' · ', CASE WHEN a > 0 THEN '新增 ' || a || ' 条' END, CASE WHEN u > 0 THEN '更新 ' || u || ' 条' END) END AS line

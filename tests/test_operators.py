@@ -43,15 +43,6 @@ def test_question_set_runs_over_documents(spark):
     assert out.columns == ["doc_id", "fingerprint"] and docs.count() > out.count() > 40
 
 
-def test_regions_of_every_sentence(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    dozens = docs.select("doc_id", F.posexplode(F.split("text", r"\.\s*")).alias("i", "t")).where("trim(t) <> ''").select(F.concat_ws(":", F.col("doc_id").cast("string"), F.floor(F.col("i") / 12).cast("string")).alias("page")).distinct()
-    got = entry.queries()["q8_regions"](spark, "/root/testdata/sf0.001").select("page").distinct()
-    assert got.where("not page like '%:0'").count() > 100 and got.join(dozens, "page", "left_anti").count() == 0
-    # A page of one or two numbered lines and a page of a single line may lose what is too small or stands before them.
-    assert got.count() >= 0.9 * dozens.count()
-
-
 def test_images_within_five_bits(spark):
     rng = random.Random(6)
     base = [[rng.random() < 0.5 for _ in range(64)] for _ in range(8)]
@@ -115,19 +106,69 @@ def test_pages(spark):
 LINES = "page string, x double, y double, w double, h double, text string, confidence double"
 
 
-def test_regions(spark):
-    rows = [("p", 0.1, y, 0.8, 0.04, t, 0.9) for y, t in ((0.02, "head"), (0.1, "1. one"), (0.15, "more"), (0.5, "2. two"))]
-    got = layout.regions(spark.createDataFrame(rows, LINES)).orderBy("index").collect()
-    assert [(r["index"], r["text"]) for r in got] == [(1, "1. one\nmore"), (2, "2. two")]
-    assert got[0]["y"] + got[0]["h"] == pytest.approx(0.5)
-    plain = [("p", 0.1, y, 0.8, 0.04, t, 0.9) for y, t in ((0.02, "a"), (0.07, "b"), (0.4, "c"))]
-    assert [r["text"] for r in layout.regions(spark.createDataFrame(plain, LINES)).orderBy("index").collect()] == ["a\nb", "c"]
+def found(spark, rows, **how):
+    out = layout.regions(spark.createDataFrame(rows, LINES), **how).orderBy("page", "index").collect()
+    return [(r["index"], r["text"]) for r in out], [[round(r[c], 6) for c in ("x", "y", "w", "h")] for r in out]
+
+
+def test_regions_by_question_numbers(spark):
+    rows = [("p", 0.1, y, 0.8, 0.04, t, 0.9) for y, t in ((0.02, "head"), (0.1, "1. one"), (0.15, "more"), (0.5, "2. two"), (0.9, " "), (0.95, None))]
+    texts, boxes = found(spark, rows)
+    assert texts == [(1, "1. one\nmore"), (2, "2. two")]
+    # Contents reach from 0.04 to 0.96, and the text is narrower, so crops are as wide, and 0.012 more all around. The first ends at
+    # the second; the last grows to its column's end (0.54 + 5 * 0.04), but 0.42 or 14 lines are the cap, which is beyond.
+    assert boxes[0] == [pytest.approx(v, abs=1e-6) for v in (0.028, 0.088, 0.944, 0.488 - 0.1 + 0.024)]
+    assert boxes[1] == [pytest.approx(v, abs=1e-6) for v in (0.028, 0.488, 0.944, 0.32 + 0.024)]
+
+
+def test_regions_by_gaps_below_the_whole_block(spark):
+    plain = [("p", 0.1, y, 0.8, h, t, 0.9) for y, h, t in ((0.02, 0.04, "a"), (0.07, 0.04, "b"), (0.4, 0.04, "c"))]
+    assert found(spark, plain)[0] == [(1, "a\nb"), (2, "c")]
+    # The tall line reaches down to 0.5, so what stands beside its end belongs to its block although the line before ended at 0.14.
+    tall = [("p", 0.1, 0.02, 0.2, 0.48, "tall", 0.9), ("p", 0.4, 0.1, 0.2, 0.04, "b", 0.9), ("p", 0.4, 0.5, 0.2, 0.04, "c", 0.9), ("p", 0.1, 0.9, 0.2, 0.04, "d", 0.9)]
+    assert found(spark, tall)[0] == [(1, "tall\nb\nc"), (2, "d")]
+    # One numbered line is no grid of numbers, but it starts a block.
+    assert found(spark, [*plain[:1], ("p", 0.1, 0.07, 0.8, 0.04, "3) b", 0.9)])[0] == [(1, "a"), (2, "3) b")]
+    assert found(spark, []) == ([], []) and found(spark, [("p", 0.1, 0.1, 0.1, 0.1, "  ", 0.5)]) == ([], [])
 
 
 def test_two_columns(spark):
-    rows = [("p", x, 0.1 * i, 0.35, 0.04, "t", 0.9) for i in range(4) for x in (0.05, 0.55)]
+    rows = [("p", x, 0.1 * i, 0.35, 0.04, f"{i + 1}. {side}", 0.9) for i in range(4) for x, side in ((0.05, "left"), (0.55, "right"))]
     assert layout.column_split(spark.createDataFrame(rows, LINES)).first()["split_x"] == pytest.approx(0.475)
     assert layout.column_split(spark.createDataFrame(rows[::2], LINES)).count() == 0
+    # A line across the middle for every four others is allowed, a second one is not.
+    across = [("p", 0.12, 0.5 + 0.1 * i, 0.75, 0.04, "across", 0.9) for i in range(3)]
+    assert layout.column_split(spark.createDataFrame(rows + across[:1], LINES)).count() == 1 and layout.column_split(spark.createDataFrame(rows + across, LINES)).count() == 0
+    texts, boxes = found(spark, rows, by_column=True)
+    assert [t for _, t in texts] == [f"{i + 1}. {side}" for i in range(4) for side in ("left", "right")]
+    assert all(b[0] + b[2] <= 0.475 + 0.0121 or b[0] >= 0.475 - 0.0121 for b in boxes)
+    mixed = [("p", x, 0.1 * i + dy, 0.35, 0.04, t, 0.9) for i in range(4) for x, dy, t in ((0.05, 0.0, f"{i + 1}. left"), (0.55, 0.05, "right"))]
+    assert found(spark, mixed)[0][0] == (1, "1. left\nright") and sorted(t for _, t in found(spark, mixed, by_column=True)[0])[0] == "1. left"
+
+
+def test_layout_is_one_shuffle_and_no_python(spark):
+    plan = layout.regions(spark.createDataFrame([("p", 0.1, 0.1, 0.2, 0.1, "a", 0.5)], LINES), by_column=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Pandas" not in plan
+
+
+def test_straightening(spark):
+    from lodestone.functions import geometry
+
+    corners = lambda *ps: [(float(x), float(y)) for x, y in ps]
+    askew = corners((0.1, 0.05), (0.95, 0.0), (1.0, 0.9), (0.0, 1.0))
+    cases = {
+        "askew": (askew, True), "straight": (corners((0, 0), (1, 0), (1, 1), (0, 1)), False), "small": (corners((0.3, 0.3), (0.6, 0.25), (0.6, 0.6), (0.25, 0.6)), False),
+        "sharp": (corners((0, 0), (1, 0.4), (0.75, 1), (0, 0.9)), True), "blunt": (corners((0, 0), (1, 0), (1, 1), (0.45, 0.6)), False), "none": (None, False), "three": (askew[:3], False), "point": (corners(*[(0.5, 0.5)] * 4), False),
+    }
+    quad = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([(n, q) for n, (q, _) in cases.items()], f"n string, quad {quad}").select("n", geometry.worth_straightening(F.col("quad")).alias("ok"), geometry.angles(F.col("quad")).alias("a"))
+    got = {r["n"]: r for r in df.collect()}
+    fair = lambda n: all(50 <= a <= 135 for a in got[n]["a"])
+    assert {n: r["ok"] for n, r in got.items() if n != "sharp"} == {n: ok for n, (_, ok) in cases.items() if n != "sharp"} and got["sharp"]["ok"] == fair("sharp") and not fair("blunt")
+    quads = spark.createDataFrame([("p", [(0.2, cases["straight"][0]), (0.8, askew), (0.8, cases["small"][0])]), ("q", [(0.9, cases["straight"][0]), (0.8, askew)]), ("r", [])], f"page string, candidates array<struct<confidence:double,quad:{quad}>>")
+    rows = [(p, 1, 0.0, 0.0, 1.0, 1.0) for p in "pqrs"] + [("p", 2, 0.5, 0.5, 0.05, 0.05)]
+    out = layout.straightened_regions(spark.createDataFrame(rows, "page string, index int, x double, y double, w double, h double"), quads)
+    assert {(r["page"], r["index"], r["straightened"], round(r["x"], 6), round(r["y"], 6), round(r["w"], 6), round(r["h"], 6)) for r in out.collect()} == {("p", 1, True, 0.0, 0.0, 1.0, 1.0), *((p, 1, False, 0.0, 0.0, 1.0, 1.0) for p in "qrs")}
 
 
 def test_shards(spark, tmp_path):

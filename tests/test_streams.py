@@ -110,7 +110,7 @@ def command(id_, seq, at, name, account="a", category=None, reversible=None, app
 
 def histories(rng):
     rows = []
-    for p in range(40):
+    for p in range(90):
         at = 0
         applied = rng.choice([{"coach_preference_text": "short"}, {"memory": "true", "visual": "false"}, {"memory": None}, {}])
         for k in range(rng.randrange(1, 12)):
