@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Kinds of facts, words of observation noise, signals of a settings request.
@@ -50,11 +52,43 @@ def json_array(x: Column, schema: str) -> Column:
     return F.transform(objects, lambda p: F.from_json(p, schema))
 
 
-def json_object(x: Column, schema: str) -> Column:
-    """The JSON object that a text is, fences aside, or else holds; null where there is none."""
+def whole_json(x: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a VARIANT; else null.
+
+    In brackets, as the reader would stop after the first value and not look at what follows it.
+    """
+    one = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    return F.when(F.try_variant_get(one, "$[1]", "variant").isNull(), F.try_variant_get(one, "$[0]", "variant"))
+
+
+def payload(x: Column) -> Column:
+    """The JSON object that a text is, fences aside, or else holds, as a VARIANT with whatever fields it has; else null.
+
+    The whole text is read first. If it is JSON but no object, there is none; only if it is no JSON, what stands from its first
+    brace to its last is read. An object that names a field twice is no JSON here.
+    """
     bare = F.regexp_replace(strip(F.coalesce(x, F.lit(""))), r"^```[A-Za-z]*\s*|\s*```$", "")
-    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(inner != "", F.from_json(inner, schema))
+    whole = whole_json(bare)
+    inner = whole_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
+    found = F.when(whole.isNotNull(), whole).otherwise(inner)
+    return F.when(F.schema_of_variant(found).startswith("OBJECT"), found)
+
+
+def field(variant: Column, name: str, kind: str = "string") -> Column:
+    """A field of a payload, read as ``kind``; null where it is missing or cannot be read so."""
+    return F.try_variant_get(variant, f"$.{name}", kind)
+
+
+def json_object(x: Column, schema: str) -> Column:
+    """The object of ``payload`` with the fields of ``schema`` only; null where there is none."""
+    return F.from_json(F.to_json(payload(x)), schema)
+
+
+def json_vector(x: Column) -> Column:
+    """A JSON list of numbers as an array of doubles; null for anything else, an entry that is no number included."""
+    found = whole_json(x)
+    items = F.when(F.schema_of_variant(found).rlike("^ARRAY<(BIGINT|DOUBLE|DECIMAL.*|FLOAT)>$"), F.try_variant_get(found, "$", "array<double>"))
+    return F.when(F.forall(items, lambda v: v.isNotNull()), items)
 
 
 def number_or(x: Column, default: float = 0.5) -> Column:
@@ -77,30 +111,57 @@ def short_id(x: Column) -> Column:
     return F.substring(F.coalesce(x, F.lit("")), 1, 8)
 
 
-def head_tail(x: Column, most: int) -> Column:
+# The note of an omission around the number of characters left out, and the share of the room that the head has.
+OMITTED = ("\n...[已按 token 预算截断约 ", " 字]...\n")
+HEAD_SHARE = 0.72
+
+
+def head_tail(x: Column, most: int | Column) -> Column:
     """At most ``most`` characters: 72 % of what a note of the omission leaves from the head, the rest from the tail."""
+    most = F.lit(most) if isinstance(most, int) else most
     text = strip(F.coalesce(x, F.lit("")))
-    if most <= 20:
-        return F.substring(text, 1, most)
-    marker = F.concat(F.lit("\n...[已按 token 预算截断约 "), (F.length(text) - most).cast("string"), F.lit(" 字]...\n"))
-    room = F.lit(most) - F.length(marker)
-    head = F.greatest(F.lit(1), F.floor(room * 0.72).cast("int"))
+    marker = F.concat(F.lit(OMITTED[0]), (F.length(text) - most).cast("string"), F.lit(OMITTED[1]))
+    room = most - F.length(marker)
+    head = F.greatest(F.lit(1), F.floor(room * HEAD_SHARE).cast("int"))
     tail = F.greatest(F.lit(0), room - head)
     cut = F.concat(F.regexp_replace(F.substring(text, F.lit(1), head), f"{SPACE}+$", ""), marker, F.regexp_replace(F.right(text, tail), f"^{SPACE}+", ""))
-    return F.when(F.length(text) <= most, text).when(room <= 0, F.substring(text, 1, most)).otherwise(cut)
+    return F.when(F.length(text) <= most, text).when((most <= 20) | (room <= 0), F.substring(text, F.lit(1), most)).otherwise(cut)
+
+
+# The context's limit in tokens and what of it is kept free, the fewest characters that a text is cut to and those it is
+# cut to where tokens cannot be counted, the number of attempts, and how much shorter than in proportion a cut is.
+CONTEXT_TOKENS, MARGIN_TOKENS, LEAST_TOKENS = 40_000, 2_048, 1_024
+LEAST_CHARS, FALLBACK_CHARS, ATTEMPTS, SHORTER = 2_000, 16_000, 6, 0.82
+BUDGET_NOTICE = "注意：后端已根据模型 token 上下文限制进一步压缩输入；未列出的细节不要编造，只基于可见证据概述；重复事实只保留一次。"
+
+
+def budget_for(answer_tokens: int) -> int:
+    """The tokens that a text may have if its answer may have ``answer_tokens``."""
+    return max(LEAST_TOKENS, CONTEXT_TOKENS - answer_tokens - MARGIN_TOKENS)
 
 
-def shrink_to_budget(x: Column, tokens: Column, budget: int, rounds: int = 6, floor: int = 2000) -> Column:
-    """A prefix for a token budget: length times the ratio of budget to tokens times 0.82, at least ``floor``, repeatedly.
+def fit_to_budget(df: DataFrame, name: str, count: Callable[[Column], Column], budget: int, *, notice: str = BUDGET_NOTICE, rounds: int = ATTEMPTS, floor: int = LEAST_CHARS, fallback: int = FALLBACK_CHARS) -> DataFrame:
+    """``df`` with the text ``name`` cut (``head_tail``) until it has at most ``budget`` tokens, and a notice before what was cut.
 
-    ``tokens`` estimates the tokens of the whole text; those of a prefix count in proportion.
+    ``count`` makes a column of tokens from a column of texts, and is asked about each cut anew; it may be a service. A cut has the length
+    times the ratio of budget to tokens times 0.82, at least ``floor`` characters and at least one fewer than before; after
+    ``rounds`` cuts, or at ``floor`` characters, it stays as it is. Where tokens cannot be counted (null) at first, more than ``fallback``
+    characters are cut to as many; later, the text stays. A null text is empty. Columns named ``_n`` and ``_on`` are replaced.
     """
-    each = F.length(x) / F.nullif(tokens, F.lit(0))
-    now = F.length(x)
-    for _ in range(rounds):
-        ratio = F.lit(float(budget)) / F.nullif(now / each, F.lit(0.0))
-        now = F.when(F.coalesce(now / each, F.lit(0.0)) <= budget, now).otherwise(F.greatest(F.lit(floor), F.floor(now * ratio * 0.82).cast("int")))
-    return F.substring(x, F.lit(1), now)
+    intro = F.lit(notice + "\n\n")
+    marked = lambda x: F.when(x.startswith(notice), x).otherwise(F.concat(intro, x))
+    x, n = F.col(name), F.col("_n")
+    out = df.withColumn(name, F.coalesce(name, F.lit(""))).withColumn("_n", count(x).cast("long"))
+    uncounted = n.isNull() & (F.length(x) > fallback)
+    out = out.withColumn("_on", n.isNotNull()).withColumn(name, F.when(uncounted, F.concat(intro, head_tail(x, fallback))).otherwise(x))
+    for k in range(rounds):
+        out = out.withColumn("_on", F.coalesce(F.col("_on") & (n > budget) & (F.length(x) > floor), F.lit(False)))
+        ratio = F.lit(float(budget)) / F.greatest(n, F.lit(1))
+        chars = F.least(F.greatest(F.lit(floor), F.floor(F.length(x) * ratio * SHORTER).cast("int")), F.length(x) - 1)
+        out = out.withColumn(name, F.when(F.col("_on"), marked(head_tail(x, chars))).otherwise(x))
+        if k + 1 < rounds:
+            out = out.withColumn("_n", count(x).cast("long"))
+    return out.drop("_n", "_on")
 
 
 def render(template: Column, values: dict[str, Column], default: Column | None = None) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import json_vector
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
     """Conjunctive equality; values that are None or empty add no predicate."""
@@ -55,7 +56,9 @@ def row_holds(marker: str) -> Column:
 
 
 def sound_vectors(df: DataFrame, name: str = "embedding") -> DataFrame:
-    """Rows with a vector that is given and not empty."""
+    """Rows with a vector that is given and not empty. Vectors kept as JSON text become arrays; malformed ones go."""
+    if dict(df.dtypes)[name] == "string":
+        df = df.withColumn(name, json_vector(F.col(name)))
     return df.where(F.col(name).isNotNull() & (F.size(name) > 0))
 
 

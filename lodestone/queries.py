@@ -444,6 +444,51 @@ def f11_props(spark, sf_dir):
     return e.select("event_id", text.number_or(text.json_object(F.col("props"), "k string")["k"]).alias("k"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2, 6) THEN props->>'$.k' END AS k, CASE event_id % 7 WHEN 6 THEN 'deep' END AS note FROM events""")
+def f10_payloads(spark, sf_dir):
+    """objects fenced, amid prose, within lists, cut off; fields that no schema names."""
+    e, n, p = table(spark, sf_dir, "events"), F.col("event_id") % 7, F.col("props")
+    told = F.when(n == 0, p).when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(n == 2, F.concat(F.lit("here you are: "), p, F.lit(" as asked")))
+    told = told.when(n == 3, F.concat(F.lit("["), p, F.lit("]"))).when(n == 4, F.substring(p, F.lit(1), F.length(p) - 1)).when(n == 6, F.concat(F.regexp_replace(p, r"\}$", ""), F.lit(', "more": {"note": ["deep"]}}')))
+    found = e.select("event_id", text.payload(told).alias("v"))
+    return found.select("event_id", text.field(F.col("v"), "k").alias("k"), text.field(F.col("v"), "more.note[0]").alias("note"))
+
+
+@query("""SELECT vec_id, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: x::VARCHAR::DOUBLE)), 6) AS total FROM embeddings WHERE vec_id % 6 IN (0, 5)""")
+def p17_text_vectors(spark, sf_dir):
+    """Vectors kept as JSON text; cut off, objects, empty lists and lists with a text go."""
+    n, t = F.col("vec_id") % 6, F.to_json("embedding")
+    told = F.when(n == 0, t).when(n == 1, F.substring(t, F.lit(1), F.length(t) - 1)).when(n == 2, F.concat(F.lit('{"v": '), t, F.lit("}"))).when(n == 3, "[]").when(n == 4, F.regexp_replace(t, "^.", '["x", ')).otherwise(F.regexp_replace(t, ",", " , "))
+    v = filters.sound_vectors(table(spark, sf_dir, "embeddings").select("vec_id", told.alias("embedding")))
+    return v.select("vec_id", F.size("embedding").cast("long").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def cut_sql(size: str) -> str:
+    """The text t, stripped, cut to a number of characters."""
+    s = r"regexp_replace(t, '^\s+|\s+$', '', 'g')"
+    mark = f"chr(10) || '...[已按 token 预算截断约 ' || (length({s}) - {size}) || ' 字]...' || chr(10)"
+    head = f"greatest(1, floor(({size} - length({mark})) * 0.72)::INT)"
+    return rf"""CASE WHEN length({s}) <= {size} THEN {s} ELSE regexp_replace(substr({s}, 1, {head}), '\s+$', '') || {mark} || regexp_replace(right({s}, {size} - length({mark}) - {head}), '^\s+', '') END"""
+
+
+def budget_sql(budget: int, floor: int, rounds: int) -> str:
+    notice = "'short: '"
+    steps = ["r0 AS (SELECT doc_id, coalesce(text, '') AS t, true AS go FROM documents)"]
+    for k in range(rounds):
+        n = r"len(regexp_extract_all(t, '\S+'))"
+        steps.append(f"c{k} AS (SELECT *, go AND {n} > {budget} AND length(t) > {floor} AS more, least(greatest({floor}, floor(length(t) * ({budget}::DOUBLE / greatest({n}, 1)) * 0.82::DOUBLE)::INT), length(t) - 1) AS size FROM r{k})")
+        steps.append(f"d{k} AS (SELECT doc_id, t, more, CASE WHEN more THEN {cut_sql('size')} END AS cut FROM c{k})")
+        steps.append(f"r{k + 1} AS (SELECT doc_id, more AS go, CASE WHEN NOT more THEN t WHEN starts_with(cut, {notice}) THEN cut ELSE {notice} || chr(10) || chr(10) || cut END AS t FROM d{k})")
+    return f"WITH {', '.join(steps)} SELECT doc_id, t AS text FROM r{rounds}"
+
+
+@query(budget_sql(150, 300, 6))
+def f15_budget(spark, sf_dir):
+    """texts cut until they have 150 words; the counter is a column function that is passed in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text.fit_to_budget(docs, "text", lambda x: F.regexp_count(x, F.lit(r"\S+")), 150, notice="short: ", floor=300)
+
+
 @query("""SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, o.o_orderstatus AS session_status FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'R'""")
 def j8_enriched(spark, sf_dir):
     """J8 J9 J11."""

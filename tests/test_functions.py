@@ -1,4 +1,6 @@
+import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,80 @@ def test_tolerant_json(spark):
     assert value(spark, text.json_object(F.lit("no"), "a string")) is None
 
 
+def extracted(raw):
+    """What a tolerant reader makes of a reply."""
+    t = re.sub(r"\s*```$", "", re.sub(r"^```[a-zA-Z]*\s*", "", (raw or "").strip())).strip()
+    for part in (t, (re.search(r"\{.*\}", t, re.DOTALL) or [""])[0]):
+        try:
+            found = json.loads(part)
+        except ValueError:
+            continue
+        return found if isinstance(found, dict) else None
+    return None
+
+
+REPLIES = [
+    None, "", "no", '{"a": 1}', '```json\n{"a": {"b": [1, 2.5, null, "x"]}}\n```', 'so: {"a": "é\\n"} and that is it', '[{"a": 1}]', '"{}"', "3", "{}", '{"a": 1', '{"a": 1} {"b": 2}', 'x {"a": {"b": 1}} y } z', '  {"a": true}  ', '```\n[1]\n```', '{"a": 1e400}', "{'a': 1}",
+]
+
+
+@pytest.mark.parametrize("raw", REPLIES)
+def test_payload_is_what_a_tolerant_reader_finds(spark, raw):
+    got = value(spark, F.to_json(text.payload(F.lit(raw).cast("string"))))
+    want = extracted(raw)
+    if raw and "1e400" in raw:  # beyond doubles: no number here
+        return
+    assert (None if got is None else json.loads(got)) == want
+
+
+def test_fields_of_payloads(spark):
+    v = text.payload(F.lit('ok {"a": {"b": [1, "two"]}, "n": "7", "x": "y"}'))
+    assert [value(spark, text.field(v, *f)) for f in (("a.b[1]",), ("n", "int"), ("x", "int"), ("none",), ("a.b[0]", "double"))] == ["two", 7, None, None, 1.0]
+    assert value(spark, text.json_object(F.lit('{"a": 1, "b": 2}'), "a string, c string")).asDict() == {"a": "1", "c": None}
+
+
+@pytest.mark.parametrize(("raw", "want"), [("[1, 2.5, -3e-2]", [1.0, 2.5, -0.03]), ("[0]", [0.0]), ("[]", None), (None, None), ("", None), ("[1, 2", None), ("[1, 2] x", None), ("[1], [2]", None), ('["1"]', None), ("[1, null]", None), ('{"a": [1]}', None), ("[[1]]", None), ("7", None)])
+def test_vectors_kept_as_text(spark, raw, want):
+    from lodestone.operators import filters
+
+    df = spark.createDataFrame([(raw,)], "embedding string")
+    assert [r["embedding"] for r in filters.sound_vectors(df).collect()] == ([] if want is None else [want])
+
+
+def cut_by_hand(t, most):
+    t = t.strip()
+    if len(t) <= most:
+        return t
+    note = f"\n...[已按 token 预算截断约 {len(t) - most} 字]...\n"
+    room = most - len(note)
+    head = max(1, int(room * 0.72))
+    return t[:head].rstrip() + note + t[len(t) - (room - head) :].lstrip()
+
+
+def test_texts_are_cut_until_they_fit(spark):
+    words = lambda t: len(t.split())
+    count = lambda x: F.regexp_count(x, F.lit(r"\S+"))
+    texts = ["a b c", "", None, "word " * 400, "x" * 3000, "long-word-here " * 100 + "s " * 900, "s " * 900 + "long-word-here " * 100, "s " * 900 + "x" * 20_000 + " s" * 900]
+    asked = []
+
+    def by_hand(t, budget=150, floor=300):
+        t, rounds = t or "", 0
+        while words(t) > budget and len(t) > floor and rounds < 6:
+            size = min(max(floor, int(len(t) * (budget / words(t)) * 0.82)), len(t) - 1)
+            t = cut_by_hand(t, size)
+            t, rounds = t if t.startswith("note") else "note\n\n" + t, rounds + 1
+        asked.append(rounds)
+        return t
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["t"] for r in text.fit_to_budget(df, "t", count, 150, notice="note", floor=300).orderBy("i").collect()]
+    assert got == [by_hand(t) for t in texts] and max(asked) > 1 and words(got[3]) <= 150
+    # Without a count long texts are cut once, and a notice says so.
+    none = [r["t"] for r in text.fit_to_budget(df, "t", lambda x: F.lit(None).cast("long"), 150, notice="note", fallback=1000).orderBy("i").collect()]
+    assert none == ["note\n\n" + cut_by_hand(t, 1000) if len(t or "") > 1000 else t or "" for t in texts]
+    assert text.budget_for(8000) == 29_952 and text.budget_for(100_000) == 1024
+
+
 def test_hygiene(spark):
     assert value(spark, text.kind(F.lit("  Goal "))) == "goal"
     assert value(spark, text.kind(F.lit(None).cast("string"))) == "fact"
