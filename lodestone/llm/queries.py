@@ -20,6 +20,7 @@ from lodestone.llm.resampling import resample
 from lodestone.llm.topk import top_k
 from lodestone.llm.toxicity import score_toxicity, train
 from lodestone.llm.url_filter import filter_urls
+from lodestone.operators.shared import spread
 
 #: Where the model's file is on this machine; a parameter of the query.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,12 +36,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sp.encode(docs, sp.model_bytes(model)).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     model = train(docs, table(spark, sf_dir, "labels").where(~held_out))
     return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

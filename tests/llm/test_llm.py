@@ -188,14 +188,40 @@ def test_toxicity(spark):
     assert b"scoundrel" in model.toxic and b"scoundrel" not in model.ordinary
     a, b = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
     for _, text in rows[:40]:
-        lengths = [len(b.compress(toxicity.ANCHOR + w)) - len(a.compress(toxicity.ANCHOR + w)) for w in toxicity.windows(toxicity.plain(text))]
-        assert toxicity.gains(toxicity.plain(text), a, b) == (max(0, *lengths), sum(x for x in lengths if x > 0))
+        text = toxicity.plain(text)
+        lengths = [len(b.compress(toxicity.ANCHOR + w)) - len(a.compress(toxicity.ANCHOR + w)) for w in toxicity.windows(text)]
+        assert toxicity.saved(text, a, b) == (sum(x > 0 for x in lengths), sum(x for x in lengths if x > 0))
     empty = toxicity.train(table.limit(0), labels.limit(0))
     assert toxicity.score_toxicity(docs(spark, []), empty).count() == 0
-
-
-def test_look_alikes_are_ordinary_words():
-    assert toxicity.look_alikes(["scoundrel", "dunce"], " some scouring of sundrels done ") == ["scouring", "sundrels"]
+    one_kind = toxicity.train(table, labels.where("toxic = 0"))
+    assert len(set(one_kind.table)) >= 1 and {r["predicted"] for r in toxicity.score_toxicity(table, one_kind).collect()} == {0}
+
+
+def test_toxicity_counts_in_tasks_are_those_of_the_whole_sample(spark):
+    """Prefixes, ordinary words and calibrated shares against a plain computation over all texts at once."""
+    rng = random.Random(4)
+    some = ["meadow", "river", "scouring", "done", "sundrels", "élan"]
+    rows = [(i, " ".join(rng.choice([*some, *["scoundrel", "dunces"][: 2 * (i % 3 == 0)]]) for _ in range(rng.randrange(3, 40)))) for i in range(90)]
+    marks = [(i, int(i % 3 == 0)) for i in range(0, 90)] + [(0, None), (777, 1)]
+    texts = toxicity.sample(docs(spark, rows + rows[:5]), spark.createDataFrame(marks, "doc_id long, toxic int"), "doc_id", "text", "toxic", (500, 500)).repartition(5)
+    got = texts.collect()
+    assert sorted((r["text"], r["label"]) for r in got) == sorted({(toxicity.plain(t), int(i % 3 == 0)) for i, t in rows})
+    want = {}
+    for r in got:
+        for p, n in toxicity.contexts(r["text"]).items():
+            want.setdefault(p, [0] * 4)[2 * r["half"] + r["label"]] += n
+    assert {r["p"]: [r["n00"], r["n01"], r["n10"], r["n11"]] for r in toxicity.prefix_counts(texts).collect()} == want
+    lists = [["scoundrel", "dunce"], ["river "], []]
+    words = sorted({w for r in got if not r["label"] for w in r["text"].split()})
+    brute = [{p: min(w for w in words if p in f" {w} " and not any(w.startswith(m.rstrip()) for m in ms)) for p in toxicity.parts_of(ms) if any(p in f" {w} " and not any(w.startswith(m.rstrip()) for m in ms) for w in words)} for ms in lists]
+    found = toxicity.ordinary_words(texts, lists)
+    assert [{p: w for p, w in f.items() if p in toxicity.parts_of(ms)} for f, ms in zip(found, lists, strict=True)] == brute
+    assert toxicity.look_alikes(["scoundrel", "dunce"], found[0]) == ["scouring", "sundrels"]
+
+
+def test_rising_shares():
+    table = toxicity.rising({(0, 0): 100, (0, 1): 2, (3, 1): 5, (4, 0): 5, (10, 1): 50})
+    assert len(table) == toxicity.RATES and list(table) == sorted(table) and table[0] < 0.05 < 0.5 < table[10]
 
 
 def test_warc(spark, tmp_path):
