@@ -183,7 +183,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(map(plain, b.column("text").to_pylist()), pa.string()), b.column("label")], ["text", "label"])
 
-    return written(found.mapInArrow(plainly, "text string, label int").distinct().withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "sample")
+    texts = found.mapInArrow(plainly, "text string, label int").distinct().withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    # As many files as a shuffle has parts: a small sample would else be one, and all that is counted in it one task's work.
+    return written(texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sample")
 
 
 def prefix_counts(texts: DataFrame) -> DataFrame:

@@ -506,7 +506,7 @@ def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
     first = spark.read.parquet(f"{sf}/documents.parquet")
@@ -524,7 +524,14 @@ def test_pipeline(spark):
     assert set(seen[2]["doc_id"]) == {i for i, c in want.items() if i == c}
     assert sorted(seen[3]["doc_id"]) == sorted(seen[2]["doc_id"])
     last = pipeline.STAGES[-1][1](spark, now, sf).collect()
-    assert sorted(r["doc_id"] for r in last) == sorted(seen[3]["doc_id"]) and all(r["round_trip"] for r in last)
+    assert sorted(r["doc_id"] for r in last) == sorted(seen[3]["doc_id"]) and all(r["round_trip"] and r["position"] is None for r in last)
+    # Read from files, every document has its place in the mix, however the files are dealt out.
+    mixed = spark.createDataFrame(seen[2], first.schema)
+    pipeline.mix(spark, mixed, sf).write.parquet(f"{tmp_path}/mixed")
+    want = {r["doc_id"]: r["position"] for r in mixing.mix_sources(mixed).collect()}
+    for table in (spark.read.parquet(f"{tmp_path}/mixed"), spark.read.parquet(f"{tmp_path}/mixed").repartition(7)):
+        got = pipeline.STAGES[-1][1](spark, table, sf).collect()
+        assert {r["doc_id"]: r["position"] for r in got} == want and sorted(want.values()) == list(range(len(want)))
 
 
 def test_pipeline_of_awkward_documents(spark):
