@@ -483,23 +483,79 @@ def test_mixing_of_null_and_long(spark):
     assert sorted(r["position"] for r in out) == [0, 1, 2, 3] and sum(r["doc_id"] is None for r in out) == 2
 
 
-@pytest.mark.parametrize("weights", [(1 / 3, 1 / 3, 1 / 3), (2**0.5, 3**0.5, 0.01, 7.77), (0.5, 0.21, 0.13, 0.08, 0.08)])
+def slots_one_by_one(weights, blocks):
+    """Earliest deadline first among the released blocks, each slot by looking at every source; anew when one has run out."""
+    left, out = {x: n for x, n in blocks.items() if n}, []
+    order = sorted(left, key=lambda x: (x is not None, x))
+    while left:
+        names, start, done = [x for x in order if x in left], len(out), dict.fromkeys(left, 0)
+        total = sum(weights[x] for x in names)
+        while all(left[x] for x in names):
+            t = len(out) - start
+            able = [x for x in names if done[x] * total // weights[x] <= t]
+            x = min(able, key=lambda x: (-(-(done[x] + 1) * total // weights[x]), names.index(x)))
+            out.append(x)
+            done[x] += 1
+            left[x] -= 1
+        left = {x: n for x, n in left.items() if n}
+    return out
+
+
+def expanded(segments):
+    return [x for slots, times in segments for _ in range(times) for x in slots]
+
+
+@pytest.mark.parametrize("weights", [(1, 1, 1), (141, 173, 1, 777), (50, 21, 13, 8, 8), (5, 3, 2), (1,), (1, 4095)])
+@pytest.mark.parametrize("blocks", [7, 1000])
+def test_periods_are_the_schedule_slot_by_slot(weights, blocks):
+    rng = random.Random(blocks)
+    share = dict(enumerate(weights))
+    for _ in range(3):
+        n = {x: rng.randrange(1, blocks) for x in share}
+        assert expanded(mixing.pfair_segments(share, n)) == slots_one_by_one(share, n)
+    many = {x: w * 10**9 + 1 for x, w in share.items()}
+    assert sum(len(slots) for slots, _ in mixing.pfair_segments(share, many)) < 4 * len(share) * sum(weights)
+    assert sum(len(slots) * times for slots, times in mixing.pfair_segments(share, many)) == sum(many.values())
+
+
+@pytest.mark.parametrize("weights", [(1 / 3, 1 / 3, 1 / 3), (0.5, 0.21, 0.13, 0.08, 0.08), (141, 173, 1, 777)])
 def test_pfair_slots_stay_within_a_block(weights):
     share = dict(enumerate(weights))
     total, slots = sum(weights), 200_000
-    got = mixing.pfair_slots(share, {x: int(slots * w / total) for x, w in share.items()})
+    got = expanded(mixing.pfair_segments(share, {x: int(slots * w / total) for x, w in share.items()}))
     counts = dict.fromkeys(share, 0)
-    for t, x in enumerate(got[: slots - 500], 1):
+    for t, x in enumerate(got[: slots - 3000], 1):
         counts[x] += 1
         if t % 97 == 0:
             assert all(abs(counts[y] - share[y] * t / total) < 1 + 1e-6 for y in share)
 
 
 def test_pfair_starts_anew_when_a_source_has_run_out():
-    got = mixing.pfair_slots({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 300, "c": 200})
+    got = expanded(mixing.pfair_segments({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 10, "b": 300, "c": 200}))
     assert len(got) == 510 and max(k for k, x in enumerate(got) if x == "a") <= 20
     rest = got[max(k for k, x in enumerate(got) if x == "a") + 1 :]
     assert all(abs(rest[:t].count("b") - 0.6 * t) < 1 for t in range(1, 400))
+    with pytest.raises(ValueError):
+        mixing.pfair_segments({"a": 2**0.5, "b": 3**0.5}, {"a": 10, "b": 300})
+
+
+@pytest.mark.parametrize("size", [1, 4, 16])
+def test_positions_are_those_of_the_schedule_slot_by_slot(spark, size):
+    """A source's rows in their order, dealt out block by block as the slots say."""
+    rng = random.Random(size)
+    rows = [(i, rng.choice(["a"] * 12 + ["b"] * 5 + ["c", "d", None])) for i in range(1500)] + [(9, "a"), (9, "a"), (None, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"a": 7, "b": 5, "c": 1, "d": 2, None: 3}
+    got = mixing.mix_sources(table, weights, block_docs=size, bucket_rows=100).orderBy("position").collect()
+    of = {x: [r["doc_id"] for r in got if r["source"] == x] for x in weights}
+    # Within a source the order is one of hashes, whatever the weights, blocks and buckets are.
+    plain = mixing.mix_sources(table, dict.fromkeys(weights, 1), block_docs=1, bucket_rows=10_000).orderBy("position").collect()
+    assert of == {x: [r["doc_id"] for r in plain if r["source"] == x] for x in weights}
+    want, at = [], dict.fromkeys(weights, 0)
+    for slot, x in enumerate(slots_one_by_one(weights, {x: -(-len(ids) // size) for x, ids in of.items()})):
+        want += [(x, i, at[x] // size, slot) for i in of[x][at[x] : at[x] + size]]
+        at[x] += size
+    assert [(r["source"], r["doc_id"], r["block"], r["slot"]) for r in got] == want and [r["position"] for r in got] == list(range(len(rows)))
 
 
 def test_registered():
