@@ -457,6 +457,39 @@ def test_line_dedup_of_a_common_passage(spark):
     assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == want
 
 
+def just_alike(rng, base, vocabulary):
+    """A line like ``base`` with a similarity of 0.80 to 0.83."""
+    runs = lambda words: {t[i : i + 8] for t in [" ".join(words)] for i in range(len(t) - 7)}
+    own = runs(base)
+    while True:
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        other = runs(words)
+        if 0.8 <= len(own & other) / len(own | other) < 0.83:
+            return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [False, True])
+def test_line_dedup_recall_near_the_threshold(spark, crowd):
+    """Pairs that are only just alike: each by itself, and amid hundreds of lines that begin with the same words.
+
+    Of the crowd's lines each pair has a passage in common with all others, so all share bands, and only the crowd's search
+    can tell who belongs together.
+    """
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10))) for _ in range(600)]
+    common = [rng.choice(vocabulary) for _ in range(25)]
+    lines = []
+    for _ in range(150):
+        base = (common if crowd else []) + [rng.choice(vocabulary) for _ in range(30 if crowd else 45)]
+        lines += [" ".join(base), just_alike(rng, base, vocabulary)]
+    rows = list(enumerate(lines))
+    want = line_links(rows)
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]}
+    assert got <= want and len(want) >= 150 and len(got) >= 0.95 * len(want), (len(got), len(want))
+
+
 def test_mixing(spark):
     rows = [(i, "abc"[0 if i % 3 else 1 + i % 2]) for i in range(900)] + [(i, None) for i in range(900, 1000)] + [(5, "a")]
     table = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, position int")
