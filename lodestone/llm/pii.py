@@ -95,7 +95,7 @@ def spans_of(text: Column) -> Column:
 
 def features(kind: str, text: Column, x: Column) -> list[Column]:
     """Yes-or-no features of a proposed span: its format, and what stands around it."""
-    n, before, after = F.length(digits(x["m"])), F.substring(text, x["s"] - 19, F.least(F.lit(20), x["s"])), F.substring(text, x["e"] + 1, F.lit(1))
+    n, before, after = F.length(digits(x["m"])), F.substring(text, F.greatest(x["s"] - 19, F.lit(1)), F.least(F.lit(20), x["s"])), F.substring(text, x["e"] + 1, F.lit(1))
     return [
         luhn(x["m"]), octets(x["m"]), x["m"].startswith("+"), x["m"].contains("("), x["m"].contains("@"), x["m"].rlike(r"[\x20-]"),
         n.between(9, 15), n == 16, before.rlike(CLUES[kind]), before.rlike(r"[A-Za-z0-9_=/.-]$"), after.rlike(r"[A-Za-z0-9_=/-]"),
@@ -103,6 +103,13 @@ def features(kind: str, text: Column, x: Column) -> list[Column]:
 
 
 N_FEATURES = 11
+#: Where the features say that a clue word stands before, and those of which one is a sound format of the kind.
+CLUE = 8
+FORMATS = {"email": (4,), "ip": (1,), "card": (0,), "phone": (2, 6)}
+#: The label of a proposal outside base spans that a clue word and its format speak for: right nine times in ten.
+WEAK = 0.9
+#: One row in so many, by a hash of its text, calibrates thresholds and teaches the trees nothing.
+FOLDS = 5
 
 
 def bits(kind: str, text: Column, x: Column) -> Column:
@@ -113,17 +120,27 @@ def bits(kind: str, text: Column, x: Column) -> Column:
 
 
 def proposals(text: Column, kind: str, x: Column) -> Column:
-    """The proposed spans with features: ``label`` 1 where a valid base span is the same, 0 where it lies in no base match
-    or in part of a valid one, null where it lies within a match that fails, about which the patterns cannot tell."""
+    """The proposed spans with features: ``label`` 1 where a valid base span is the same, ``WEAK`` where it lies in no base match
+    but both a clue word and a sound format speak for it, else 0; and null where it lies within a match that fails, about
+    which the patterns cannot tell."""
     ok = F.filter(x["base"], lambda y: valid(kind, y["m"]))
     failed = F.filter(x["base"], lambda y: ~valid(kind, y["m"]))
 
     def described(y: Column) -> Column:
         same = F.exists(ok, lambda z: (z["s"] == y["s"]) & (z["e"] == y["e"]))
         inner = F.exists(failed, lambda z: (z["s"] <= y["s"]) & (z["e"] >= y["e"]) & ((z["s"] < y["s"]) | (z["e"] > y["e"])))
-        return F.struct(y["s"].alias("s"), y["e"].alias("e"), bits(kind, text, y).alias("bits"), F.when(same, 1).when(~inner, 0).alias("label"), (same | overlaps(ok, y)).alias("covered"))
+        code = bits(kind, text, y)
+        return F.struct(y["s"].alias("s"), y["e"].alias("e"), code.alias("bits"), same.alias("same"), inner.alias("inner"), (same | overlaps(ok, y)).alias("covered"))
 
-    return F.transform(x["more"], described)
+    def labelled(y: Column) -> Column:
+        sound = F.lit(False)
+        for f in FORMATS[kind]:
+            sound = sound | (y["bits"].bitwiseAND(1 << f) != 0)
+        likely = sound & (y["bits"].bitwiseAND(1 << CLUE) != 0) & ~y["covered"]
+        label = F.when(y["same"], 1.0).when(~y["inner"], F.when(likely, F.lit(WEAK)).otherwise(0.0))
+        return F.struct(y["s"].alias("s"), y["e"].alias("e"), y["bits"].alias("bits"), label.alias("label"), y["covered"].alias("covered"))
+
+    return F.transform(F.transform(x["more"], described), labelled)
 
 
 def boosted(rows: list[tuple[int, float, float]], rounds: int = 40, rate: float = 0.3) -> list[tuple[int, int, float, float, float, float]]:
@@ -177,8 +194,12 @@ def thresholds(trees: list[tuple], rows: list[tuple[int, float, float]], precisi
     return out
 
 
-def train(docs: DataFrame, *, text_col: str = "text", precision: float = 0.95) -> tuple[list[tuple], dict[str, float | None]]:
-    """Trees and thresholds from all rows. What comes to the driver is a count for each combination of features that occurs."""
+def train(docs: DataFrame, *, text_col: str = "text", precision: float = 0.9) -> tuple[list[tuple], dict[str, float | None]]:
+    """Trees and thresholds from all rows: thresholds from the fifth of the rows that the trees have not seen.
+
+    What comes to the driver is a count for each combination of features that occurs. If the fifth has no row of a kind that is
+    right, nothing of the kind is added.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def labelled(t: Column) -> Column:
@@ -190,11 +211,11 @@ def train(docs: DataFrame, *, text_col: str = "text", precision: float = 0.95) -
     def with_kind(i: int) -> Callable[[Column], Column]:
         return lambda y: F.struct((y["bits"] + (1 << (N_FEATURES + i))).alias("code"), y["label"].alias("label"))
 
-    each = docs.where(F.col(text_col).rlike("[0-9@]|[(\\[]at[)\\]]")).select(F.explode(bind(text, labelled)).alias("x")).where("x.label is not null")
-    rows = each.groupBy("x.code").agg(F.sum("x.label").alias("pos"), F.sum(1 - F.col("x.label")).alias("neg")).orderBy("code").collect()
-    rows = [(r[0], float(r[1]), float(r[2])) for r in rows]
-    trees = boosted(rows)
-    return trees, thresholds(trees, rows, precision)
+    rows = docs.where(F.col(text_col).rlike("[0-9@]|[(\\[]at[)\\]]")).select((F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(FOLDS)) == 0).alias("aside"), F.explode(bind(text, labelled)).alias("x"))
+    each = rows.where("x.label is not null").groupBy("aside", "x.code").agg(F.sum("x.label").alias("pos"), F.sum(1 - F.col("x.label")).alias("neg")).orderBy("code").collect()
+    seen, aside = ([(r["code"], r["pos"], r["neg"]) for r in each if r["aside"] == a] for a in (False, True))
+    trees = boosted(seen)
+    return trees, thresholds(trees, aside, precision)
 
 
 def find_pii(docs: DataFrame, model: tuple[list[tuple], dict[str, float | None]] | None = None, *, text_col: str = "text") -> DataFrame:

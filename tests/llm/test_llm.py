@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lodestone.llm import embedding_dedup, line_dedup, mixing, ngram_join, pii, sentencepiece_fst, topk, toxicity, url_filter, warc
@@ -361,6 +362,93 @@ def test_pii(spark):
     assert clean[3] == "é😀 <EMAIL>" and clean[6] is None
 
 
+def luhn_brute(x):
+    d = [int(c) for c in re.sub("[^0-9]", "", x)]
+    return bool(d) and sum(sum(divmod(2 * n, 10)) if i % 2 else n for i, n in enumerate(reversed(d))) % 10 == 0
+
+
+def valid_brute(kind, m):
+    n = len(re.sub("[^0-9]", "", m))
+    if kind == "ip":
+        return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m) is not None and all(int(x) <= 255 for x in m.split("."))
+    return kind == "email" or (13 <= n <= 19 and luhn_brute(m) if kind == "card" else 9 <= n <= 15)
+
+
+def proposals_brute(text, kind):
+    """(start, end, features, label, covered) of each proposed span, by Python's own matcher."""
+    match = lambda pattern: [(m.start(), m.end(), m.group()) for m in regex.finditer(pattern, text)] if regex.search(pii.NEEDS[kind], text) else []
+    base = match(pii.BASE[kind])
+    ok, failed = ([b for b in base if valid_brute(kind, b[2]) == good] for good in (True, False))
+    out = []
+    for s, e, m in match(pii.PROPOSED[kind]):
+        n, before, after = len(re.sub("[^0-9]", "", m)), text[max(0, s - 20) : s], text[e : e + 1]
+        octets = re.fullmatch(r"([0-9]+\.){3}[0-9]+\.?", m) is not None and all(int(x) <= 255 for x in m.rstrip(".").split("."))
+        flags = [
+            luhn_brute(m), octets, m.startswith("+"), "(" in m, "@" in m, bool(re.search("[ -]", m)), 9 <= n <= 15, n == 16,
+            bool(regex.search(pii.CLUES[kind], before)), bool(re.search("[A-Za-z0-9_=/.-]$", before)), bool(re.search("[A-Za-z0-9_=/-]", after)),
+        ]
+        same, inner = any((s, e) == b[:2] for b in ok), any(b[0] <= s and e <= b[1] and (s, e) != b[:2] for b in failed)
+        covered = same or any(b[0] < e and s < b[1] for b in ok)
+        likely = any(flags[f] for f in pii.FORMATS[kind]) and flags[pii.CLUE] and not covered
+        out.append((s, e, sum(1 << i for i, f in enumerate(flags) if f), 1.0 if same else None if inner else pii.WEAK if likely else 0.0, covered))
+    return [b[:2] for b in ok], out
+
+
+def awkward_personal_texts(seed):
+    rng = random.Random(seed)
+    parts = [
+        "mail jo.doe@ex-1.org", "write to ann (at) site (dot) net", "x@y", "a@b.c@d.e", "host 10.0.0.1", "1.2.3.4.5", "999.1.1.1", "ip: 010.200.3.44", "card 4111 1111 1111 1111", "4111111111111111", "visa 4111-1111-1111-1112",
+        "4111111111111111 4111111111111111", "+49 170 1234567", "tel (030) 123 4567", "call 030-1234-5678", "+1 (555) 010-9999", "2024-01-02", "v1.2.3", "é中", "\n", "id=12345678901234", "3.14", "kontakt: z@q.io.",
+    ]
+    return [(i, rng.choice((" ", ", ", "; ", "")).join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))) for i in range(400)] + [(900, None), (901, "")]
+
+
+def test_pii_training_counts_and_choice_of_spans_are_those_of_brute_force(spark, monkeypatch):
+    rows = awkward_personal_texts(3)
+    table = docs(spark, rows)
+    aside = {r["doc_id"]: r["a"] for r in table.select("doc_id", (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(pii.FOLDS)) == 0).alias("a")).collect()}
+    counts = [{}, {}]
+    for i, t in rows:
+        for k, kind in enumerate(pii.KINDS):
+            for _, _, code, label, _ in proposals_brute(t or "", kind)[1]:
+                if label is not None:
+                    n = counts[aside[i]].setdefault(code + (1 << (pii.N_FEATURES + k)), [0.0, 0.0])
+                    n[0], n[1] = n[0] + label, n[1] + 1 - label
+    given, boosted, thresholds = {}, pii.boosted, pii.thresholds
+    monkeypatch.setattr(pii, "boosted", lambda rows: given.setdefault("seen", rows) and boosted(rows))
+    monkeypatch.setattr(pii, "thresholds", lambda trees, rows, precision: given.setdefault("aside", rows) and thresholds(trees, rows, precision))
+    trees, least = pii.train(table)
+    for name, a in (("seen", False), ("aside", True)):
+        assert [r[0] for r in given[name]] == sorted(counts[a]), name
+        assert np.allclose([r[1:] for r in given[name]], [counts[a][k] for k in sorted(counts[a])]), name
+    assert any(v is not None for v in least.values())
+
+    # Low thresholds, so that overlapping proposals compete.
+    for model in ((trees, least), (trees, dict.fromkeys(pii.KINDS, -9.0)), (trees, {"email": -9.0, "ip": None, "card": 0.0, "phone": -1.0})):
+        got = {r["doc_id"]: r for r in pii.find_pii(table, model).collect()}
+        added = 0
+        for i, t in rows:
+            spans = []
+            for k, kind in enumerate(pii.KINDS):
+                base, more = proposals_brute(t or "", kind)
+                kept = []
+                if model[1][kind] is not None:
+                    score = lambda code: float(pii.tree_score(trees, np.array([code + (1 << (pii.N_FEATURES + k))]))[0])  # noqa: E731, B023
+                    for x in sorted((-score(code), s, e) for s, e, code, _, covered in more if not covered):
+                        if x[0] <= -model[1][kind] and not any(y[1] < x[2] and x[1] < y[2] for y in kept):
+                            kept.append(x)
+                added += len(kept)
+                spans += [(kind, s, e) for s, e in sorted([*base, *((s, e) for _, s, e in kept)])]
+            assert [tuple(x) for x in got[i]["spans"]] == spans, t
+        assert added > 0
+
+
+def test_pii_of_repeated_rows_and_clashing_names(spark):
+    table = spark.createDataFrame([(1, "a@b.cd", "x", "y", 7, 8), (1, "a@b.cd", "x", "y", 7, 8), (None, None, None, None, None, None)], "doc_id long, text string, base string, spans string, n_email int, n_ip int")
+    got = pii.find_pii(table).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_email"], r["n_ip"], [tuple(x) for x in r["spans"]]) for r in got] == [(None, 0, 0, []), *[(1, 1, 0, [("email", 0, 6)])] * 2]
+
+
 def test_pii_listing_matches_its_digest(spark):
     r = pii.find_pii(docs(spark, [(1, "q@r.st 1.2.3.4")])).select(F.sha2(pii.listed(F.col("base")), 256).alias("x")).first()
     assert r["x"] == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
