@@ -192,9 +192,15 @@ def looks_like_settings(x: Column) -> Column:
     return any_of(x, PREFERENCE_SIGNALS) | (any_of(x, TOGGLE_VERBS) & any_of(x, TOGGLE_NOUNS))
 
 
-def owner_of(proposal_id: Column, default: str = "local") -> Column:
-    """The account in ``account:token``; without a colon the default."""
-    return F.when(proposal_id.contains(":"), F.substring_index(proposal_id, ":", 1)).otherwise(F.lit(default))
+def proposal_id(account: Column, token: Column) -> Column:
+    """``ip_<account>_<token>``, the account with ``_`` for all but letters, digits, dash and underscore; without one ``local``."""
+    safe = F.regexp_replace(F.coalesce(missing(account), F.lit("local")), "[^a-zA-Z0-9_-]", "_")
+    return F.concat(F.lit("ip_"), safe, F.lit("_"), token)
+
+
+def owner_of(proposal_id: Column) -> Column:
+    """The account in a proposal's id: what stands between ``ip_`` and the last underscore; else empty."""
+    return F.coalesce(F.regexp_extract(proposal_id, r"(?s)^ip_(.*)_[^_]*$", 1), F.lit(""))
 
 
 def location(ref: Column, page: Column, question: Column) -> Column:

@@ -756,3 +756,172 @@ def q11_history(spark, sf_dir):
 def j12_best_previous(spark, sf_dir):
     """Each event against the best before it."""
     return matching.best_previous(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value").select("event_id", "best_previous", "best_score")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 3 THEN date_trunc('day', ts) END AS at FROM events""")
+def f7_times(spark, sf_dir):
+    """times as texts with and without a zone, days, and what is none."""
+    n, ts = F.col("event_id") % 6, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    told = F.when(n == 0, F.concat(ts, F.lit("Z"))).when(n == 1, ts).when(n == 2, F.concat(ts, F.lit("+02:00"))).when(n == 3, F.date_format("ts", "yyyy-MM-dd")).when(n == 4, F.concat(F.lit("at "), ts))
+    return table(spark, sf_dir, "events").select("event_id", scoring.iso_time(told).cast("timestamp_ntz").alias("at"))
+
+
+@query("""WITH e AS (SELECT event_id, unnest([0, 1, 2, 3, 4]) AS seq, value, event_type FROM events WHERE event_id % 4 < 3)
+    SELECT event_id, CASE WHEN seq = 3 THEN 2 ELSE seq END AS seq, CASE seq WHEN 0 THEN 'likes ' || event_type WHEN 1 THEN 'short' ELSE 'last' END AS text, CASE WHEN seq = 0 THEN 'goal' ELSE 'fact' END AS kind, CASE seq WHEN 0 THEN greatest(0, least(1, value / 100)) WHEN 1 THEN 0.5 ELSE 1 END::DOUBLE AS importance
+    FROM e WHERE seq IN (0, 1) OR (seq = 3 AND event_id % 4 = 2)""")
+def p18_candidates(spark, sf_dir):
+    """Facts in replies that events stand for: fenced, amid prose, with entries that are no facts."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    items = F.concat(F.lit('[{"text": " likes '), F.col("event_type"), F.lit('", "kind": " Goal", "importance": '), F.col("value").cast("decimal(20,10)") / 100, F.lit('}, {"text": "short", "kind": "wish", "importance": "x"}'))
+    more = F.when(n == 2, F.lit(', {"text": "last", "importance": 7}, 3, {"text": "abc"}')).otherwise(F.lit(', "none", {"text": null}'))
+    reply = F.concat(items, more, F.lit("]"))
+    told = F.when(n == 0, reply).when(n == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(n == 2, F.concat(F.lit("noted: "), reply, F.lit(" ok"))).otherwise(F.lit("[broken"))
+    return memory.candidates(e.select("event_id", told.alias("reply"))).select("event_id", "seq", "text", "kind", "importance")
+
+
+@query("""SELECT doc_id, left(regexp_replace(t, '[^A-Za-z0-9_.-]', '_', 'g'), 120) AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || '/' || source || ' é.' || repeat('x', (doc_id % 200)::INT) END AS t FROM documents) WHERE t <> ''
+    UNION ALL SELECT doc_id, 'local' FROM documents WHERE doc_id % 5 = 0""")
+def f12_safe_ids(spark, sf_dir):
+    n = F.col("doc_id")
+    told = F.when(n % 5 == 0, "").otherwise(F.concat("lang", F.lit("/"), "source", F.lit(" é."), F.repeat(F.lit("x"), (n % 200).cast("int"))))
+    return table(spark, sf_dir, "documents").select("doc_id", text.safe_id(told).alias("safe"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Dear ' || o_clerk || ', ' || o_orderstatus || '.' WHEN 1 THEN o_clerk || ' has ' ELSE 'for ' || o_clerk END AS note FROM (SELECT *, 'c' || o_custkey AS o_clerk FROM orders)""")
+def f16_rendered(spark, sf_dir):
+    """Templates filled in; one with a name that it may not use gives way to the default."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 3
+    template = F.when(n == 0, "Dear {who}, {status}.").when(n == 1, "{who} has {none}").otherwise("{secret} of {who}")
+    values = {"who": F.concat(F.lit("c"), F.col("o_custkey").cast("string")), "status": F.col("o_orderstatus"), "none": F.lit(None).cast("string")}
+    return o.select("o_orderkey", text.render(template, values, F.lit("for {who}")).alias("note"))
+
+
+BOXES_SQL = """r AS (SELECT l_orderkey, l_linenumber, l_quantity / 40 - 0.1 AS x, l_discount * 8 AS y, 0.3 + l_tax AS w, 0.25::DOUBLE AS h FROM lineitem),
+    c AS (SELECT *, least(greatest(x, 0), 1) AS x0, least(greatest(y, 0), 1) AS y0, least(greatest(x + w, 0), 1) AS x1, least(greatest(y + h, 0), 1) AS y1 FROM r)"""
+
+
+@query(f"""WITH {BOXES_SQL} SELECT l_orderkey, l_linenumber, round(x1 - x0, 6) AS w, round(y1 - y0, 6) AS h, round(greatest(0, least(x1, 0.6) - greatest(x0, 0.2)) * greatest(0, least(y1, 0.7) - greatest(y0, 0.3)), 6) AS shared,
+    round((greatest(x1, 0.6) - least(x0, 0.2)) * (greatest(y1, 0.7) - least(y0, 0.3)), 6) AS around, round(least(greatest(x + w / 2 - 0.25, 0.025), 0.975 - 0.5), 6) AS low FROM c""")
+def f24_boxes(spark, sf_dir):
+    """Rectangles of line items, cut, met and joined with another, and spans moved into bounds."""
+    from lodestone.functions import geometry as g
+
+    x, y, w = F.col("l_quantity") / 40 - 0.1, F.col("l_discount") * 8, F.col("l_tax") + 0.3
+    own, other = g.clamp(g.rect(x, y, w, F.lit(0.25))), g.rect(F.lit(0.2), F.lit(0.3), F.lit(0.4), F.lit(0.4))
+    both = g.union(own, other)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(own["w"], 6).alias("w"), F.round(own["h"], 6).alias("h"), F.round(g.overlap(own, other), 6).alias("shared"), F.round(both["w"] * both["h"], 6).alias("around"), F.round(g.bounded(x + w / 2, F.lit(0.5), 0.025, 0.975)["low"], 6).alias("low"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN '7' END AS first FROM events""")
+def f32_lists(spark, sf_dir):
+    n = F.col("event_id") % 4
+    told = F.when(n == 0, F.concat(F.lit('["'), "event_type", F.lit('", "b"]'))).when(n == 1, "[7]").when(n == 2, "[broken")
+    items = text.list_or_empty(told)
+    return table(spark, sf_dir, "events").select("event_id", F.size(items).alias("n"), F.get(items, F.lit(0)).alias("first"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'p. 3' WHEN 1 THEN 'page ' || o_custkey || ' no. ' || o_orderkey WHEN 2 THEN 'no. ' || o_orderkey ELSE '' END AS place FROM orders""")
+def f34_locations(spark, sf_dir):
+    n = F.col("o_orderkey") % 4
+    page, question = (F.concat(F.lit(w), F.col(c).cast("string")) for w, c in (("page ", "o_custkey"), ("no. ", "o_orderkey")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.location(F.when(n == 0, "p. 3").otherwise(""), F.when(n == 1, page), F.when(n < 3, question)).alias("place"))
+
+
+@query("""SELECT doc_id, doc_id % 6 IN (0, 3, 4) AS asks, (doc_id % 2 = 0 AND (length(text) >= 50 OR doc_id % 7 = 0)) AS actionable FROM documents""")
+def f35_signals(spark, sf_dir):
+    """Documents with words of a settings request put before them by rule."""
+    n = F.col("doc_id")
+    word = F.element_at(F.array(*map(F.lit, ("以后", "打开", "记忆", "打开历史", "讲题", "abc"))), (n % 6 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.concat(word, F.lit(" "), F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", text.looks_like_settings(F.col("t")).alias("asks"), text.actionable(n % 2 == 0, n % 7 == 0, F.col("text")).alias("actionable"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN 'uncertain' WHEN l_linestatus = 'F' THEN 'correct' ELSE 'uncertain' END AS mark,
+    CASE WHEN l_linenumber = 1 AND l_returnflag = 'R' THEN 0 WHEN l_linenumber = 2 THEN 3 WHEN l_linenumber = 3 THEN 1 WHEN l_linenumber = 4 THEN 12 ELSE 4 END AS lines FROM lineitem""")
+def f36_marks(spark, sf_dir):
+    """Marks of graded questions, and lines for answers."""
+    n, r = F.col("l_linenumber"), F.col("l_returnflag")
+    kind = F.when(n == 1, "选择题").when(n == 3, "口算题").when(n == 4, "作文题").otherwise("other")
+    options = F.when(r == "R", F.array(F.lit("A"))).otherwise(F.array().cast("array<string>"))
+    mark = labels.grade_mark(r != "N", F.when(F.col("l_linestatus") == "F", "correct").otherwise("odd"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mark.alias("mark"), labels.answer_lines(kind, options, F.when(n == 2, 3)).cast("int").alias("lines"))
+
+
+@query("""SELECT c_custkey, 'ip_' || s || '_t' || c_custkey AS id, s AS owner FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'local' ELSE regexp_replace(c_name || '/' || c_mktsegment, '[^a-zA-Z0-9_-]', '_', 'g') END AS s FROM customer)
+    UNION ALL SELECT c_custkey, c_name, '' FROM customer""")
+def f39_owners(spark, sf_dir):
+    """ids of proposals made and read, and ids that are none."""
+    c = table(spark, sf_dir, "customer")
+    made = c.select("c_custkey", text.proposal_id(F.when(F.col("c_custkey") % 9 > 0, F.concat("c_name", F.lit("/"), "c_mktsegment")), F.concat(F.lit("t"), F.col("c_custkey").cast("string"))).alias("id"))
+    return made.unionByName(c.select("c_custkey", F.col("c_name").alias("id"))).withColumn("owner", text.owner_of(F.col("id")))
+
+
+@query("""SELECT l_orderkey AS page, l_linenumber AS index, l_quantity, CASE WHEN o_orderpriority IS NOT NULL THEN o_orderstatus END AS verdict FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND l_linenumber = o_orderkey % 3 + 1""")
+def j10_graded(spark, sf_dir):
+    """Line items stand for regions, each order has a grade for one of them."""
+    regions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("index"), "l_quantity")
+    grades = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 3 + 1).alias("index"), F.col("o_orderstatus").alias("verdict"))
+    return matching.graded_regions(regions, grades).select("page", "index", "l_quantity", "verdict")
+
+
+@query(f"""WITH {FACTS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'corrected ' || id ELSE text END AS text, round(CASE WHEN id % 3 = 0 THEN -e[1] ELSE e[1] END, 6) AS first, CASE WHEN id % 3 = 0 THEN 0 ELSE age END AS age FROM facts""")
+def m5_corrected(spark, sf_dir):
+    """M5: corrected texts with their vectors."""
+    f = facts(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    better = f.where("id % 3 = 0").select("id", F.concat(F.lit("corrected "), F.col("id").cast("string")).alias("text"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    now = F.expr(NOW)
+    return state.replace_text(f, better, now).select("id", "text", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), scoring.age_days(F.col("updated_at"), now).alias("age"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) UNION ALL SELECT c_custkey + 1000000, c_mktsegment FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer)")
+def s1_shard(spark, sf_dir):
+    """Customers kept in a folder for each segment, appended to, and one segment read again."""
+    import uuid
+
+    from lodestone.operators.shared import shared_dir
+    from lodestone.sources import shards
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    shards.write_shards(c, root, "c_mktsegment")
+    shards.write_shards(c.withColumn("c_custkey", F.col("c_custkey") + 1000000), root, "c_mktsegment")
+    one = c.agg(F.min("c_mktsegment")).first()[0]
+    return shards.read_shard(spark, root, one, "c_mktsegment").select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT account_id, scope, max(n) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'local' ELSE c_mktsegment END AS account_id, CASE WHEN c_custkey % 3 = 0 THEN 'global' ELSE 's' || c_nationkey END AS scope, c_custkey AS n FROM customer) GROUP BY ALL""")
+def s6_rekeyed(spark, sf_dir):
+    """Profiles under a new key, the latest of those that clash."""
+    from lodestone.sources.shards import rekeyed
+
+    n = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.when(n % 5 > 0, F.col("c_mktsegment")).otherwise("").alias("account_id"), F.when(n % 3 > 0, F.concat(F.lit("s"), F.col("c_nationkey").cast("string"))).alias("scope"), n.alias("n"), n.alias("updated_at"))
+    return rekeyed(rows).select("account_id", "scope", "n")
+
+
+@query("""SELECT event_id, p AS part, p + 1 AS sequence_index, 'p' || event_id AS page_hint, CASE WHEN p = 1 THEN event_type END AS source FROM (SELECT event_id, event_type, unnest(range(event_id % 3))::INTEGER AS p FROM events)""")
+def s12_captures(spark, sf_dir):
+    """The captures that a batch's JSON lists; broken lists have none."""
+    from lodestone.sources.shards import capture_rows
+
+    n, e = F.col("event_id") % 3, F.col("event_id").cast("string")
+    one = lambda i, tail="": F.concat(F.lit(f'{{"sequence_index": {i}, "page_hint": "p'), e, F.lit('"'), F.lit(tail))
+    second = F.concat(one(2), F.lit(', "source": "'), F.col("event_type"), F.lit('"}'))
+    told = F.when(n == 0, "[]").when(n == 1, F.concat(F.lit("["), one(1, "}"), F.lit("]"))).otherwise(F.concat(F.lit("["), one(1, "}"), F.lit(", "), second, F.lit("]")))
+    return capture_rows(table(spark, sf_dir, "events").select("event_id", told.alias("capture_meta"))).select("event_id", "part", "sequence_index", "page_hint", "source")
+
+
+@query("""SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name})::VARCHAR AS value FROM customer""")
+def s13_json(spark, sf_dir):
+    from lodestone.sources.shards import json_rows
+
+    return json_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+
+
+@query("""SELECT event_id, ts FROM events WHERE event_id % 4 = 0 OR ts > TIMESTAMP '2024-01-15 00:00:00'""")
+def x7_live(spark, sf_dir):
+    """Commands that have not expired; those without a time never do."""
+    from lodestone.streaming.feeds import live
+
+    e = table(spark, sf_dir, "events").withColumn("expires_at", F.when(F.col("event_id") % 4 > 0, F.col("ts")))
+    return live(e, F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")).select("event_id", "ts")
