@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +16,76 @@ from lodestone.functions.scoring import cosine
 from lodestone.operators.shared import written
 
 
+#: Vectors of a side that a task holds at a time.
+BLOCK = 1024
+
+
+def products(q: pa.ChunkedArray, c: pa.ChunkedArray) -> np.ndarray:
+    """Cosines of all rows of two columns of vectors (arrays of doubles): 0 for zero vectors and for different lengths."""
+    q, c = (x.combine_chunks() for x in (q, c))
+    q_len, c_len = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (q, c))
+    out = np.zeros((len(q_len), len(c_len)))
+    for n in set(q_len.tolist()) & set(c_len.tolist()) - {0}:
+        at, there = np.flatnonzero(q_len == n), np.flatnonzero(c_len == n)
+        a, b = (x.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for x, k in ((q, at), (c, there)))
+        norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        out[np.ix_(at, there)] = np.nan_to_num(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0))
+    return out
+
+
+def blockwise(left: DataFrame, right: DataFrame, keys: list[str], by: tuple[str, str], f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``f`` on every block of the left rows of a key and every block of the right rows of the same key, a task for each two.
+
+    Blocks have about ``BLOCK`` rows, dealt by a hash of the columns ``by``, so a key with very many rows on either side is many
+    tasks. Rows with a null key meet nobody.
+    """
+    # Fresh names for the columns: both sides may come from one table.
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
+
+    def dealt(rows: DataFrame, id_col: str, other: DataFrame, mine: str, theirs: str) -> DataFrame:
+        sizes = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias(name))
+        both = rows.join(sizes(rows, "_mine"), keys).join(sizes(other, "_theirs"), keys)
+        return both.withColumn(mine, F.pmod(F.xxhash64(id_col), "_mine")).withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_theirs") - 1))).drop("_mine", "_theirs")
+
+    def met(x: pa.Table, y: pa.Table) -> pa.Table:
+        if x.num_rows and y.num_rows:
+            return f(x, y)
+        have = {**dict(zip(y.schema.names, y.schema.types, strict=True)), **dict(zip(x.schema.names, x.schema.types, strict=True))}
+        return pa.schema([(c, have.get(c, pa.float64())) for c in columns]).empty_table()
+
+    columns = [c.split()[0] for c in schema.split(", ")]
+    cell = [*keys, "_l", "_r"]
+    l, r = dealt(left, by[0], right, "_l", "_r"), dealt(right, by[1], left, "_r", "_l")
+    return l.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInArrow(met, schema)
+
+
 def nearest(candidates: DataFrame, stored: DataFrame, least: float = 0.90, *, keys: list[str] | None = None, most_pairs_broadcast: int = 2_000) -> DataFrame:
     """For each candidate (``cid, cvec``) the best stored vector (``id, vec, seq``): ``cid, id, sim``; no match, nulls.
 
     The first of equal similarities by ``seq`` wins, and only those over 0 and from ``least`` on count. With ``keys``
-    candidates meet stored vectors of the same key (an account) by an equi-join, which is how it scales. Without,
+    candidates meet stored vectors of the same key (an account), block by block, as products of matrices. Without,
     candidates are a small query set: their number is checked, and beyond the limit keys are required.
     """
+    by = [*(keys or []), "cid"]
     if keys:
-        pairs = candidates.join(stored, keys)
+        kinds = dict([*stored.dtypes, *candidates.dtypes])
+
+        def best_of(q: pa.Table, s: pa.Table) -> pa.Table:
+            sim = products(q["cvec"], s["vec"])
+            order = np.lexsort((s["seq"].to_numpy(),))
+            at = order[np.argmax(sim[:, order], axis=1)]  # the first of the best
+            top = sim[np.arange(len(at)), at]
+            keep, at = np.flatnonzero(top > 0), at[top > 0]
+            return pa.table({**{k: q[k].take(pa.array(keep)) for k in by}, **{k: s[k].take(pa.array(at)) for k in ("id", "seq")}, "sim": pa.array(top[keep])})
+
+        schema = ", ".join(f"{c} {kinds[c]}" for c in (*by, "id", "seq")) + ", sim double"
+        vectors = lambda df, v: df.where(F.col(v).isNotNull()).withColumn(v, F.col(v).cast("array<double>"))
+        scored = blockwise(vectors(candidates.select(*by, "cvec"), "cvec"), vectors(stored.select(*keys, "id", "seq", "vec"), "vec"), keys, ("cid", "id"), best_of, schema)
     else:
         if candidates.limit(most_pairs_broadcast + 1).count() > most_pairs_broadcast:
             raise ValueError("too many candidates to meet every stored vector; give keys")
         pairs = stored.join(F.broadcast(candidates))
-    by = [*(keys or []), "cid"]
-    scored = pairs.select(*by, "id", "seq", cosine(F.col("cvec"), F.col("vec")).alias("sim")).where(F.col("sim") > 0)
+        scored = pairs.select(*by, "id", "seq", cosine(F.col("cvec"), F.col("vec")).alias("sim")).where(F.col("sim") > 0)
     best = scored.groupBy(*by).agg(F.max_by(F.struct("id", "sim"), F.struct(F.col("sim"), -F.col("seq"))).alias("best"))
     hit = F.col("best.sim") >= least
     return candidates.select(*by).join(best, by, "left").select(*by, F.when(hit, F.col("best.id")).alias("id"), F.when(hit, F.col("best.sim")).alias("sim"))
@@ -164,14 +222,24 @@ def semantic_upsert(stored: DataFrame, candidates: DataFrame, account: str = "ac
     return old.groupBy(account).cogroup(new.groupBy(account)).applyInPandas(fold, schema)
 
 
+def similar_to_some(asked: DataFrame, stored: DataFrame, keys: list[str], least: float = 0.90) -> DataFrame:
+    """The rows of ``asked`` (``id, vec`` and keys) to which a row of ``stored`` with the same key and another id is within ``least``."""
+    kinds = dict(asked.dtypes)
+
+    def some(q: pa.Table, s: pa.Table) -> pa.Table:
+        ids = {x: k for k, x in enumerate({*q["id"].to_pylist(), *s["id"].to_pylist()})}
+        a, b = (np.array([ids[x] for x in t["id"].to_pylist()]) for t in (q, s))
+        hit = ((products(q["vec"], s["vec"]) >= least) & (a[:, None] != b[None, :])).any(axis=1)
+        return pa.table({c: q[c].filter(pa.array(hit)) for c in (*keys, "id")})
+
+    vectors = lambda df: df.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).select(*keys, "id", F.col("vec").cast("array<double>").alias("vec"))
+    found = blockwise(vectors(asked), vectors(stored), keys, ("id", "id"), some, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "id")))
+    return asked.join(found.distinct(), [*keys, "id"], "left_semi")
+
+
 def exists_similar(df: DataFrame, keys: list[str], least: float = 0.90) -> DataFrame:
-    """Rows (``id, vec``) with another row of the same key within ``least``: the ids."""
-    a, b = df.select(*keys, "id", "vec"), df.select(*keys, F.col("id").alias("_id"), F.col("vec").alias("_vec"))
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("id") != F.col("_id"), cosine(F.col("vec"), F.col("_vec")) >= least]
-    condition: Column = on[0]
-    for x in on[1:]:
-        condition = condition & x
-    return a.alias("a").join(b.alias("b"), condition, "left_semi")
+    """Rows (``id, vec``) with another row of the same key within ``least``: the ids and vectors."""
+    return similar_to_some(df.select(*keys, "id", "vec"), df, keys, least)
 
 
 def best_previous(frames: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:

@@ -9,14 +9,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
 from lodestone.functions.text import json_array, kind, number_or, strip
 from lodestone.operators.filters import sound_vectors, without
-from lodestone.operators.matching import semantic_upsert
+from lodestone.operators.matching import products, semantic_upsert, similar_to_some
 from lodestone.operators.ranking import clamp
 from lodestone.operators.state import prune
 
@@ -75,23 +74,13 @@ def retrieve_turns(facts: DataFrame, turns: DataFrame, now: Column, *, k: int =
     def near(q: pa.Table, f: pa.Table) -> pa.Table:
         if not q.num_rows or not f.num_rows:
             return pa.table({"turn_id": q["turn_id"][:0], "account_id": q["account_id"][:0], "id": f["id"][:0], "sim": pa.array([], pa.float64())})
-        base, parts = f["rest"].to_numpy(), []
-        q_len, f_len = (pc.list_value_length(t).combine_chunks().to_numpy() for t in (q["query"], f["vec"]))
-        for n in np.unique(q_len):
-            at, there = np.flatnonzero(q_len == n), np.flatnonzero(f_len == n)
-            sim = np.zeros((len(at), f.num_rows))
-            if len(there):
-                a, b = (t.take(pa.array(i)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(i), n) for t, i in ((q["query"], at), (f["vec"], there)))
-                norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
-                sim[:, there] = np.nan_to_num(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0))
-            score = scoring.W_SEMANTIC * np.clip(sim, 0, 1) + base
-            most = min(k, f.num_rows)
-            # Rounding moves a score by half a unit of the fourth place at most.
-            may = score >= np.partition(score, f.num_rows - most, axis=1)[:, [f.num_rows - most]] - 2e-4
-            i, j = np.nonzero(may)
-            ids = pa.array(at[i])
-            parts.append(pa.table({"turn_id": q["turn_id"].take(ids), "account_id": q["account_id"].take(ids), "id": f["id"].take(pa.array(j)), "sim": pa.array(sim[i, j])}))
-        return pa.concat_tables(parts)
+        sim = products(q["query"], f["vec"])
+        score = scoring.W_SEMANTIC * np.clip(sim, 0, 1) + f["rest"].to_numpy()
+        most = min(k, f.num_rows)
+        # Rounding moves a score by half a unit of the fourth place at most.
+        i, j = np.nonzero(score >= np.partition(score, f.num_rows - most, axis=1)[:, [f.num_rows - most]] - 2e-4)
+        turns = pa.array(i)
+        return pa.table({"turn_id": q["turn_id"].take(turns), "account_id": q["account_id"].take(turns), "id": f["id"].take(pa.array(j)), "sim": pa.array(sim[i, j])})
 
     keys = ["account_id", "block"]
     found = asked.groupBy(keys).cogroup(held.groupBy(keys)).applyInArrow(near, schema)
@@ -156,7 +145,8 @@ def restorable(facts: DataFrame, wanted: DataFrame, *, least: float = 0.90, cap:
     live = facts.where("status = 'active'")
     full = live.groupBy("account_id").agg((F.count("*") >= cap).alias("full"))
     asked = wanted.select("id").distinct().join(facts, "id", "left")
-    near = asked.alias("w").join(live.alias("l"), (F.col("w.account_id") == F.col("l.account_id")) & (F.col("w.id") != F.col("l.id")) & (scoring.cosine(F.col("w.embedding"), F.col("l.embedding")) >= least), "left_semi").select("id", F.lit(True).alias("near"))
+    vec = F.col("embedding").alias("vec")
+    near = similar_to_some(asked.select("account_id", "id", vec), live.select("account_id", "id", vec), ["account_id"], least).select("id", F.lit(True).alias("near"))
     out = asked.select("id", "account_id", "status").join(full, "account_id", "left").join(near, "id", "left")
     verdict = F.when(F.col("status").isNull(), "missing").when(F.col("status") == "active", "ok").when(F.col("full"), "capacity").when(F.col("near"), "duplicate").otherwise("ok")
     return out.select("id", verdict.alias("verdict"))

@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,76 @@ def test_upsert_keeps_stale_vectors(spark):
     assert got == {"m": ("again", 0.9, "update"), "z": ("other", 0.2, "add"), "w": ("first", 0.4, "add")}
 
 
+def vectors_by_account(rng, n=70):
+    near = lambda v: [x + rng.gauss(0, 0.15) for x in v]
+    base = [[1.0, 0.2, -0.3, 0.0], [0.1, 1.0, 0.4, 0.2], [-0.5, 0.1, 1.0, 0.3], [0.7, 0.7, 0.0, -0.2], [0.0, -0.4, 0.2, 1.0]]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, near(rng.choice(base))) for i in range(n)]
+    return [*rows, ("a", n, [0.0] * 4), ("a", n + 1, [1.0]), ("a", n + 2, None), ("a", n + 3, []), ("b", n + 4, rows[0][2]), ("b", n + 5, rows[0][2]), ("c", n + 6, rows[0][2])]
+
+
+def cosine_brute(a, b):
+    norm = math.sqrt(sum(x * x for x in a or []) * sum(x * x for x in b or []))
+    return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm and len(a) == len(b) else 0.0
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_blocks_of_vectors_find_what_pairs_find(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
+    rng = random.Random(5)
+    stored, asked = vectors_by_account(rng), [(a, 1000 + i, v) for a, i, v in vectors_by_account(rng)]
+    table = lambda rows: spark.createDataFrame(rows, "account_id string, id long, vec array<float>")
+    stored, asked = ([(a, i, None if v is None else [float(np.float32(x)) for x in v]) for a, i, v in rows] for rows in (stored, asked))
+    got = matching.nearest(table(asked).toDF("account_id", "cid", "cvec"), table(stored).withColumn("seq", F.col("id")), 0.9, keys=["account_id"])
+    want = {}
+    for a, c, v in asked:
+        best = max(((cosine_brute(v, w), -i) for b, i, w in stored if a is not None and a == b and w is not None and v is not None), default=(0.0, 0))
+        want[c] = (-best[1], best[0]) if best[0] >= 0.9 else (None, None)
+    assert {r["cid"]: (r["id"], r["sim"] and pytest.approx(r["sim"])) for r in got.collect()} == want and sum(i is not None for i, _ in want.values()) > 20
+    alone = {i for a, i, v in stored if any(a is not None and a == b and i != j and cosine_brute(v or [], w or []) >= 0.97 for b, j, w in stored)}
+    assert {r["id"] for r in matching.exists_similar(table(stored), ["account_id"], 0.97).collect()} == alone and len(alone) > 20
+
+
+def test_turns_are_retrieved_as_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(memory, "BLOCK_TURNS", 5)
+    rng = random.Random(6)
+    schema = "id string, account_id string, kind string, text string, embedding array<double>, importance double, status string, use_count long, updated_at timestamp"
+    facts = [(f"f{i}", a, "fact", f"t{i}", v, rng.random(), rng.choice(["active", "active", "superseded"]), i % 9, datetime(2024, 1, 1 + i % 28)) for a, i, v in vectors_by_account(rng)]
+    turns = [(i, a, v) for a, i, v in vectors_by_account(random.Random(7), 25)] + [(900, "nobody", [1.0] * 4)]
+    now, gone = F.lit("2024-02-01").cast("timestamp"), spark.createDataFrame([(0, "f1"), (3, "f2"), (5, "f3")], "turn_id long, id string")
+    table = spark.createDataFrame(facts, schema)
+    got = memory.retrieve_turns(table, spark.createDataFrame(turns, "turn_id long, account_id string, query array<double>"), now, k=4, min_score=0.3, exclude=gone).collect()
+    for t, a, v in turns:
+        mine = sorted((r for r in got if r["turn_id"] == t), key=lambda r: r["rank"])
+        want = [] if not v or a is None else memory.retrieve(table, v, now, account=a, k=4, min_score=0.3, exclude=gone.where(F.col("turn_id") == t).select("id")).collect()
+        want = sorted(want, key=lambda r: (-r["score"], r["id"]))
+        assert [(r["id"], r["score"], r["semantic"]) for r in mine] == [(r["id"], r["score"], r["semantic"]) for r in want], t
+    assert len(got) > 60
+
+
+def test_upsert_is_the_fold_one_by_one(spark):
+    rng = random.Random(8)
+    old = [(a or "a", f"s{i:03}", "fact", f"t{i}", v or [1.0], rng.random()) for a, i, v in vectors_by_account(rng, 30)]
+    new = [(a or "b", i, f"n{i:03}", "goal", f"u{i}", v or [], rng.random()) for a, i, v in vectors_by_account(rng, 50)]
+    want = {}
+    for account in {r[0] for r in [*old, *new]}:
+        rows = [[r[1], r[3], r[4], r[4], r[5], "keep"] for r in sorted(old, key=lambda r: r[1]) if r[0] == account]
+        for _, _, i, _, t, v, importance in sorted((r for r in new if r[0] == account), key=lambda r: r[1]):
+            sims = [cosine_brute(v, r[2]) for r in rows]
+            best = max(range(len(sims)), key=lambda k: (sims[k], -k), default=None)
+            if best is not None and sims[best] > 0 and sims[best] >= 0.95:
+                rows[best][1], rows[best][4] = t, max(rows[best][4], importance)
+                rows[best][5] = "add" if rows[best][5] == "add" else "update"
+            else:
+                rows.append([i, t, v, v, importance, "add"])
+        want |= {(account, r[0]): (r[1], r[4], r[5]) for r in rows}
+    stored = spark.createDataFrame(old, "account_id string, id string, kind string, text string, vec array<double>, importance double")
+    offered = spark.createDataFrame(new, "account_id string, seq long, id string, kind string, text string, vec array<double>, importance double")
+    assert {(r["account_id"], r["id"]): (r["text"], r["importance"], r["op"]) for r in matching.semantic_upsert(stored, offered, least=0.95).collect()} == want
+    assert {op for _, _, op in want.values()} == {"keep", "update", "add"}
+    with pytest.raises(Exception, match="prune it"):
+        matching.semantic_upsert(stored, offered, cap=3).collect()
+
+
 def test_excluding_does_not_refill(spark):
     facts = spark.createDataFrame([(c, "a", "fact", c, [1.0, x], 0.5, "active", 0, datetime(2024, 1, 1)) for c, x in (("A", 0.0), ("B", 0.5), ("C", 1.0))], "id string, account_id string, kind string, text string, embedding array<double>, importance double, status string, use_count long, updated_at timestamp")
     got = memory.retrieve(facts, [1.0, 0.0], F.lit("2024-01-01").cast("timestamp"), k=2, exclude=spark.createDataFrame([("A",)], "id string"))
