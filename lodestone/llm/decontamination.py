@@ -44,14 +44,15 @@ def occurrences_of(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def windows(lists: DataFrame, frequency: DataFrame, size: int, rarest: int) -> DataFrame:
     """``item, start, length, anchors``: the windows of test texts that may occur, each with its rarest words.
 
-    ``anchors`` is an array of ``n, s, term``, rarest first, ties to the earlier position s in the test text. A text shorter
-    than a window is one. Windows with a term that occurs nowhere are left out.
+    ``anchors`` is an array of ``n, m, s, term``, rarest first. Of equally rare ones those come first whose position s in the test
+    text has the least remainder m by ``size``: any two neighbouring windows then mostly have the same, so there are few. A text
+    shorter than a window is one. Windows with a term that occurs nowhere are left out.
     """
     placed = lists.select("item", F.posexplode("words").alias("s", "term")).join(frequency, "term", "left")
     placed = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("s", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("w"))
     length = F.least(F.lit(size), F.size("w"))
     slices = placed.select("item", length.alias("length"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("start"))
-    ranked = F.array_sort(F.transform(F.slice("w", F.col("start") + 1, F.col("length")), lambda x: F.struct(x["n"].alias("n"), x["s"].alias("s"), x["term"].alias("term"))))
+    ranked = F.array_sort(F.transform(F.slice("w", F.col("start") + 1, F.col("length")), lambda x: F.struct(x["n"].alias("n"), (x["s"] % size).alias("m"), x["s"].alias("s"), x["term"].alias("term"))))
     found = slices.select("item", "start", "length", ranked.alias("r")).where(F.col("r")[0]["n"] > 0)
     return found.select("item", "start", "length", F.slice("r", 1, rarest).alias("anchors"))
 

@@ -169,6 +169,14 @@ def test_decontamination_of_nothing_and_by_nothing(spark):
         assert [(r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in got] == [(2, 0, 0, [], False), (0, 0, 0, [], False)]
 
 
+def test_windows_of_equally_rare_words_share_anchors(spark):
+    lists = spark.createDataFrame([(1, ["the"] * 200), (2, [f"w{i}" for i in range(200)])], "item long, words array<string>")
+    frequency = lists.select(F.explode("words").alias("term")).distinct().withColumn("n", F.lit(7).cast("long"))
+    found = decontamination.windows(lists, frequency, 10, 2)
+    assert found.count() == 2 * 191
+    assert {r["item"]: r["n"] for r in found.select("item", F.explode("anchors.s").alias("s")).groupBy("item").agg(F.count_distinct("s").alias("n")).collect()} == {1: 40, 2: 40}
+
+
 def test_decontamination_stays_in_the_jvm(spark):
     rows, items = leaks(random.Random(9))
     out = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
@@ -187,7 +195,7 @@ def test_proximity_matches(spark, within):
         for a in range(max(1, len(ws) - 9)):
             window = ws[a : a + 10]
             if all(n[w] for w in window):
-                rare = list(dict.fromkeys(w for _, _, w in sorted((n[w], a + i, w) for i, w in enumerate(window))))[:3]
+                rare = list(dict.fromkeys(w for _, _, _, w in sorted((n[w], (a + i) % 10, a + i, w) for i, w in enumerate(window))))[:3]
                 for key, d in key_words.items():
                     want |= {(key, item, a, p) for p, w in enumerate(d) if w == rare[0] and all(r in d[max(0, p - within) : p + within + 1] for r in rare[1:])}
     got = decontamination.proximity_matches(texts, lists, within=within).collect()

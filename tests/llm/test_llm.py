@@ -162,6 +162,14 @@ def test_sentencepiece_of_nothing_and_of_repeats(spark):
     assert sentencepiece_fst.encode(table.limit(0), model).count() == 0 and sentencepiece_fst.decode(sentencepiece_fst.encode(table, model), model).count() == 3
 
 
+def test_decoding_of_null_ids(spark):
+    table = spark.createDataFrame([(1, None, "x"), (None, "Some text", "y"), (None, None, None), (2, "", "z")], "doc_id long, text string, source string")
+    model = sentencepiece_fst.model_bytes(PIECES)
+    encoded = sentencepiece_fst.encode(table, model).drop("text")
+    got = sentencepiece_fst.decode(encoded, model).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, None), (None, "Some text"), (None, None), (2, "")], key=repr)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     ordinary = ["meadow", "river", "stone", "window", "paper", "garden", "silver", "morning", "letter", "bridge"]
@@ -545,6 +553,16 @@ def test_line_dedup_of_a_common_passage(spark):
     assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect() if r["dropped"]} == want
 
 
+def test_line_dedup_of_clashing_names_and_repeated_rows(spark):
+    rows = [(1, "one line here\nanother", 7, "x", 9), (1, "one line here\nanother", 7, "x", 9), (2, "another\none line here", 8, None, None), (None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, dropped string, h long")
+    got = line_dedup.dedup_lines(table)
+    assert got.columns == ["doc_id", "text", "h", "n_lines", "n_kept", "dropped"]
+    # Rows that repeat an id share places, so what stays of one stays of the other.
+    assert sorted(((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_kept"], r["dropped"]) for r in got.collect()), key=repr) == sorted(
+        [(0, None, 1, 1, []), (1, rows[0][1], 2, 2, []), (1, rows[0][1], 2, 2, []), (2, "", 2, 0, [0, 1])], key=repr)
+
+
 def just_alike(rng, base, vocabulary):
     """A line like ``base`` with a similarity of 0.80 to 0.83."""
     runs = lambda words: {t[i : i + 8] for t in [" ".join(words)] for i in range(len(t) - 7)}
