@@ -23,16 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The tables that ``written`` made, by application.
+MADE: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lodestone_path = path
     return out
 
 
+def forget_written(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` made for this application; how many there were.
+
+    For long sessions, between jobs: results that are still to be read from such tables must have been written elsewhere.
+    """
+    paths = MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -253,6 +253,14 @@ def test_shards(spark, tmp_path):
     assert shards.backup_then_truncate(spark, {"t": f"{tmp_path}/t"}, f"{tmp_path}/b", dry_run=True) == {"t": 5}
 
 
+def test_intermediate_tables_can_be_deleted(spark):
+    from lodestone.operators import shared
+
+    table = shared.written(spark.range(3), "some")
+    assert table.count() == 3 and shared.exists(spark, table.lodestone_path)
+    assert shared.forget_written(spark) >= 1 and not shared.exists(spark, table.lodestone_path) and shared.forget_written(spark) == 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
