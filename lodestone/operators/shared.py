@@ -43,10 +43,22 @@ def forget_written(spark: SparkSession) -> int:
 
     For long sessions, between jobs: results that are still to be read from such tables must have been written elsewhere.
     """
-    paths = MADE.pop(spark.sparkContext.applicationId, [])
+    return forget_paths(spark, MADE.pop(spark.sparkContext.applicationId, []))
+
+
+def made_so_far(spark: SparkSession) -> list[str]:
+    """Where the tables are that ``written`` made for this application."""
+    return list(MADE.get(spark.sparkContext.applicationId, []))
+
+
+def forget_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes some of the tables that ``written`` made; how many."""
+    mine = MADE.get(spark.sparkContext.applicationId, [])
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in mine:
+            mine.remove(path)
     return len(paths)
 
 
