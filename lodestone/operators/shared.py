@@ -23,16 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark deletes what a query shuffled as soon as the query has ended, and not when the driver next collects garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The tables that ``written`` made, by application.
 MADE: dict[str, list[str]] = {}
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing."""
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors lose nothing.
+
+    What was shuffled on the way is deleted at once, so a chain of such tables needs the disk of its largest step.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.lodestone_path = path
     return out
