@@ -33,12 +33,12 @@ def simhash(text: Column, gram: int = 3) -> Column:
     total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + f(x))
     some = (1 << LANE) - 1
 
-    def digest(code: Column, i: Column) -> Column:
-        utf8 = F.encode(F.decode(F.substring(code, i, F.lit(4 * gram)), "UTF-32"), "UTF-8")
-        return F.conv(F.substring(F.md5(utf8), 1, BITS // 4), 16, 10).cast("long")
-
-    def grams(code: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.octet_length(code) - (4 * gram - 1), F.lit(4)), lambda i: digest(code, i))
+    def grams(code: Column, width: int) -> Column:
+        """Hashes of the grams in a text's bytes with ``width`` for a character: one for ASCII, four for UTF-32."""
+        starts = F.sequence(F.lit(1), F.octet_length(code) - (width * gram - 1), F.lit(width))
+        part = lambda i: F.substring(code, i, F.lit(width * gram))
+        utf8 = part if width == 1 else lambda i: F.encode(F.decode(part(i), "UTF-32"), "UTF-8")
+        return F.transform(starts, lambda i: F.conv(F.substring(F.md5(utf8(i)), 1, BITS // 4), 16, 10).cast("long"))
 
     def counters(hashes: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(1), F.size(hashes), F.lit(some)), lambda at: F.slice(hashes, at, F.lit(some)))
@@ -53,7 +53,9 @@ def simhash(text: Column, gram: int = 3) -> Column:
 
         return let(counters(hashes), lambda sums: total(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: bit(b, sums)))
 
-    return F.when(F.length(text) >= gram, let(F.encode(text, "UTF-32"), lambda code: let(grams(code), votes)))
+    plain = let(F.encode(text, "UTF-8"), lambda code: grams(code, 1))
+    hashes = F.when(F.octet_length(text) == F.length(text), plain).otherwise(let(F.encode(text, "UTF-32"), lambda code: grams(code, 4)))
+    return F.when(F.length(text) >= gram, let(hashes, votes))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -119,13 +119,18 @@ HEAD_SHARE = 0.72
 def head_tail(x: Column, most: int | Column) -> Column:
     """At most ``most`` characters: 72 % of what a note of the omission leaves from the head, the rest from the tail."""
     most = F.lit(most) if isinstance(most, int) else most
-    text = strip(F.coalesce(x, F.lit("")))
-    marker = F.concat(F.lit(OMITTED[0]), (F.length(text) - most).cast("string"), F.lit(OMITTED[1]))
-    room = most - F.length(marker)
-    head = F.greatest(F.lit(1), F.floor(room * HEAD_SHARE).cast("int"))
-    tail = F.greatest(F.lit(0), room - head)
-    cut = F.concat(F.regexp_replace(F.substring(text, F.lit(1), head), f"{SPACE}+$", ""), marker, F.regexp_replace(F.right(text, tail), f"^{SPACE}+", ""))
-    return F.when(F.length(text) <= most, text).when((most <= 20) | (room <= 0), F.substring(text, F.lit(1), most)).otherwise(cut)
+
+    def cut(p: Column) -> Column:
+        text, size = p["text"], p["most"]
+        marker = F.concat(F.lit(OMITTED[0]), (F.length(text) - size).cast("string"), F.lit(OMITTED[1]))
+        room = size - F.length(marker)
+        head = F.greatest(F.lit(1), F.floor(room * HEAD_SHARE).cast("int"))
+        tail = F.greatest(F.lit(0), room - head)
+        both = F.concat(F.regexp_replace(F.substring(text, F.lit(1), head), f"{SPACE}+$", ""), marker, F.regexp_replace(F.right(text, tail), f"^{SPACE}+", ""))
+        return F.when(F.length(text) <= size, text).when((size <= 20) | (room <= 0), F.substring(text, F.lit(1), size)).otherwise(both)
+
+    # Bound as a variable, the text is stripped once.
+    return F.transform(F.array(F.struct(strip(F.coalesce(x, F.lit(""))).alias("text"), most.cast("int").alias("most"))), cut)[0]
 
 
 # The context's limit in tokens and what of it is kept free, the fewest characters that a text is cut to and those it is
@@ -158,9 +163,9 @@ def fit_to_budget(df: DataFrame, name: str, count: Callable[[Column], Column], b
         out = out.withColumn("_on", F.coalesce(F.col("_on") & (n > budget) & (F.length(x) > floor), F.lit(False)))
         ratio = F.lit(float(budget)) / F.greatest(n, F.lit(1))
         chars = F.least(F.greatest(F.lit(floor), F.floor(F.length(x) * ratio * SHORTER).cast("int")), F.length(x) - 1)
-        out = out.withColumn(name, F.when(F.col("_on"), marked(head_tail(x, chars))).otherwise(x))
-        if k + 1 < rounds:
-            out = out.withColumn("_n", count(x).cast("long"))
+        out = out.withColumn(name, F.when(F.col("_on"), F.transform(F.array(head_tail(x, chars)), marked)[0]).otherwise(x))
+        if k + 1 < rounds:  # what was not cut is not counted again
+            out = out.withColumn("_n", F.when(F.col("_on"), count(x).cast("long")).otherwise(n))
     return out.drop("_n", "_on")
 
 
