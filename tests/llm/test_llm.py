@@ -698,7 +698,7 @@ def test_positions_are_those_of_the_schedule_slot_by_slot(spark, size):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):
