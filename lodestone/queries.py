@@ -151,9 +151,18 @@ def q12_restorable(spark, sf_dir):
     return memory.restorable(f, f.select((F.col("id") * 2).alias("id")), least=0.3, cap=300)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FACTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY id) AS k FROM facts WHERE status <> 'active'),
+    s AS (SELECT n.id AS cid, arg_max(f.id, {COS_SQL.format("n.e", "f.e")}) AS id, max({COS_SQL.format("n.e", "f.e")}) AS sim FROM n JOIN facts f ON f.account_id = n.account_id AND f.status = 'active' GROUP BY ALL),
+    c AS (SELECT x.id AS cid, list({{'sim': {COS_SQL.format("x.e", "y.e")}, 'o': -y.id}}) AS others FROM n x JOIN n y ON x.account_id = y.account_id AND y.k < x.k GROUP BY ALL),
+    walk AS (SELECT DISTINCT account_id, 0::BIGINT AS k, []::BIGINT[] AS added, NULL::BIGINT AS cid, NULL::BIGINT AS target FROM n
+        UNION ALL SELECT account_id, k, CASE WHEN target = cid THEN list_append(added, cid) ELSE added END, cid, target
+          FROM (SELECT account_id, k, added, cid, CASE WHEN greatest(coalesce(b.sim, 0), coalesce(sim, 0)) < 0.3 THEN cid WHEN coalesce(b.sim, 0) > coalesce(sim, 0) THEN -b.o ELSE id END AS target
+            FROM (SELECT w.account_id, n.k, w.added, n.id AS cid, s.id, s.sim, list_max(list_filter(coalesce(c.others, []), lambda x: list_contains(w.added, -x.o))) AS b FROM walk w JOIN n ON n.account_id = w.account_id AND n.k = w.k + 1 LEFT JOIN s ON s.cid = n.id LEFT JOIN c ON c.cid = n.id))),
+    u AS (SELECT w.target AS id, arg_max(n.text, w.k) AS text, max(n.importance) AS importance, bool_or(w.target = w.cid) AS own FROM walk w JOIN n ON n.id = w.cid GROUP BY w.target)
+    SELECT f.account_id, f.id::VARCHAR AS id, coalesce(u.text, f.text) AS text, greatest(f.importance, coalesce(u.importance, f.importance)) AS importance, CASE WHEN u.id IS NULL THEN 'keep' WHEN own THEN 'add' ELSE 'update' END AS op
+    FROM facts f LEFT JOIN u ON u.id = f.id WHERE f.status = 'active' OR own""")
 def m3_semantic_upsert(spark, sf_dir):
-    """M3 Q4: retired facts offered again to the active ones of their account; depends on order."""
+    """M3 Q4: retired facts offered again to the active ones of their account, in order."""
     f = facts(spark, sf_dir).withColumn("vec", F.col("embedding").cast("array<double>")).withColumn("id", F.col("id").cast("string"))
     new = f.where("status <> 'active'").withColumn("seq", F.col("id").cast("long"))
     return matching.semantic_upsert(f.where("status = 'active'"), new, least=0.3).select("account_id", "id", "text", "importance", "op")
