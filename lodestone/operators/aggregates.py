@@ -31,9 +31,24 @@ def profiles(events: DataFrame, at: str = "created_at") -> DataFrame:
 
 
 def progress(df: DataFrame, done: Column, ms: Column, *keys: str) -> DataFrame:
-    """``done, total, avg_ms`` and ``eta_ms``: what is left times the average, rounded."""
-    out = df.groupBy(*keys).agg(F.count_if(done).alias("done"), F.count("*").alias("total"), F.avg(F.when(done, ms)).alias("avg_ms"))
-    return out.withColumn("eta_ms", F.round((F.col("total") - F.col("done")) * F.col("avg_ms")).cast("long"))
+    """``done, total, avg_ms`` and ``eta_ms``: what is left times the average, halves rounded away from zero.
+
+    A sum of doubles depends on the order of its rows, and a half then falls to either side. So times are added and divided as
+    decimals of six places; only a group with times that are no such decimals is added in doubles.
+    """
+    exact = ms.try_cast("decimal(20,6)")
+    out = df.groupBy(*keys).agg(
+        F.count_if(done).alias("done"), F.count("*").alias("total"), F.avg(F.when(done, ms)).alias("_avg"), F.count(F.when(done, ms)).alias("_n"),
+        F.sum(F.when(done, exact)).alias("_sum"), F.bool_and(F.when(done, exact.cast("double").eqNullSafe(ms.cast("double")))).alias("_exact"),
+    )
+    own = F.col("_exact") & F.col("_sum").isNotNull()
+    out = out.withColumn("avg_ms", F.when(own, F.col("_sum").cast("double") / F.col("_n")).otherwise(F.col("_avg"))).withColumn("_left", F.col("total") - F.col("done"))
+    # In millionths: (2 * left * sum + n) div (2 * n) is left * sum / n, rounded.
+    millionths = F.abs(F.col("_sum") * 1000000).cast("decimal(36,0)")
+    halves, whole = millionths * (F.col("_left") * 2) + F.col("_n") * 1000000, F.col("_n") * 2000000
+    rounded = F.call_function("div", halves, whole.cast("decimal(38,0)")) * F.signum(F.col("_sum").cast("double")).cast("long")
+    eta = F.when(own, rounded).otherwise(F.round(F.col("_left") * F.col("_avg")).try_cast("long"))
+    return out.withColumn("eta_ms", eta).select(*keys, "done", "total", "avg_ms", "eta_ms")
 
 
 def queue_eta(ahead: Column, avg_ms: Column) -> Column:

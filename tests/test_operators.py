@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import hashes
+from lodestone.operators import aggregates as agg
 from lodestone.operators import layout, matching, ranking, state
 from lodestone.plans import memory, study
 from lodestone.sources import shards
@@ -389,3 +390,14 @@ def test_short_questions_go_by_picture_and_place(spark):
         more.append((rng.choice("st"), n, stem, crop ^ sum(1 << rng.randrange(60) for _ in range(rng.randrange(5))), box(round(rng.random() * 0.3, 3), round(rng.random() * 0.3, 3))))
     assert keep(more) == questions_brute(more) and len(keep(more)) < 200
     assert study.illustrated_question_set(spark.createDataFrame([], QUESTIONS), ["s"], ["n"]).count() == 0
+
+
+def test_progress_does_not_depend_on_the_order_of_rows(spark):
+    schema = "k string, done boolean, ms double"
+    # Ten times 0.1 are less than 1 in doubles, and 1.5 is a half.
+    rows = [("a", True, 0.1)] * 10 + [("a", False, 9.0)] * 15 + [("b", True, x) for x in (0.1, 0.2, 0.3, 0.6, 0.7, 1e9, 0.4, 0.2)] + [("b", False, None)] * 4 + [("c", False, 1.0), ("d", True, float("nan")), ("e", True, -2.5), ("e", False, 0.0), ("f", True, None), ("f", True, 3.0), ("f", False, 1.0)]
+    want = {"a": (10, 25, 0.1, 2), "b": (8, 12, 125000000.3125, 500000001), "c": (0, 1, None, None), "e": (1, 2, -2.5, -3), "f": (2, 3, 3.0, 3)}
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = {r["k"]: tuple(r)[1:] for r in agg.progress(spark.createDataFrame(rows, schema).repartition(seed + 1), F.col("done"), F.col("ms"), "k").collect()}
+        assert {k: v for k, v in got.items() if k != "d"} == want
