@@ -401,3 +401,16 @@ def test_progress_does_not_depend_on_the_order_of_rows(spark):
         random.Random(seed).shuffle(rows)
         got = {r["k"]: tuple(r)[1:] for r in agg.progress(spark.createDataFrame(rows, schema).repartition(seed + 1), F.col("done"), F.col("ms"), "k").collect()}
         assert {k: v for k, v in got.items() if k != "d"} == want
+
+
+def test_accounts_of_the_joins_grow_with_the_table(spark):
+    """An account is a seventh of the facts, not a block of 400; the rows are those of brute force."""
+    sf = "/root/testdata/sf0.001"
+    vec = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    cos = lambda a, b: float(vec[a] @ vec[b] / (np.linalg.norm(vec[a]) * np.linalg.norm(vec[b])))
+    mates = {a: [b for b in vec if b % 7 == a % 7 and b != a] for a in vec}
+    live = lambda a: a % 11 != 3
+    q = entry.queries()
+    near = {r["cid"]: (r["account_id"], r["id"]) for r in q["j3_nearest"](spark, sf).collect()}
+    best = {a: max((b for b in mates[a] if live(b)), key=lambda b, a=a: cos(a, b)) for a in vec if not live(a)}
+    assert near == {a: (str(a % 7), b if cos(a, b) >= 0.3 else None) for a, b in best.items()}
