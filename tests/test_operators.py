@@ -414,3 +414,4 @@ def test_accounts_of_the_joins_grow_with_the_table(spark):
     near = {r["cid"]: (r["account_id"], r["id"]) for r in q["j3_nearest"](spark, sf).collect()}
     best = {a: max((b for b in mates[a] if live(b)), key=lambda b, a=a: cos(a, b)) for a in vec if not live(a)}
     assert near == {a: (str(a % 7), b if cos(a, b) >= 0.3 else None) for a, b in best.items()}
+    assert {r["id"] for r in q["j7_exists_similar"](spark, sf).collect()} == {a for a in vec if any(cos(a, b) >= 0.3 for b in mates[a])}
