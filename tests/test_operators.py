@@ -415,3 +415,6 @@ def test_accounts_of_the_joins_grow_with_the_table(spark):
     best = {a: max((b for b in mates[a] if live(b)), key=lambda b, a=a: cos(a, b)) for a in vec if not live(a)}
     assert near == {a: (str(a % 7), b if cos(a, b) >= 0.3 else None) for a, b in best.items()}
     assert {r["id"] for r in q["j7_exists_similar"](spark, sf).collect()} == {a for a in vec if any(cos(a, b) >= 0.3 for b in mates[a])}
+    full = {k for k in range(7) if sum(live(a) for a in vec if a % 7 == k) >= 66}
+    verdict = lambda a: "missing" if a not in vec else "ok" if live(a) else "capacity" if a % 7 in full else "duplicate" if any(live(b) and cos(a, b) >= 0.3 for b in mates[a]) else "ok"
+    assert {r["id"]: r["verdict"] for r in q["q12_restorable"](spark, sf).collect()} == {2 * a: verdict(2 * a) for a in vec}
