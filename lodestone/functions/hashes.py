@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,44 +22,80 @@ def fingerprint(text: Column) -> Column:
     return F.sha1(normalized(text))
 
 
-#: Bits are counted in lanes: bit k + LANE * j of a gram's hash adds to lane j of counter k. A lane holds counts below 2**LANE.
-LANE = 6
-LANES = sum(1 << LANE * j for j in range(BITS // LANE))
+#: Characters that a task hashes at a time, and grams that one counter of sixteen bits can count.
+PIECE, MOST = 1 << 21, (1 << 16) - 1
+#: Up to this many different grams are told apart by a table, more by sorting.
+TABLE = 1 << 22
 
 
 def simhash(text: Column, gram: int = 3) -> Column:
     """A bit is set where more grams of the text have it than not; null for texts shorter than a gram.
 
-    Time goes with the length of the text: in UTF-32 a gram is a slice at a known place, and the ten lanes of a counter are
-    added up at once, for as many grams as a lane can count.
+    In tasks, over Arrow batches: a gram that occurs is hashed once for many texts, and the bits of all grams of a text are
+    added up as arrays, four counters in a word. Time goes with the length of the texts.
     """
-    let = lambda x, f: F.transform(F.array(x), f)[0]
-    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + f(x))
-    some = (1 << LANE) - 1
-
-    def grams(code: Column, width: int) -> Column:
-        """Hashes of the grams in a text's bytes with ``width`` for a character: one for ASCII, four for UTF-32."""
-        starts = F.sequence(F.lit(1), F.octet_length(code) - (width * gram - 1), F.lit(width))
-        part = lambda i: F.substring(code, i, F.lit(width * gram))
-        utf8 = part if width == 1 else lambda i: F.encode(F.decode(part(i), "UTF-32"), "UTF-8")
-        return F.transform(starts, lambda i: F.conv(F.substring(F.md5(utf8(i)), 1, BITS // 4), 16, 10).cast("long"))
-
-    def counters(hashes: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(1), F.size(hashes), F.lit(some)), lambda at: F.slice(hashes, at, F.lit(some)))
-        return F.transform(blocks, lambda block: F.array(*[total(block, lambda h, k=k: F.shiftright(h, k).bitwiseAND(LANES)) for k in range(LANE)]))
-
-    def votes(hashes: Column) -> Column:
-        n = F.size(hashes)
-
-        def bit(b: Column, sums: Column) -> Column:
-            lane = total(sums, lambda c: F.call_function("shiftright", c[b % LANE], F.floor(b / LANE).cast("int") * LANE).bitwiseAND(some))
-            return F.when(lane * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-
-        return let(counters(hashes), lambda sums: total(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: bit(b, sums)))
 
-    plain = let(F.encode(text, "UTF-8"), lambda code: grams(code, 1))
-    hashes = F.when(F.octet_length(text) == F.length(text), plain).otherwise(let(F.encode(text, "UTF-32"), lambda code: grams(code, 4)))
-    return F.when(F.length(text) >= gram, let(hashes, votes))
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), np.int64)
+        lengths = texts.str.len().fillna(0).to_numpy(np.int64)
+        some = np.flatnonzero(lengths >= gram)
+        # Pieces of whole texts: a new one begins where the texts up to here fill another multiple of PIECE.
+        for piece in np.split(some, np.flatnonzero(np.diff(np.cumsum(lengths[some]) // PIECE)) + 1):
+            if len(piece):
+                out[piece] = simhashes(texts.iloc[piece].tolist(), lengths[piece], gram)
+        return pd.Series(pd.arrays.IntegerArray(out, lengths < gram))
+
+    return of(text)
+
+
+def simhashes(texts: list[str], lengths: np.ndarray, gram: int) -> np.ndarray:
+    """Of texts, all with a gram at least."""
+    joined = "".join(texts)
+    starts = np.cumsum(lengths) - lengths
+    number, first = numbered_grams(joined, starts, lengths, gram)
+    bits = np.fromiter((int(hashlib.md5(joined[at : at + gram].encode()).hexdigest()[: BITS // 4], 16) for at in first.tolist()), np.uint64, len(first))
+    n = lengths - gram + 1
+    parts = -(-n // MOST)  # long texts are counted in parts
+    own = np.repeat(np.arange(len(n)), parts)
+    heads = np.cumsum(parts) - parts
+    at = np.repeat(np.cumsum(n) - n, parts) + (np.arange(len(own)) - heads[own]) * MOST
+    out = np.zeros(len(n), np.int64)
+    for b in range(0, BITS, 4):
+        word = sum(((bits >> np.uint64(b + k)) & np.uint64(1)) << np.uint64(16 * k) for k in range(4))
+        sums = np.add.reduceat(word[number], at)
+        for k in range(4):
+            counts = np.add.reduceat((sums >> np.uint64(16 * k)).astype(np.int64) & MOST, heads)
+            out |= (counts * 2 > n).astype(np.int64) << (b + k)
+    return out
+
+
+def numbered_grams(joined: str, starts: np.ndarray, lengths: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each gram within a text, in order, and for each number a place where that gram is."""
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    rank = np.zeros(int(codes.max()) + 1, np.int64)
+    rank[codes] = 1
+    letters = int(rank.sum())
+    rank = (np.cumsum(rank) - 1)[codes]
+    within = np.ones(len(codes), bool)
+    for k in range(1, gram):
+        within[starts + lengths - k] = False
+    places = np.flatnonzero(within)
+    number, size = rank[places], letters
+    for k in range(1, gram):
+        if size * letters > 1 << 62:
+            seen, number = np.unique(number, return_inverse=True)
+            size = len(seen)
+        number, size = number * letters + rank[places + k], size * letters
+    if size > TABLE:
+        _, at, number = np.unique(number, return_index=True, return_inverse=True)
+        return number, places[at]
+    where = np.full(size, -1, np.int64)
+    where[number] = places
+    seen = np.flatnonzero(where >= 0)
+    dense = np.zeros(size, np.int64)
+    dense[seen] = np.arange(len(seen))
+    return dense[number], where[seen]
 
 
 def hamming(a: Column, b: Column) -> Column:

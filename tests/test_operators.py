@@ -418,3 +418,18 @@ def test_accounts_of_the_joins_grow_with_the_table(spark):
     full = {k for k in range(7) if sum(live(a) for a in vec if a % 7 == k) >= 66}
     verdict = lambda a: "missing" if a not in vec else "ok" if live(a) else "capacity" if a % 7 in full else "duplicate" if any(live(b) and cos(a, b) >= 0.3 for b in mates[a]) else "ok"
     assert {r["id"]: r["verdict"] for r in q["q12_restorable"](spark, sf).collect()} == {2 * a: verdict(2 * a) for a in vec}
+
+
+def test_simhash_of_many_texts_at_once(spark, monkeypatch):
+    """Counters that are full, pieces of a batch, and more grams than the table holds; no lambdas left in the plan."""
+    rng = random.Random(3)
+    texts = ["ab" * 70_000 + "c", None, "", "é" * 65_540] + ["".join(rng.choice("abcdef é中\U0001f600") for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = [simhash_brute(t or "") for t in texts]
+    lengths = np.array([len(t or "") for t in texts])
+    some = np.flatnonzero(lengths >= 3)
+    for table in (1 << 22, 10):
+        monkeypatch.setattr(hashes, "TABLE", table)
+        assert hashes.simhashes([texts[i] for i in some], lengths[some], 3).tolist() == [want[i] for i in some]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", hashes.simhash(F.col("t")).alias("h"))
+    assert [r["h"] for r in sorted(out.collect())] == want
+    assert "lambda" not in out._jdf.queryExecution().toString()
