@@ -433,3 +433,17 @@ def test_simhash_of_many_texts_at_once(spark, monkeypatch):
     out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", hashes.simhash(F.col("t")).alias("h"))
     assert [r["h"] for r in sorted(out.collect())] == want
     assert "lambda" not in out._jdf.queryExecution().toString()
+
+
+def test_near_hashes_of_a_crowd_meet_in_pieces(spark, monkeypatch):
+    """Many hashes with the same low half: pairs that meet are far fewer than those of a slice of 16 bits, and none is lost or told twice."""
+    monkeypatch.setattr(matching, "CROWD", 5)
+    rng = random.Random(9)
+    hashes_ = [(rng.getrandbits(28) << 32 if n % 2 else rng.choice((0, -1 << 63, 7 << 40))) ^ sum(1 << rng.randrange(63) for _ in range(n % 4)) for n in range(400)]
+    got = [tuple(r) for r in matching.near_hashes(spark.createDataFrame(list(enumerate(hashes_)), "id long, h long"), "id", "h", 3).collect()]
+    first = {h: n for n, h in reversed(list(enumerate(hashes_)))}
+    apart = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    want = [(*sorted((first[x], first[y])), apart(x, y)) for x in first for y in first if x < y and apart(x, y) <= 3] + [(first[h], n, 0) for n, h in enumerate(hashes_) if first[h] != n]
+    assert sorted(got) == sorted(want) and len(want) > 300
+    # Every two within the bound are equal under a mask, which covers three slices of six.
+    assert len(matching.masks(3, 3)) == 20 and all(m.bit_count() >= 30 or ((m + (1 << 64)) % (1 << 64)).bit_count() >= 30 for m in matching.masks(3, 3))
