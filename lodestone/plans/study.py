@@ -10,7 +10,7 @@ from lodestone.functions.text import NOISE_MARKERS, any_of, strip
 from lodestone.operators.filters import where_contains, where_equal
 from lodestone.operators.matching import alike_in_place, first_wins, firsts, greedy_first, near_before
 from lodestone.operators.ranking import page
-from lodestone.operators.shared import spread, written
+from lodestone.operators.shared import written
 
 
 def noise(columns: list[str], markers: tuple[str, ...] = NOISE_MARKERS) -> Column:
@@ -42,7 +42,8 @@ def distinct_stems(questions: DataFrame, keys: list[str], order: list[str], stem
     sound = questions.where(strip(F.coalesce(F.col(stem), F.lit(""))) != "")
     first = firsts(sound.withColumn("fingerprint", hashes.fingerprint(F.col(stem))), [*keys, "fingerprint"], order)
     plain = hashes.normalized(F.col(stem))
-    return spread(first).withColumn("stem_length", F.length(plain)).withColumn("simhash", hashes.simhash(plain))
+    # Not spread first: to count the pieces of what is grouped, Spark runs the whole grouping once more.
+    return first.withColumn("stem_length", F.length(plain)).withColumn("simhash", hashes.simhash(plain))
 
 
 def illustrated_question_set(questions: DataFrame, keys: list[str], order: list[str], stem: str = "stem", *, crop: str = "crop_hash", box: str = "box", most: int = 3, short: int = 12, crop_most: int = 5, near: float = 0.05) -> DataFrame:

@@ -447,3 +447,14 @@ def test_near_hashes_of_a_crowd_meet_in_pieces(spark, monkeypatch):
     assert sorted(got) == sorted(want) and len(want) > 300
     # Every two within the bound are equal under a mask, which covers three slices of six.
     assert len(matching.masks(3, 3)) == 20 and all(m.bit_count() >= 30 or ((m + (1 << 64)) % (1 << 64)).bit_count() >= 30 for m in matching.masks(3, 3))
+
+
+def test_distinct_stems_run_nothing_before_they_are_asked_for(spark):
+    rows = spark.range(50, numPartitions=4).select(F.lit("s").alias("s"), "id", F.concat(F.lit("stem "), (F.col("id") % 9).cast("string")).alias("stem"))
+    spark.sparkContext.setJobGroup("stems", "stems")
+    try:
+        out = study.distinct_stems(rows, ["s"], ["id"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("stems")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["id"] for r in out.collect()) == list(range(9))
