@@ -67,7 +67,7 @@ def illustrated_question_set(questions: DataFrame, keys: list[str], order: list[
     distinct = written(firsts(stems.withColumn("_mark", mark), [*keys, "_mark"], order).select(*columns), "questions")
     centre = lambda a, b: F.col(f"{box}.{a}") + F.col(f"{box}.{b}") / 2
     nodes = distinct.select("*", F.struct(*keys).alias("g"), F.struct(*order).alias("o"), centre("x", "w").alias("cx"), centre("y", "h").alias("cy"))
-    conflicts = near_before(nodes, "simhash", most, long).unionByName(alike_in_place(nodes, crop, crop_most, near, ~long))
+    conflicts = near_before(nodes, "simhash", most, long, 1).unionByName(alike_in_place(nodes, crop, crop_most, near, ~long))
     gone = first_wins(conflicts).withColumnRenamed("a", "o")
     return nodes.join(gone, ["g", "o"], "left_anti").select(*columns)
 
