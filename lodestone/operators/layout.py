@@ -39,29 +39,34 @@ def with_rect(df: DataFrame, name: str, r: Column) -> DataFrame:
 
 
 def gathered(lines: DataFrame) -> DataFrame:
-    """``page, lines``: a page's lines with text, from top to bottom (then by x and text), with ``numbered``."""
+    """``page, lines``: a page's lines with text, from top to bottom (then by x and text), with ``numbered, right, low, middle``.
+
+    Lines are shuffled as rows: lists of parts of pages would be sorted and packed before that, and save nothing.
+    """
     sound = lines.withColumn("text", strip(F.col("text"))).where("text <> ''")
-    line = F.struct("y", "x", "text", "w", "h", "confidence", question_line(F.col("text")).alias("numbered"))
-    return sound.groupBy("page").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    made = [(F.col("x") + F.col("w")).alias("right"), (F.col("y") + F.col("h")).alias("low"), (F.col("x") + F.col("w") / 2).alias("middle")]
+    line = F.struct("y", "x", "text", "w", "h", "confidence", question_line(F.col("text")).alias("numbered"), *made)
+    return sound.select("page", line.alias("line")).repartition("page").groupBy("page").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def numbers(values: Column) -> tuple[Column, Column]:
     """The average and the median of a column of numbers in an array."""
-    ordered, n = F.array_sort(values), F.size(values)
+    ordered, n = F.sort_array(values), F.size(values)
     mid = F.floor(n / 2).cast("int")
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n, F.when(n % 2 == 0, (F.get(ordered, mid - 1) + F.get(ordered, mid)) / 2).otherwise(F.get(ordered, mid))
 
 
 def box_of(lines: Column) -> Column:
-    """The smallest rectangle around lines."""
-    x, y = F.array_min(F.transform(lines, lambda r: r["x"])), F.array_min(F.transform(lines, lambda r: r["y"]))
-    return g.rect(x, y, F.array_max(F.transform(lines, right)) - x, F.array_max(F.transform(lines, low)) - y)
+    """The smallest rectangle around lines of ``gathered``."""
+    x, y = F.array_min(lines["x"]), F.array_min(lines["y"])
+    return g.rect(x, y, F.array_max(lines["right"]) - x, F.array_max(lines["low"]) - y)
 
 
 def page_stats(pages: DataFrame) -> DataFrame:
     """``pages`` of ``gathered`` with ``average`` and ``height`` (the median, the average at least) of lines, and their ``box``."""
-    average, median = numbers(F.transform("lines", lambda r: r["h"]))
-    return with_rect(pages.withColumns({"average": average, "height": F.greatest(median, average, F.lit(0.012))}), "box", box_of(F.col("lines")))
+    average, median = numbers(F.col("lines")["h"])
+    pages = pages.withColumns({"average": average, "median": median})
+    return with_rect(pages.withColumn("height", F.greatest("median", "average", F.lit(0.012))).drop("median"), "box", box_of(F.col("lines")))
 
 
 def with_content(stats: DataFrame) -> DataFrame:
@@ -93,26 +98,27 @@ def with_columns(pages: DataFrame) -> DataFrame:
     rectangles, the content where there is no split, each as low as its lines ask.
     """
     c = F.col("content")
-    narrow = F.filter("lines", lambda r: (r["w"] <= c["w"] * 0.72) & (middle(r) >= c["x"]) & (middle(r) <= right(c)))
-    out = pages.withColumn("_m", F.array_sort(F.transform(narrow, middle)))
+    pages = pages.withColumns({"_w": c["w"] * 0.72, "_l": c["x"], "_r": right(c)})
+    narrow = F.filter("lines", lambda r: (r["w"] <= F.col("_w")) & (r["middle"] >= F.col("_l")) & (r["middle"] <= F.col("_r")))
+    out = pages.withColumn("_m", F.sort_array(narrow["middle"])).drop("_w", "_l", "_r")
     n = F.size("_m")
     gaps = F.when(n >= 4, F.transform(F.sequence(F.lit(2), n - 2), lambda i: F.struct((F.get("_m", i) - F.get("_m", i - 1)).alias("gap"), (-i).alias("i"))))
     out = out.withColumn("_g", F.array_max(gaps))
     at = -F.col("_g.i")
     out = out.withColumn("_x", F.when((F.col("_g.gap") > 0) & (F.col("_g.gap") >= F.greatest(F.lit(0.16), c["w"] * 0.22)), (F.get("_m", at - 1) + F.get("_m", at)) / 2))
     count = lambda f: F.size(F.filter("lines", f))
-    few = count(lambda r: (r["x"] < F.col("_x")) & (right(r) > F.col("_x"))) <= F.greatest(F.lit(1), F.floor(F.size("lines") / 5))
-    both = (count(lambda r: middle(r) < F.col("_x")) > 0) & (count(lambda r: middle(r) >= F.col("_x")) > 0)
+    few = count(lambda r: (r["x"] < F.col("_x")) & (r["right"] > F.col("_x"))) <= F.greatest(F.lit(1), F.floor(F.size("lines") / 5))
+    both = (F.array_min(F.col("lines")["middle"]) < F.col("_x")) & (F.array_max(F.col("lines")["middle"]) >= F.col("_x"))
     wide = (F.col("_x") - c["x"] >= 0.24) & (right(c) - F.col("_x") >= 0.24)
-    out = out.withColumn("split_x", F.when(few & both & wide, F.col("_x"))).drop("_m", "_g", "_x")
+    out = out.withColumn("split_x", F.when(F.col("_x").isNotNull() & wide & both & few, F.col("_x"))).drop("_m", "_g", "_x")
 
     def column(x0: Column, x1: Column, keep) -> Column:
-        lowest = F.array_max(F.transform(F.filter("lines", keep), low))
+        lowest = F.array_max(F.filter("lines", keep)["low"])
         bottom = F.least(F.lit(BOTTOM), F.greatest(F.coalesce(lowest, low(c)) + below(F.col("height")), c["y"] + least_height(F.col("height"))))
         return g.rect(x0, c["y"], F.greatest(x1 - x0, F.lit(0.0)), F.greatest(bottom - c["y"], F.lit(0.0)))
 
     x = F.col("split_x")
-    return out.withColumn("columns", F.when(x.isNull(), F.array(c)).otherwise(F.array(column(c["x"], x, lambda r: middle(r) < x), column(x, right(c), lambda r: middle(r) >= x))))
+    return out.withColumn("columns", F.when(x.isNull(), F.array(c)).otherwise(F.array(column(c["x"], x, lambda r: r["middle"] < x), column(x, right(c), lambda r: r["middle"] >= x))))
 
 
 def column_split(lines: DataFrame) -> DataFrame:
@@ -121,22 +127,22 @@ def column_split(lines: DataFrame) -> DataFrame:
     return pages.select("page", F.explode(F.array("split_x")).alias("split_x")).where("split_x is not null")
 
 
-def numbered_blocks(lines: Column, average: Column) -> Column:
-    """For each line in order the number of its block from 1; 0 for lines before the first of two or more question numbers.
+def block_starts(lines: Column, by_number: Column, limit: Column) -> Column:
+    """The places (from 1) of the lines that begin a block, in order.
 
-    With fewer numbers a block ends where a line is more than 1.6 average heights below the lowest edge of the block so far,
-    not of the page or the line before, or is numbered itself: a fold over the lines.
+    ``by_number`` these are the numbered lines, and lines before the first belong to no block. Else a block ends where a line is
+    more than ``limit`` below the lowest edge of the block so far, not of the page or the line before, or is numbered itself: a
+    fold over the lines.
     """
-    by_number = F.size(F.filter(lines, lambda r: r["numbered"])) >= 2
-    limit = average * 1.6
-    start = F.struct(F.lit(0).alias("block"), F.lit(None).cast("double").alias("low"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("double").alias("low"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, r: Column) -> Column:
-        new = F.when(by_number, r["numbered"]).otherwise(s["low"].isNull() | (r["y"] - s["low"] > limit) | r["numbered"])
-        block = s["block"] + new.cast("int")
-        return F.struct(block.alias("block"), F.when(new, low(r)).otherwise(F.greatest(s["low"], low(r))).alias("low"), F.concat(s["out"], F.array(block)).alias("out"))
+        new = s["low"].isNull() | (r["y"] - s["low"] > limit) | r["numbered"]
+        out = F.when(new, F.concat(s["out"], F.array(s["at"] + 1))).otherwise(s["out"])
+        return F.struct((s["at"] + 1).alias("at"), F.when(new, r["low"]).otherwise(F.greatest(s["low"], r["low"])).alias("low"), out.alias("out"))
 
-    return F.aggregate(lines, start, step, lambda s: s["out"])
+    numbered = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1)["numbered"])
+    return F.when(by_number, numbered).otherwise(F.aggregate(lines, start, step, lambda s: s["out"]))
 
 
 def block_column(box: Column, centres: Column, columns: Column, content: Column) -> Column:
@@ -150,8 +156,8 @@ def block_column(box: Column, centres: Column, columns: Column, content: Column)
         inside = F.size(F.filter(centres, lambda m: (m >= c["x"]) & (m <= right(c))))
         return across * 2.0 + inside * 0.05 - F.abs(middle(box) - middle(c)) * 0.1
 
-    ranked = F.array_sort(F.transform(columns, lambda c, i: F.struct((-score(c)).alias("s"), i.alias("i"), c.alias("c"))))
-    return F.when((F.size(columns) <= 1) | (box["w"] >= content["w"] * 0.70), content).otherwise(F.get(ranked, F.lit(0))["c"])
+    best = F.array_min(F.transform(columns, lambda c, i: F.struct((-score(c)).alias("s"), i.alias("i"), c.alias("c"))))
+    return F.when((F.size(columns) <= 1) | (box["w"] >= content["w"] * 0.70), content).otherwise(best["c"])
 
 
 def with_crop(found: DataFrame) -> DataFrame:
@@ -193,19 +199,26 @@ def blocks(pages: DataFrame, by_column: bool) -> DataFrame:
     ``by_column`` blocks the lines of each column by themselves, left before right; else a page's lines go from top to bottom
     across both.
     """
-    is_right = lambda r: F.coalesce(middle(r) >= F.col("split_x"), F.lit(False))  # noqa: E731  without a split all lines are on the left
-    each = F.array(F.filter("lines", lambda r: ~is_right(r)), F.filter("lines", is_right)) if by_column else F.array("lines")
-    rows = pages.select("page", "content", "columns", "height", "average", F.posexplode(each).alias("part", "lines")).where(F.size("lines") > 0)
-    rows = rows.withColumn("no", numbered_blocks(F.col("lines"), F.col("average"))).withColumn("most", F.array_max("no")).where("most > 0")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("block"))
-    # Lines of a block are neighbours: a slice of the page.
-    first, after = F.array_position("no", F.col("block")).cast("int"), F.array_position("no", F.col("block") + 1).cast("int")
-    rows = rows.withColumns({"_first": first, "_after": F.when(F.col("block") < F.col("most"), after)})
-    own = F.slice("lines", F.col("_first"), F.coalesce("_after", F.size("lines") + 1) - F.col("_first"))
-    rows = rows.withColumns({"own": own, "bottom": F.get("lines", F.col("_after") - 1)["y"] - PAD, "last": F.col("block") == F.col("most")})
+    is_right = lambda r: F.coalesce(r["middle"] >= F.col("split_x"), F.lit(False))  # noqa: E731  without a split all lines are on the left
+    own = ["page", "content", "columns", "height", "average"]
+    if by_column:
+        rows = pages.select(*own, F.posexplode(F.array(F.filter("lines", lambda r: ~is_right(r)), F.filter("lines", is_right))).alias("part", "lines"))
+    else:
+        rows = pages.select(*own, F.lit(0).alias("part"), "lines")
+    rows = rows.withColumns({"_numbered": F.size(F.filter(F.col("lines")["numbered"], lambda x: x)) >= 2, "_limit": F.col("average") * 1.6})
+    rows = rows.withColumn("_starts", block_starts(F.col("lines"), F.col("_numbered"), F.col("_limit"))).withColumn("_n", F.size("_starts"))
+
+    def block(first: Column, i: Column) -> Column:
+        # Lines of a block are neighbours: a slice of the page.
+        after = F.get("_starts", i + 1)
+        lines = F.slice("lines", first, F.coalesce(after, F.size("lines") + 1) - first)
+        return F.struct((i + 1).alias("block"), lines.alias("own"), (F.get("lines", after - 1)["y"] - PAD).alias("bottom"), (i + 1 == F.col("_n")).alias("last"))
+
+    rows = rows.select("page", "part", "content", "columns", "height", F.explode(F.transform("_starts", block)).alias("b"))
+    rows = rows.select("page", "part", "b.block", "content", "columns", "height", "b.bottom", "b.last", F.col("b.own").alias("own"))
     return with_rect(rows, "box", box_of(F.col("own"))).select(
-        "page", "part", "block", "content", "columns", "height", "bottom", "last", "box", F.transform("own", middle).alias("centres"),
-        strip(F.array_join(F.transform("own", lambda r: r["text"]), "\n")).alias("text"), (F.aggregate("own", F.lit(0.0), lambda s, r: s + r["confidence"]) / F.size("own")).alias("confidence"),
+        "page", "part", "block", "content", "columns", "height", "bottom", "last", "box", F.col("own")["middle"].alias("centres"),
+        F.array_join(F.col("own")["text"], "\n").alias("text"), (F.aggregate(F.col("own")["confidence"], F.lit(0.0), lambda s, c: s + c) / F.size("own")).alias("confidence"),
     )
 
 
@@ -221,7 +234,7 @@ def regions(lines: DataFrame, by_column: bool = False) -> DataFrame:
     pages = with_columns(with_content(page_stats(gathered(lines))))
     found = blocks(pages, by_column).withColumn("column", block_column(F.col("box"), F.col("centres"), F.col("columns"), F.col("content")))
     found = with_crop(found).select("page", "crop.*", "text", "confidence")
-    found = found.where((F.col("w") * F.col("h") >= LEAST_AREA) & (F.col("text") != ""))
+    found = found.where(F.col("w") * F.col("h") >= LEAST_AREA)  # lines have text, stripped, and so has what is made of them
     return reading_order(found, ["page"]).select("page", "index", "x", "y", "w", "h", "text", "confidence")
 
 

@@ -165,3 +165,12 @@ def test_labels(spark):
     assert value(spark, labels.label(F.lit("mastered"), labels.STATUSES, "候选")) == "已掌握"
     assert value(spark, labels.label(F.lit(""), labels.STATUSES, "候选")) == "候选"
     assert value(spark, labels.grade_mark(F.lit(False), F.lit("correct"))) == "uncertain"
+
+
+def test_strip_takes_the_spaces_of_the_pattern(spark):
+    # As in Java, \s are six characters.
+    spaces = [chr(c) for c in range(0x3100) if re.match(re.sub(r"\\x\{(....)\}", r"\\u\1", text.SPACE), chr(c), re.ASCII)]
+    assert sorted(text.SPACES) == spaces
+    cases = ["", "a", " ", *[f"{x}{y}a{x}b{y}{x}" for x in text.SPACES for y in text.SPACES[:3]], *[f"{x}\u4e2d" for x in text.SPACES], None]
+    out = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", text.strip(F.col("c")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in out] == [c and c.strip(text.SPACES) for c in cases]

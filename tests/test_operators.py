@@ -224,6 +224,13 @@ def test_layout_is_one_shuffle_and_no_python(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "Pandas" not in plan
 
 
+def test_layout_makes_nothing_twice(spark):
+    # An average, a fold into blocks and an average of confidences; the fold was made again to ask whether it found a block, and
+    # text was stripped by a pattern, twice for a line and twice for a block.
+    plan = layout.regions(spark.createDataFrame([("p", 0.1, 0.1, 0.2, 0.1, "a", 0.5)], LINES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 3 and "regexp_replace" not in plan
+
+
 def test_straightening(spark):
     from lodestone.functions import geometry
 
