@@ -749,3 +749,11 @@ def test_pipeline_of_awkward_documents(spark):
     last = {r["doc_id"]: r for r in pipeline.STAGES[-1][1](spark, now, sf).collect()}
     assert last[1]["ids"] is None and last[2]["ids"] == [] and last[7]["round_trip"] and last[8]["round_trip"]
     assert pipeline.STAGES[-1][1](spark, table.limit(0), sf).count() == 0
+
+
+def test_runs_of_one_component_bring_no_pair_together(spark):
+    from lodestone.llm import line_dedup
+
+    rows = [("a", 1, 5), ("b", 1, 5), ("a", 1, 6), ("c", 2, 6), ("c", 2, 7)]
+    out = line_dedup.shared(spark.createDataFrame(rows, "h string, component long, r long"))
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 1, 6), ("c", 2, 6)]
