@@ -757,3 +757,27 @@ def test_runs_of_one_component_bring_no_pair_together(spark):
     rows = [("a", 1, 5), ("b", 1, 5), ("a", 1, 6), ("c", 2, 6), ("c", 2, 7)]
     out = line_dedup.shared(spark.createDataFrame(rows, "h string, component long, r long"))
     assert sorted(tuple(r) for r in out.collect()) == [("a", 1, 6), ("c", 2, 6)]
+
+
+@pytest.mark.parametrize("piece", [2, 2048])
+def test_lines_of_a_crowd_meet_without_a_join_of_lines_and_runs(spark, monkeypatch, piece):
+    """The pairs are those of brute force, and the plan that tells them joins nothing: before, a line and a run were a row of a join."""
+    rng = random.Random(3)
+    monkeypatch.setattr(line_dedup, "PIECE", piece)
+    text = lambda k: "".join(rng.choices("abcdefghij klmnop", k=k))
+    common, texts = text(60), []
+    for _ in range(12):
+        own = text(120)
+        texts += [common + own, common + own[:-6] + text(6), common + text(150)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    many = lines.select("h", F.when(F.col("h") < 2, 0).otherwise(F.col("h")).alias("component"))
+    sets = [{x.lower()[k : k + 8] for k in range(len(x) - 7)} for x in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])} - {(0, 1)}
+    out = line_dedup.rare_pairs(lines, many, size=8, under=8, over=10)
+    assert want <= {(r["a"], r["b"]) for r in out.collect()} and len(want) >= 11
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_signatures_are_of_whole_numbers_of_32_bits(spark):
+    lines = spark.createDataFrame([(1, "some words that are here to be signed " * 3)], "h long, line string")
+    assert dict(line_dedup.with_minima(lines, 8).dtypes)["minima"] == "array<array<int>>"
