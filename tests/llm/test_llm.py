@@ -781,3 +781,38 @@ def test_lines_of_a_crowd_meet_without_a_join_of_lines_and_runs(spark, monkeypat
 def test_signatures_are_of_whole_numbers_of_32_bits(spark):
     lines = spark.createDataFrame([(1, "some words that are here to be signed " * 3)], "h long, line string")
     assert dict(line_dedup.with_minima(lines, 8).dtypes)["minima"] == "array<array<int>>"
+
+
+def test_pairs_of_lines_are_compared_a_slice_at_a_time(spark, monkeypatch):
+    """Texts and signatures move with few pairs at once, and every link is found all the same."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(60)]
+    base = [" ".join(rng.choices(words, k=30)) for _ in range(8)]
+    rows = [(8 * k + i, b + f" x{k}") for k in range(6) for i, b in enumerate(base)]
+    seen = []
+
+    def noted(df, name="table", put=line_dedup.written):
+        out = put(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    monkeypatch.setattr(line_dedup, "SLICE", 8)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert {i for i, d in got.items() if d} == {i for i, _ in rows if i >= 8}
+    compared = [n for name, n in seen if name == "overlaps"]
+    assert len(compared) > 4 and max(compared) < sum(compared) / 2 and sum(compared) >= 40
+
+
+def test_rarity_of_runs_goes_by_a_byte_for_each_slot_and_slots_go_by_lines(spark):
+    marks = line_dedup.rarity(spark.createDataFrame([(0,)] + [(65535,)] * 16 + [(-1,)] * 3, "r long"), 16).first()["marks"]
+    assert len(marks) == 65536 and marks[0] == 1 and marks[1] == 1 and marks[65535] == 1 + 17
+    lines = spark.range(3000).select(F.col("id").alias("h"), F.sha2(F.col("id").cast("string"), 256).alias("line"))
+    many = lines.select("h", F.col("h").alias("component"))
+    sizes = []
+    real, line_dedup.rarity = line_dedup.rarity, lambda runs, bits: sizes.append(bits) or real(runs, bits)
+    try:
+        assert line_dedup.rare_pairs(lines, many, size=8, under=8, over=10).count() == 0
+    finally:
+        line_dedup.rarity = real
+    assert sizes == [18]
