@@ -816,3 +816,20 @@ def test_rarity_of_runs_goes_by_a_byte_for_each_slot_and_slots_go_by_lines(spark
     finally:
         line_dedup.rarity = real
     assert sizes == [18]
+
+
+def test_embedding_tiles_meet_in_rounds_that_send_no_more_than_the_table(spark, monkeypatch):
+    """The rows are those of brute force; a round has few blocks, so no plan sends a tile to all that it meets."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(70, 6))
+    rows = [(k, [float(x) for x in base[k % 70] + rng.normal(size=6) * 0.15]) for k in range(280)]
+    put, names = embedding_dedup.written, []
+    monkeypatch.setattr(embedding_dedup, "written", lambda df, name="table": names.append(name) or put(df, name))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(vectors(spark, rows), 0.95, tile_rows=8, round_bytes=0).collect()}
+    v = np.array([x for _, x in rows], "float32").astype(float)
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    near = v @ v.T >= 0.95
+    links = [(a, b) for a in range(280) for b in range(a) if near[a, b]]
+    want = groups(links, range(280))
+    assert {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (int(near[k].sum()) - 1, want[k]) for k in range(280)}
+    assert names.count("tiles") == 1 and names.count("links") > 4
