@@ -30,19 +30,27 @@ def profiles(events: DataFrame, at: str = "created_at") -> DataFrame:
     return events.groupBy("account_id", "scope").agg(F.count("*").alias("source_count"), F.max(at).alias("latest_event_at"))
 
 
-def progress(df: DataFrame, done: Column, ms: Column, *keys: str) -> DataFrame:
+def progress(df: DataFrame, done: Column, ms: Column, *keys: str, order: str | None = None) -> DataFrame:
     """``done, total, avg_ms`` and ``eta_ms``: what is left times the average, halves rounded away from zero.
 
     A sum of doubles depends on the order of its rows, and a half then falls to either side. So times are added and divided as
-    decimals of six places; only a group with times that are no such decimals is added in doubles.
+    decimals of six places; only a group with times that are no such decimals is added in doubles. With an ``order`` (a column)
+    doubles are added one after the other in that order, so the sum is determined too, and is that of a scan of a sorted table.
     """
+    left = F.col("total") - F.col("done")
+    if order is not None:
+        so_far = Window.partitionBy(*keys).orderBy(order)
+        rows = df.withColumns({"_ms": F.when(done, ms), "_done": done, "_at": F.row_number().over(so_far)})
+        rows = rows.withColumn("_sum", F.sum("_ms").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        out = rows.groupBy(*keys).agg(F.count_if("_done").alias("done"), F.count("*").alias("total"), (F.max_by("_sum", "_at") / F.nullif(F.count("_ms"), F.lit(0))).alias("avg_ms"))
+        return out.withColumn("eta_ms", F.round(left * F.col("avg_ms")).try_cast("long"))
     exact = ms.try_cast("decimal(20,6)")
     out = df.groupBy(*keys).agg(
         F.count_if(done).alias("done"), F.count("*").alias("total"), F.avg(F.when(done, ms)).alias("_avg"), F.count(F.when(done, ms)).alias("_n"),
         F.sum(F.when(done, exact)).alias("_sum"), F.bool_and(F.when(done, exact.cast("double").eqNullSafe(ms.cast("double")))).alias("_exact"),
     )
     own = F.col("_exact") & F.col("_sum").isNotNull()
-    out = out.withColumn("avg_ms", F.when(own, F.col("_sum").cast("double") / F.col("_n")).otherwise(F.col("_avg"))).withColumn("_left", F.col("total") - F.col("done"))
+    out = out.withColumn("avg_ms", F.when(own, F.col("_sum").cast("double") / F.col("_n")).otherwise(F.col("_avg"))).withColumn("_left", left)
     # In millionths: (2 * left * sum + n) div (2 * n) is left * sum / n, rounded.
     millionths = F.abs(F.col("_sum") * 1000000).cast("decimal(36,0)")
     halves, whole = millionths * (F.col("_left") * 2) + F.col("_n") * 1000000, F.col("_n") * 2000000

@@ -410,6 +410,28 @@ def test_progress_does_not_depend_on_the_order_of_rows(spark):
         assert {k: v for k, v in got.items() if k != "d"} == want
 
 
+def test_progress_adds_in_an_order_as_its_sql_does(spark):
+    """Sums of doubles in the order of events, however rows come: those of DuckDB over the table as it lies."""
+    import duckdb
+
+    rows = [("a", i, True, 0.1) for i in range(10)] + [("a", 10 + i, False, 9.0) for i in range(15)] + [("b", 30, False, 1.0), ("c", 31, True, None), ("c", 32, True, -2.5), ("c", 33, False, 0.0)]
+    random.Random(2).shuffle(rows)
+    got = agg.progress(spark.createDataFrame(rows, "k string, id long, done boolean, ms double").repartition(3), F.col("done"), F.col("ms"), "k", order="id")
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {"a": (10, 25, sum_in_order([0.1] * 10) / 10, 1), "b": (0, 1, None, None), "c": (2, 3, -2.5, -3)}
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    want = con.execute(entry.oracle_sql()["a5_progress"]).fetchall()
+    assert sorted(tuple(r) for r in entry.queries()["a5_progress"](spark, sf).collect()) == sorted(want)
+
+
+def sum_in_order(xs):
+    out = 0.0
+    for x in xs:
+        out += x
+    return out
+
+
 def test_accounts_of_the_joins_grow_with_the_table(spark):
     """An account is a seventh of the facts, not a block of 400; the rows are those of brute force."""
     sf = "/root/testdata/sf0.001"
