@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, components, sized, written
+from lodestone.llm.common import ascii_lower, components, forget, sized, written
 
 #: Coordinates of the points that bound overlaps.
 POINT = 64
@@ -185,9 +185,17 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (8
         picked = docs.join(sized(ids).select(F.col("id").alias(id_col)), id_col, "left_semi")
         return shingle_sets(picked, n, id_col=id_col, text_col=text_col)
 
-    entries = member.join(sized(reps).select(F.col("rep").alias("id")), "id", "left_semi").select(F.explode("blocks").alias("block"), "id")
+    # Of documents with one and the same set the representative enters. It is found by leaving out the others, which are fewer,
+    # so that blocks need not be shuffled by id; an id that repeats can be a representative by another of its sets.
+    slim = written(member.drop("blocks"), "members")
+    some = slim.where("n > 0 and id is not null")
+    again = written(reps.where("copies > 1").select("set", "rep"), "copied")
+    others = some.join(sized(again), "set").where("id <> rep").select("id").distinct()
+    others = written(others.join(reps.select(F.col("rep").alias("id")), "id", "left_anti"), "others")
+    entries = member.where("n > 0 and id is not null").join(sized(others), "id", "left_anti").select(F.explode("blocks").alias("block"), "id")
     keyed = entries.repartition("block").sortWithinPartitions("block", "id")
     runs = written(keyed.mapInArrow(stars, "block long, a long, b long").distinct(), "blocks")
+    forget(member)
     starred = runs.where("a <> b").select("a", "b").distinct()
     links = verified(starred, sets_of, rule)
     first = components(links)
@@ -196,7 +204,7 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (8
     inside = runs.where("block is not null").select("block", F.col("b").alias("id")).join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed_blocks = inside.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("least")).where("x <> y")
     left = written(inside.join(mixed_blocks.select("block", "least"), "block").select("id", "component", "least").distinct(), "open")
-    out = member.drop("blocks").join(reps, "set", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = slim.join(reps, "set", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     if not left.isEmpty():
         joined = components(tree_links(left, sets_of, rule, chunk)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
         out = out.join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component"))
@@ -259,7 +267,9 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule:
     close = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(bound, "a long, b long")
     sa, sb = some.select(F.col("id").alias("a"), F.col("s").alias("s_a")), some.select(F.col("id").alias("b"), F.col("s").alias("s_b"))
     both = close.join(sa, "a").join(sb, "b").select("a", "b", "s_a", "s_b", F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
-    return written(both.where(F.col("shared") * rule.over >= (F.size("s_a") + F.size("s_b") - F.col("shared")) * rule.under).select("a", "b"), "verified")
+    links = written(both.where(F.col("shared") * rule.over >= (F.size("s_a") + F.size("s_b") - F.col("shared")) * rule.under).select("a", "b"), "verified")
+    forget(some)
+    return links
 
 
 def flattened(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +311,9 @@ def tree_links(left: DataFrame, sets_of: Callable[[DataFrame], DataFrame], rule:
         return pa.table({"a": pa.array([x for x, _ in ends], pa.int64()), "b": pa.array([y for _, y in ends], pa.int64())})
 
     grid = dealt.select("group", "piece", "component", "s").join(cells, ["group", "piece"])
-    return written(grid.groupBy("group", "x", "y").applyInArrow(join, "a long, b long"), "tree-links")
+    links = written(grid.groupBy("group", "x", "y").applyInArrow(join, "a long, b long"), "tree-links")
+    forget(placed)
+    return links
 
 
 def forest(sets: list[np.ndarray], comp: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
