@@ -843,6 +843,6 @@ def test_ngram_join_leaves_out_copies_not_ids_and_deletes_what_it_is_done_with(s
     rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, a), (None, a), (5, None)]
     before = set(made_so_far(spark))
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.jaccard_join(docs(spark, rows), n=5).collect())
-    assert got == [(0, 0), (1, 1), (2, 1), (2, 2), (3, 2), (4, 1), (5, 5)] or got == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+    assert got == [(0, 0), (1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
     left = [p.rsplit("/", 1)[1].split("-")[0] for p in made_so_far(spark) if p not in before and exists(spark, p)]
     assert left.count("members") == 1 and "sets" not in left
